@@ -9,9 +9,8 @@ each of its documents is sampled, by a seeded hash of its id.
 from __future__ import annotations
 
 import math
-from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewell.llm.common import WORD, cut, unit_interval
@@ -21,7 +20,7 @@ MARGINS = ("source", "lang", "topic")
 TEMPERATURE = 0.7
 #: Share of all tokens to sample.
 KEEP = 0.8
-TOLERANCE, MAX_ROUNDS, ROUNDS_A_CUT = 1e-3, 24, 3
+TOLERANCE, MAX_ROUNDS = 1e-3, 8
 
 
 def form_topic(text: Column) -> Column:
@@ -59,27 +58,27 @@ def tempered_targets(cells: DataFrame, margin: str, temperature: float = TEMPERA
 def rake(cells: DataFrame, targets: dict[str, DataFrame]) -> DataFrame:
     """``cells`` (margins, ``tokens``) with ``mass``, whose margins have the target shares.
 
-    Each step is a grouped sum, pre-aggregated by Spark, and a join on the margin's values. Rounds go
-    on until every margin is within TOLERANCE of its target or MAX_ROUNDS are done (targets
-    that contradict each other or the empty cells can't all be met).
+    Each step divides by the sum of a margin's value over its cells. Documents were summed up to cells
+    before, so a value has at most as many rows as the other margins have combinations, and
+    Spark's window spills where they don't fit. Rounds go on until every margin is within TOLERANCE
+    of its target or MAX_ROUNDS are done (targets that contradict each other or the empty
+    cells can't all be met). Cells of values that a target lacks are left out.
     """
-    state = cut(cells.withColumn("mass", F.col("tokens").cast("double")))
+    state = cells
+    for margin, goal in targets.items():
+        state = state.join(goal.select(F.col("value").alias(margin), F.col("share").alias(f"share_{margin}")), margin)
+    state = cut(state.withColumn("mass", F.col("tokens").cast("double")))
     total = state.agg(F.sum("mass")).first()[0] or 0.0
-    goals = {m: cut(t) for m, t in targets.items()}
-
-    def sums(df: DataFrame, margin: str) -> DataFrame:
-        held = df.groupBy(F.col(margin).alias("value")).agg(F.sum("mass").alias("held")).join(goals[margin], "value")
-        return held.select(F.col("value").alias(margin), (F.col("share") * total / F.col("held")).alias("factor"))
-
-    for _ in range(MAX_ROUNDS // ROUNDS_A_CUT):
-        for _ in range(ROUNDS_A_CUT):
-            for margin in goals:
-                state = state.join(sums(state, margin), margin).withColumn("mass", F.col("mass") * F.col("factor")).drop("factor")
+    for _ in range(MAX_ROUNDS):
+        for margin in targets:
+            held = F.sum("mass").over(Window.partitionBy(margin))
+            state = state.withColumn(f"factor_{margin}", F.col(f"share_{margin}") * total / held)
+            state = state.withColumn("mass", F.col("mass") * F.col(f"factor_{margin}"))
         state = cut(state)
-        off = reduce(DataFrame.unionByName, [sums(state, m).select(F.abs(F.col("factor") - 1).alias("off")) for m in goals])
-        if (off.agg(F.max("off")).first()[0] or 0.0) < TOLERANCE:
+        worst = state.agg(F.max(F.greatest(F.lit(0.0), *[F.abs(F.col(f"factor_{m}") - 1) for m in targets]))).first()[0]
+        if (worst or 0.0) < TOLERANCE:
             break
-    return state
+    return state.select(*cells.columns, "mass")
 
 
 def probabilities(raked: DataFrame, keep: float = KEEP) -> DataFrame:
