@@ -111,12 +111,15 @@ def signals(docs: DataFrame, carry: list[str] | None = None, text: str = "text")
         lambda n, x: n + x,
     )
     f = e.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0).cast("long"))).drop("__tw_starts")
+    def share(part: str, whole: str) -> Column:
+        return F.col(part) / F.nullif(F.col(whole), F.lit(0))
+
     ratio = {
-        "symbols": F.col("n_symbols") / F.col("n_words"),
-        "capitals": F.col("__tw_caps") / F.col("word_chars"),
-        "bangs": F.col("__tw_bangs") / F.col("n_words"),
-        "repeated_lines": F.col("n_dup_lines") / F.col("__tw_n_lines"),
-        "stutter": F.col("__tw_same") / F.col("n_words"),
+        "symbols": share("n_symbols", "n_words"),
+        "capitals": share("__tw_caps", "word_chars"),
+        "bangs": share("__tw_bangs", "n_words"),
+        "repeated_lines": share("n_dup_lines", "__tw_n_lines"),
+        "stutter": share("__tw_same", "n_words"),
     }
     step = [
         # the first level l with cutoff(l) < value; none if the value is within the last cutoff
