@@ -1,0 +1,445 @@
+"""Operators against brute force on fixture documents."""
+
+import hashlib
+import math
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+import xxhash
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from tests.llm import tables
+from tidewell.llm import mixing, packing, quality_classifier, quality_rules, secret_scan, sharding, simhash, substring_dedup, token_counts, weighted_sampling
+from tidewell.llm.components import components
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+@pytest.fixture(scope="module")
+def docs(spark, sf):
+    return spark.read.parquet(f"{sf}/documents.parquet").cache()
+
+
+@pytest.fixture(scope="module")
+def texts(docs):
+    return {r.doc_id: r.text for r in docs.collect()}
+
+
+def lowered(text):
+    return re.sub("[A-Z]", lambda m: m[0].lower(), text)
+
+
+def test_base_counts(spark, docs, texts, sf):
+    got = quality_rules.quality_rules(docs, spark.read.parquet(f"{sf}/labels.parquet")).collect()
+    for r in got:
+        t = texts[r.doc_id]
+        w = WORD.findall(t)
+        lines, dup = set(), 0
+        for line in t.split("\n"):
+            if WORD.search(line):
+                dup += line in lines
+                lines.add(line)
+        windows = [tuple(w[i : i + 8]) for i in range(len(w) - 7)]
+        times = Counter(windows)
+        covered = {j for i, x in enumerate(windows) if times[x] > 1 for j in range(i, i + 8)}
+        expected = (len(w), sum(map(len, w)), sum(t.count(c) for c in "#*$%&|<>"), dup, len(covered), len(w) < 20 or 100 * len(covered) > 30 * len(w))
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) == expected
+        assert not (r.base_failed and r.kept)
+
+
+def test_binomial_bound_is_exact(spark):
+    cases = [(k, n) for n in (1, 7, 40, 500, 20_000) for k in (0, 1, 3, 10, 60) if k <= n]
+    df = spark.createDataFrame(cases, "k long, n long")
+    from pyspark.sql import functions as F
+
+    for r in df.withColumn("p", quality_rules.binomial_cdf(F.col("k"), F.col("n"), 0.02)).collect():
+        exact = sum(math.exp(math.lgamma(r.n + 1) - math.lgamma(i + 1) - math.lgamma(r.n - i + 1) + i * math.log(0.02) + (r.n - i) * math.log(0.98)) for i in range(r.k + 1))
+        assert r.p == pytest.approx(exact, rel=1e-8)
+
+
+def test_levels_limit_false_rejections(spark):
+    """A stratum with few labels rejects nothing; one with many rejects its bad rows alone."""
+    rated = [(i, "en", False, 5 if i % 5 == 0 else None) for i in range(2000)] + [(3000 + i, "fr", False, 5 if i % 5 == 0 else None) for i in range(50)]
+    rated += [(5000 + i, "de", False, 5) for i in range(2000)]  # good and bad look alike
+    df = spark.createDataFrame(rated, "doc_id long, stratum string, base_failed boolean, level int")
+    labels = spark.createDataFrame([(r[0], int(r[0] % 5 != 0) if r[1] != "de" else int(r[0] % 2)) for r in rated], "doc_id long, quality int")
+    got = {r.stratum: r.cutoff_level for r in quality_rules.choose_levels(df, labels).collect()}
+    assert got == {"en": 5, "de": 0}  # level 0 of de rejects nothing
+
+
+def test_secret_base_spans(docs, texts):
+    assign = re.compile(r"""((?a:(?i:password|passwd|secret|token|api_?key)))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
+    for r in secret_scan.scan(docs).collect():
+        t = texts[r.doc_id]
+        spans = [("assign", m.start(), m.end()) for m in assign.finditer(t) if len(m[2]) >= 6]
+        spans += [("access", m.start(), m.end()) for m in re.finditer(r"AKIA[A-Z0-9]+", t) if len(m[0]) >= 20] + [("hex", m.start(), m.end()) for m in re.finditer(r"[0-9a-f]+", t) if len(m[0]) >= 24]
+        spans.sort(key=lambda s: (s[1], ["assign", "access", "hex"].index(s[0])))
+        assert r.base_sha256 == hashlib.sha256(",".join(f"{a}:{b}:{c}" for a, b, c in spans).encode()).hexdigest()
+        assert [(s.kind, s.start, s.end) for s in r.spans if s.kind != "literal"] == spans
+
+
+@given(st.text(alphabet="tokenSECRETpasswd=: \"'aK1f09AI_-ſK\n", max_size=120))
+@settings(max_examples=300, deadline=None)
+def test_secret_patterns_fuzzed(t):
+    plain = re.compile(r"""((?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY]))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
+    expected = [("assign", m.start(), m.end()) for m in plain.finditer(t) if len(m[2]) >= 6] + [("hex", m.start(), m.end()) for m in re.finditer(r"[0-9a-f]+", t) if len(m[0]) >= 24]
+    assert sorted(s for s in secret_scan.base_spans(t) if s[0] != "access") == sorted(expected)
+    secret_scan.lexed_literals(t)
+
+
+@pytest.mark.parametrize(
+    ("t", "found"),
+    [
+        ('DB_PW = "xK9!mQ2#vL7p"\nconnect(password=DB_PW)', ["xK9!mQ2#vL7p"]),  # a constant that reaches a sensitive name
+        ('a = "Zx81kfQ0"\nb = a\nclient_credential = b + "Lp20xx77"', ["Zx81kfQ0", "Lp20xx77"]),  # joined and passed on
+        ("<privateKey>aB3xK9mQ2vL7pR5t</privateKey>", ["aB3xK9mQ2vL7pR5t"]),
+        ('"pwd": "s3cr3t!Value"', ["s3cr3t!Value"]),
+        ('public_key = "aB3xK9mQ2vL7pR5t"', []),
+        ('pwd = "changeme123"', []),
+        ("The credential: ordinary words follow", []),
+        ('title = "aB3xK9mQ2vL7pR5t"', []),
+        ("auth_key := ${AUTH_KEY_VALUE1}", []),
+    ],
+)
+def test_lexed_literals(t, found):
+    assert [t[a:b] for a, b, *_ in secret_scan.lexed_literals(t)] == found
+
+
+def test_lexer_is_linear():
+    import time
+
+    for t in ("a=" * 200_000, 'a="' * 100_000, "=" * 300_000, "x" * 400_000 + "=1", "token" * 50_000, "<a></a" * 50_000):
+        start = time.perf_counter()
+        secret_scan.all_spans(t)
+        assert time.perf_counter() - start < 20
+
+
+def test_redaction(spark):
+    df = spark.createDataFrame([(1, 'x token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff" y', 5), (2, None, None)], "doc_id long, text string, n_chars long")
+    a, b = secret_scan.redacted(df).orderBy("doc_id").collect()
+    assert a.text == "x [secret:assign]\" y" and a.n_chars == len(a.text) and b.text is None and b.n_chars is None
+
+
+def brute_fingerprint(t, k):
+    w = WORD.findall(lowered(t))
+    s = [" ".join(w[i : i + k]) for i in range(len(w) - k + 1)] if len(w) >= k else [" ".join(w)] if w else []
+    h = [xxhash.xxh64_intdigest(x.encode(), 42) for x in s]
+    return sum(1 << b for b in range(64) if 2 * sum(v >> b & 1 for v in h) > len(h)) if h else 0
+
+
+def union_find(n, pairs):
+    parent = list(range(n))
+
+    def root(x):
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for a, b in pairs:
+        parent[root(a)] = root(b)
+    return [root(i) for i in range(n)]
+
+
+def test_simhash_components(spark, docs):
+    odd = tables.table(spark).filter("doc_id is not null and doc_id <> 14").select("doc_id", "text")
+    both = docs.select((docs.doc_id + 100_000).alias("doc_id"), "text").unionByName(odd)
+    source = {r.doc_id: r.text or "" for r in both.collect()}
+    got = {r.doc_id: r for r in simhash.near_duplicates(both, 3, 2, 1).collect()}
+    ids = sorted(source)
+    prints = [brute_fingerprint(source[i], 3) for i in ids]
+    assert [got[i].fp[0] % 2**64 for i in ids] == prints
+    pairs = [(a, b) for a in range(len(ids)) for b in range(a) if (prints[a] ^ prints[b]).bit_count() <= 2]
+    roots = union_find(len(ids), pairs)
+    least = {}
+    for i, r in zip(ids, roots, strict=True):
+        least[r] = min(i, least.get(r, i))
+    assert [got[i].component_id for i in ids] == [least[r] for r in roots]
+
+
+@pytest.mark.parametrize("segments", [2, 4, 8, 16])
+def test_links_lose_nothing(spark, monkeypatch, segments):
+    """Every tiling gives the components of all pairs, also with hot tiles and tiny blocks."""
+    rng = np.random.default_rng(segments)
+    centres = rng.integers(0, 2**63, 25, dtype=np.uint64)
+    noise = [int(c) ^ (1 << int(rng.integers(64))) ^ (1 << int(rng.integers(64))) * int(rng.integers(2)) for c in centres for _ in range(25)]
+    prints = np.unique(np.array([*noise, *map(int, centres)], dtype=np.uint64)).view(np.int64).tolist()
+    monkeypatch.setattr(simhash, "_segments_for", lambda n, r: segments)
+    monkeypatch.setattr(simhash, "BLOCK", 7)
+    nodes = spark.createDataFrame([(i, 1, [p]) for i, p in enumerate(prints)], "node long, size long, fp array<long>")
+    got = {r.node: r.root for r in components(simhash.links(nodes, 2)).collect()}
+    pairs = [(a, b) for a in range(len(prints)) for b in range(a) if ((prints[a] ^ prints[b]) % 2**64).bit_count() <= 2]
+    roots = union_find(len(prints), pairs)
+    least = {}
+    for i, r in enumerate(roots):
+        least[r] = min(i, least.get(r, i))
+    assert [got.get(i, i) for i in range(len(prints))] == [least[r] for r in roots]
+
+
+def test_components_of_chains_and_stars(spark):
+    chain = [(i, i + 1) for i in range(200)] + [(1000, j) for j in range(1001, 1100)] + [(5, 5), (2000, 2001), (2001, 2000)]
+    got = {r.node: r.root for r in components(spark.createDataFrame(chain, "u long, v long")).collect()}
+    assert all(got[i] == 0 for i in range(1, 201)) and all(got[j] == 1000 for j in range(1001, 1100)) and got[2001] == 2000
+
+
+def test_near_copies_by_similarity(spark):
+    base = tables.words(9, 400)
+    near, far = list(base), list(base)
+    near[200] = "changed"
+    for i in range(0, 400, 8):
+        far[i] = f"other{i}"
+    df = spark.createDataFrame([(1, " ".join(base)), (2, " ".join(near)), (3, " ".join(far)), (4, " ".join(tables.words(10, 400)))], "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(df).collect()}
+    assert got == {1: 1, 2: 1, 3: 3, 4: 4}
+    assert sorted(r.doc_id for r in simhash.deduplicated(df).collect()) == [1, 3, 4]
+
+
+def test_shards(spark, docs, texts):
+    got = sharding.shards(docs, 24).collect()
+    sizes = Counter(r.shard for r in got)
+    assert set(sizes) == set(range(24)) and max(sizes.values()) - min(sizes.values()) <= 1
+    for shard in sizes:
+        assert sorted(r.slot for r in got if r.shard == shard) == list(range(sizes[shard]))
+    for r in got:
+        raw = texts[r.doc_id].encode()
+        assert (r.size, r.text_crc32) == (len(raw) + 8, zlib.crc32(raw))
+    digest = lambda *p: hashlib.md5("|".join(map(str, p)).encode()).hexdigest()
+    by_source = defaultdict(list)
+    for r in got:
+        by_source[r.source].append((digest(17, r.doc_id), r.doc_id))
+    ranks = []
+    for source, members in by_source.items():
+        u = (int(digest(17, source)[:8], 16) + 1) / 2**32
+        ranks += [((k + 1 - u) / len(members), source, h, i) for k, (h, i) in enumerate(sorted(members))]
+    place = {i: p for p, (*_, i) in enumerate(sorted(ranks))}
+    assert all(r.shard == place[r.doc_id] * 24 // len(got) for r in got)
+
+
+def test_shards_match_the_mixture(spark):
+    df = spark.createDataFrame([(i, "t", "hot" if i % 3 else f"s{i % 9}") for i in range(1200)] + [(5000 + i, "t", f"single{i}") for i in range(120)], "doc_id long, text string, source string")
+    got = sharding.shards(df, 10).collect()
+    hot = Counter(r.shard for r in got if r.source == "hot")
+    single = Counter(r.shard for r in got if r.source.startswith("single"))
+    assert max(hot.values()) - min(hot.values()) <= 15 and max(single.values()) < 40
+
+
+def test_mixing_meets_margins(spark, docs):
+    from pyspark.sql import functions as F
+
+    cells = spark.createDataFrame([(s, l, t, 10 + 7 * i) for i, (s, l, t) in enumerate((s, l, t) for s in "abc" for l in "xy" for t in "pq")], "source string, lang string, topic string, tokens long")
+    share = lambda d: spark.createDataFrame(list(d.items()), "value string, share double")
+    targets = {"source": share({"a": 0.5, "b": 0.3, "c": 0.2}), "lang": share({"x": 0.9, "y": 0.1}), "topic": share({"p": 0.5, "q": 0.5})}
+    raked = mixing.rake(cells, targets)
+    total = cells.agg(F.sum("tokens")).first()[0]
+    for margin, goal in (("source", {"a": 0.5, "b": 0.3, "c": 0.2}), ("lang", {"x": 0.9, "y": 0.1}), ("topic", {"p": 0.5, "q": 0.5})):
+        got = {r[0]: r[1] / total for r in raked.groupBy(margin).agg(F.sum("mass")).collect()}
+        assert got == pytest.approx(goal, abs=2e-3)
+    # plain proportional fitting in numpy gives the same masses
+    rows = sorted(raked.collect())
+    w = np.array([r.tokens for r in sorted(cells.collect())], float)
+    keys = [(r.source, r.lang, r.topic) for r in rows]
+    for _ in range(200):
+        for axis, goal in enumerate(({"a": 0.5, "b": 0.3, "c": 0.2}, {"x": 0.9, "y": 0.1}, {"p": 0.5, "q": 0.5})):
+            for value, g in goal.items():
+                at = np.array([k[axis] == value for k in keys])
+                w[at] *= g * total / w[at].sum()
+    assert [r.mass for r in rows] == pytest.approx(w.tolist(), rel=5e-3)
+    table = mixing.probabilities(raked, 0.4).collect()
+    assert max(r.probability for r in table) <= 1 and sum(r.probability * r.tokens for r in table) == pytest.approx(0.4 * total, rel=0.01)
+
+
+def test_mixing_samples_by_probability(docs):
+    got = mixing.mix(docs).collect()
+    assert sum(r.n_tokens for r in got if r.kept) / sum(r.n_tokens for r in got) == pytest.approx(0.8, abs=0.12)
+    assert {r.doc_id: r.kept for r in got} == {r.doc_id: r.kept for r in mixing.mix(docs.repartition(3)).collect()}
+
+
+def test_weighted_sampling(docs, texts):
+    got = {r.doc_id: r for r in weighted_sampling.edited_fingerprints(docs).collect()}
+    ids = sorted(texts)
+    errors = []
+    for i, n in zip(ids, [*ids[1:], ids[0]], strict=True):
+        t, half = texts[i], len(texts[i]) // 2
+        edited = t[: len(t) - half] + texts[n][:half]
+        assert (got[i].n_chars, got[i].edited_sha256) == (len(t), hashlib.sha256(edited.encode()).hexdigest())
+        a, b = Counter(WORD.findall(t)), Counter(WORD.findall(edited))
+        errors.append(got[i].near_edited - sum((a & b).values()) / sum((a | b).values()))
+        assert (got[i].near_next == 1.0) == (got[i].fingerprint == got[n].fingerprint)
+    assert abs(np.mean(errors)) < 0.04 and np.std(errors) < 0.15
+    assert all(len({got[i].fingerprint for i in ids if texts[i] == t}) == 1 for t in set(texts.values()))
+
+
+def test_next_document_crosses_ranges(spark, monkeypatch):
+    monkeypatch.setattr(weighted_sampling, "PART_ROWS", 1)
+    monkeypatch.setattr(weighted_sampling, "COARSE", 3)
+    texts = {i * i * 7 - 50: tables.text(i, 5 + i) for i in range(40)}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    ids = sorted(texts)
+    got = {r.doc_id: r.edited_sha256 for r in weighted_sampling.edited_fingerprints(df, samples=2).collect()}
+    for i, n in zip(ids, [*ids[1:], ids[0]], strict=True):
+        half = len(texts[i]) // 2
+        assert got[i] == hashlib.sha256((texts[i][: len(texts[i]) - half] + texts[n][:half]).encode()).hexdigest()
+
+
+@pytest.fixture(scope="module")
+def counters():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library = Tokenizer.from_file(path)
+    return token_counts.Counter(open(path, encoding="utf-8").read()), lambda t: len(library.encode(t, add_special_tokens=False).ids)
+
+
+def test_token_counts(docs, texts, counters):
+    import public_tokenizers
+
+    ours, library = counters
+    for r in token_counts.token_counts(docs, public_tokenizers.path("word_bpe_49k.json")).collect():
+        n = library(texts[r.doc_id])
+        assert (r.n_bytes, r.n_tokens, r.over_limit) == (len(texts[r.doc_id].encode()), n, n > 2048)
+
+
+@given(st.text(max_size=60) | st.text(alphabet="the'sdrevlIN 0½é́ΣςİA<|endoftext> \x1c\x85\n", max_size=80))
+@settings(max_examples=600, deadline=None)
+def test_token_counts_fuzzed(counters, t):
+    t = t.encode("utf-8", "ignore").decode()
+    ours, library = counters
+    assert ours.count(t) == library(t)
+
+
+@given(st.text(alphabet="the and'<|endoftext|>é \n1", max_size=200), st.integers(1, 40))
+@settings(max_examples=200, deadline=None)
+def test_chunk_maps_compose(counters, t, size):
+    ours, library = counters
+    assert ours.count(t, chunk=size) == library(t)
+
+
+def test_classifier_held_out(spark, sf):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    weights = quality_classifier.train(docs, labels)
+    got = {r.doc_id: r for r in quality_classifier.classify(docs, weights).collect()}
+    truth = {r.doc_id: r.quality for r in labels.collect()}
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) and r.predicted == int(r.score >= 0.5) for r in got.values())
+    held = [(got[i].predicted, q) for i, q in truth.items() if got[i].held_out]
+    assert sum(a == b for a, b in held) / len(held) >= 0.95
+    # held-out labels are never read
+    from pyspark.sql import functions as F
+
+    flipped = labels.withColumn("quality", F.when(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, 1 - F.col("quality")).otherwise(F.col("quality")))
+    assert np.array_equal(weights, quality_classifier.train(docs, flipped))
+
+
+def test_best_fit_is_tightest():
+    rng = np.random.default_rng(3)
+    lengths = sorted(rng.integers(1, 60, 400).tolist(), reverse=True)
+    sources, clusters = rng.integers(0, 4, 400).tolist(), rng.integers(0, 150, 400).tolist()
+    bins, offsets = packing.best_fit(lengths, sources, clusters, 100, 2)
+    room, held = [], []
+    for n, s, c, b, at in zip(lengths, sources, clusters, bins, offsets, strict=True):
+        fits = [(r, i) for i, r in enumerate(room) if r >= n and c not in (x[1] for x in held[i]) and sum(x[0] == s for x in held[i]) < 2]
+        expected = min(fits)[1] if fits else len(room)
+        assert b == expected
+        if not fits:
+            room.append(100)
+            held.append([])
+        assert at == 100 - room[b]
+        room[b] -= n
+        held[b].append((s, c))
+
+
+def test_packing(docs, texts):
+    got = packing.pack(docs, capacity=512, group_rows=64).collect()
+    total, source, cluster = Counter(), Counter(), Counter()
+    spans = defaultdict(list)
+    for r in got:
+        total[r.bin_id] += r.n_tokens
+        source[r.bin_id, r.source] += 1
+        cluster[r.bin_id, r.cluster] += 1
+        spans[r.doc_id].append((r.start, r.n_tokens))
+    assert max(total.values()) <= 512 and max(source.values()) <= 3 and max(cluster.values()) == 1
+    for i, t in texts.items():
+        at = 0
+        for start, n in sorted(spans[i]):
+            assert start == at
+            at += n
+        assert at == len(WORD.findall(t)) + 1
+
+
+def brute_chunks(t):
+    data = t.encode()
+    gear = substring_dedup._GEAR.tolist()
+    ends, h, words = [], 0, list(re.finditer(rb"[^\x20\x09-\x0D]+", data))
+    values = {}
+    window = []
+    for i, b in enumerate(data):
+        window = [*window[-15:], b]
+        values[i] = sum(gear[x] << (len(window) - 1 - k) for k, x in enumerate(window)) % 2**32 if i >= 15 else 2**32 - 1
+    hs = [values[m.end() - 1] for m in words]
+    for i, v in enumerate(hs):
+        near = [hs[j] for j in range(max(0, i - 3), min(len(hs), i + 4)) if j != i]
+        if i == len(hs) - 1 or (v != 2**32 - 1 and all(v < x for x in near)):
+            ends.append(i)
+    out, first = [], 0
+    for e in ends:
+        a, b = words[first].start(), words[e].end()
+        out.append((len(data[:a].decode()), len(data[:b].decode()), e - first + 1, data[a:b]))
+        first = e + 1
+    return out
+
+
+def test_chunks(spark):
+    texts = {1: tables.text(1, 200), 2: "", 3: "né ß " * 40, 4: "\n" + tables.text(3, 50) + "  ", 5: "one"}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").coalesce(1)
+    got = defaultdict(list)
+    for r in sorted(substring_dedup.chunks(df).collect()):
+        got[r.doc_id].append((r.start, r.end, r.words, xxhash.xxh3_64_intdigest(texts[r.doc_id][r.start : r.end].encode()) == r.digest % 2**64))
+    for i, t in texts.items():
+        assert got[i] == [(a, b, n, True) for a, b, n, _ in brute_chunks(t)]
+
+
+def test_chunks_resist_shifts(spark):
+    base = tables.words(5, 600)
+    shifted = [*base[:100], "inserted", "here", *base[100:]]
+    df = spark.createDataFrame([(1, " ".join(base)), (2, " ".join(shifted))], "doc_id long, text string")
+    digests = [{r.digest for r in substring_dedup.chunks(df).filter(f"doc_id = {i}").collect()} for i in (1, 2)]
+    assert len(digests[0] & digests[1]) >= len(digests[0]) - 4
+
+
+def test_planted_passages_are_found(spark):
+    plain = {i: tables.text(1000 + i, 150) for i in range(300)}
+    passages = {k: tables.words(5000 + k, 51) for k in range(40)}
+    planted = {}
+    for k, passage in passages.items():
+        for copy in range(2):
+            w = tables.words(9000 + 10 * k + copy, 120)
+            at = 13 * (k + copy) % 100
+            planted[10_000 + 2 * k + copy] = " ".join([*w[:at], *passage, *w[at:]])
+    df = spark.createDataFrame(list({**plain, **planted}.items()), "doc_id long, text string")
+    found = {r.doc_id: r for r in substring_dedup.repeated_passages(df).collect()}
+    assert set(found) <= set(planted)
+    assert len(found) >= 0.97 * len(planted)
+
+
+def test_passages_against_plain_grouping(docs, texts):
+    holders = defaultdict(set)
+    chunks = {i: brute_chunks(t) for i, t in list(texts.items())}
+    for i, found in chunks.items():
+        for *_, raw in found:
+            holders[raw].add(i)
+    expected = set()
+    for i, found in chunks.items():
+        run = []
+        for c in [*found, None]:
+            if c and len(holders[c[3]]) > 1:
+                run.append(c)
+                continue
+            if run and sum(x[2] for x in run) >= substring_dedup.MIN_WORDS:
+                expected.add((i, run[0][0], run[-1][1], sum(x[2] for x in run)))
+            run = []
+    got = {(r.doc_id, r.start, r.end, r.n_words) for r in substring_dedup.repeated_passages(docs).collect()}
+    assert got == expected
