@@ -12,14 +12,14 @@ from tidewell.sources.records import record
 
 _ITEM = "title:string,link:string,guid:string,id:string,description:string,summary:string,pubDate:string,published:string,updated:string"
 _SCHEMA = f"channel STRUCT<item: ARRAY<STRUCT<{_ITEM}>>>, entry ARRAY<STRUCT<{_ITEM.replace('link:string', 'link:struct<_href:string>')}>>"
-_RFC822 = "EEE, d MMM yyyy HH:mm:ss Z"
+_RFC822 = "d MMM yyyy HH:mm:ss Z"
 
 #: One parser, ten feeds: names of collectors that differ by their settings alone.
 WRAPPERS = ("aljazeera", "ap", "bbc", "billboard", "guardian", "hatena", "ign", "polygon", "reuters", "variety")
 
 
 def feed_time(c: Column) -> Column:
-    zoned = F.regexp_replace(c, r"\b(GMT|UTC|UT)\b", "+0000")
+    zoned = F.regexp_replace(F.regexp_replace(c, r"^\s*[A-Za-z]{3},\s*", ""), r"\b(GMT|UTC|UT)\b", "+0000")
     return F.coalesce(F.try_to_timestamp(zoned, F.lit(_RFC822)), F.try_to_timestamp(c))
 
 
