@@ -63,9 +63,11 @@ def test_binomial_bound_is_exact(spark):
 
 def test_levels_limit_false_rejections(spark):
     """A stratum with few labels rejects nothing; one with many rejects its bad rows alone."""
-    rated = [(i, "en", False, 5 if i % 5 == 0 else None) for i in range(2000)] + [(3000 + i, "fr", False, 5 if i % 5 == 0 else None) for i in range(50)]
-    rated += [(5000 + i, "de", False, 5) for i in range(2000)]  # good and bad look alike
-    df = spark.createDataFrame(rated, "doc_id long, stratum string, base_failed boolean, level int")
+    never = quality_rules.LEVELS
+    rated = [(i, "en", 5 if i % 5 == 0 else never) for i in range(2000)] + [(3000 + i, "fr", 5 if i % 5 == 0 else never) for i in range(50)]
+    rated += [(5000 + i, "de", 5) for i in range(2000)]  # good and bad look alike
+    rated += [(8000 + i, "it", -1) for i in range(500)]  # the base rules reject all
+    df = spark.createDataFrame(rated, "doc_id long, stratum string, rank int")
     labels = spark.createDataFrame([(r[0], int(r[0] % 5 != 0) if r[1] != "de" else int(r[0] % 2)) for r in rated], "doc_id long, quality int")
     got = {r.stratum: r.cutoff_level for r in quality_rules.choose_levels(df, labels).collect()}
     assert got == {"en": 5, "de": 0}  # level 0 of de rejects nothing

@@ -138,19 +138,20 @@ def signals(docs: DataFrame, carry: list[str] | None = None, text: str = "text")
 def choose_levels(rated: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
     """``stratum``, ``cutoff_level``: strata that reject, and the level from which they do.
 
-    ``rated``: ``doc_id``, ``stratum``, ``base_failed``, ``level``; ``labels``: ``doc_id``,
-    ``quality`` (1: good; rows with a null are left out, a document labelled twice counts with
+    ``rated``: ``doc_id``, ``stratum``, ``rank`` (see _rank); ``labels``: ``doc_id``, ``quality`` (1: good; rows with a null are left out, a document labelled twice counts with
     its worst label). Counts per stratum and level are pre-aggregated; the result has one row
     a stratum at most.
     """
     marks = labels.filter("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    held = rated.filter("not base_failed").join(marks, "doc_id")
-    good, bad = (F.col("quality") == 1).cast("long"), (F.col("quality") != 1).cast("long")
-    per = held.groupBy("stratum", F.coalesce("level", F.lit(LEVELS)).alias("level")).agg(F.sum(good).alias("g"), F.sum(bad).alias("b"))
+    held = rated.join(marks, "doc_id")
+    # counted where the base rules pass; a filter would be pushed into the texts' projections
+    passes = F.col("rank") >= 0
+    good, bad = (passes & (F.col("quality") == 1)).cast("long"), (passes & (F.col("quality") != 1)).cast("long")
+    per = held.groupBy("stratum", F.col("rank").alias("level")).agg(F.sum(good).alias("g"), F.sum(bad).alias("b"))
     totals = per.groupBy("stratum").agg(
         F.sum("g").alias("n"), F.sum("b").alias("m"), F.collect_list(F.struct("level", "g", "b")).alias("counts")
     )  # a stratum has LEVELS + 1 rows at most
-    strata = totals.agg(F.count(F.lit(1)).alias("strata"))
+    strata = totals.agg(F.count_if(F.col("n") + F.col("m") > 0).alias("strata"))
 
     def upto(level: Column, what: str) -> Column:
         return F.aggregate("counts", F.lit(0).cast("long"), lambda s, x: s + F.when(x["level"] <= level, x[what]).otherwise(0))
@@ -159,6 +160,7 @@ def choose_levels(rated: DataFrame, labels: DataFrame, alpha: float = ALPHA, del
         "stratum", "n", "m", "strata",
         F.explode(F.transform(F.sequence(F.lit(0), F.lit(LEVELS - 1)), lambda l: F.struct(l.alias("l"), upto(l, "g").alias("k"), upto(l, "b").alias("hit")))).alias("x"),
     ).select("stratum", "n", "m", "strata", "x.*")
+    tried = tried.filter("n > 0")
     holds = F.when(F.col("k") >= F.col("n") * alpha, F.lit(False)).otherwise(binomial_cdf(F.col("k"), F.col("n"), alpha) <= F.lit(delta) / F.col("strata"))
     order = Window.partitionBy("stratum").orderBy("l")
     passed = tried.withColumn("holds", holds).withColumn("so_far", F.min(F.col("holds").cast("int")).over(order)).filter("so_far = 1")
@@ -172,11 +174,14 @@ def _stratum(lang: Column) -> Column:
     return F.coalesce(lang, F.lit(""))
 
 
+def _rank() -> Column:
+    """-1 where the base rules fail, else the level, LEVELS where no level rejects."""
+    return F.when(F.col("base_failed"), -1).otherwise(F.coalesce("level", F.lit(LEVELS)))
+
+
 def judge(rated: DataFrame, levels: DataFrame) -> DataFrame:
     """Adds ``kept`` to rated rows. ``levels`` has one row a stratum (language)."""
-    joined = rated.join(levels, "stratum", "left")
-    verdict = ~F.col("base_failed") & F.coalesce(F.col("level").isNull() | (F.col("level") > F.col("cutoff_level")), F.lit(True))
-    return joined.withColumn("kept", verdict)
+    return rated.join(levels, "stratum", "left").withColumn("kept", F.col("rank") > F.coalesce("cutoff_level", F.lit(-1)))
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
@@ -191,6 +196,7 @@ def quality_rules(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delt
         signals(docs, ["doc_id", "lang"])
         .withColumnRenamed("__tw_c0", "doc_id")
         .withColumn("stratum", _stratum(F.col("__tw_c1")))
+        .withColumn("rank", _rank())
         .drop("__tw_c1")
     )
     return judge(rated, choose_levels(rated, labels.select("doc_id", "quality"), alpha, delta))
@@ -203,9 +209,9 @@ def kept_documents(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, del
     are never shuffled; between the passes only the chosen levels (a row a stratum) go on.
     """
     rated = signals(docs, ["doc_id", "lang"]).select(
-        F.col("__tw_c0").alias("doc_id"), _stratum(F.col("__tw_c1")).alias("stratum"), "base_failed", "level"
+        F.col("__tw_c0").alias("doc_id"), _stratum(F.col("__tw_c1")).alias("stratum"), _rank().alias("rank")
     )
     levels = cut(choose_levels(rated, labels.select("doc_id", "quality"), alpha, delta))
     names = docs.columns
-    again = signals(docs, names).withColumn("stratum", _stratum(F.col(f"__tw_c{names.index('lang')}")))
+    again = signals(docs, names).withColumn("stratum", _stratum(F.col(f"__tw_c{names.index('lang')}"))).withColumn("rank", _rank())
     return judge(again, levels).filter("kept").select(*[F.col(f"__tw_c{i}").alias(c) for i, c in enumerate(names)])
