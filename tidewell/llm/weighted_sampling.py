@@ -15,9 +15,9 @@ from pyspark.sql import functions as F
 
 from tidewell.llm.common import words
 
-SAMPLES = 16
+SAMPLES = 24
 #: Ranges of equal counts from quantiles of the ids, and rows of a part of one, in expectation.
-COARSE, PART_ROWS = 64, 20_000
+COARSE, PART_ROWS = 64, 4_000
 
 
 def weighted_terms(text: Column, docs: DataFrame, keep: list[str]) -> DataFrame:
