@@ -49,6 +49,11 @@ def cut(df: DataFrame) -> DataFrame:
         spark.conf.set(name, before)
 
 
+def small(df: DataFrame, rows: int = 100_000) -> DataFrame:
+    """``df``, which is cut already, to be broadcast if it has at most ``rows`` rows; else as it is."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def ship(spark: SparkSession) -> None:
     """Send the package's sources to the executors, once a Spark context."""
     sc = spark.sparkContext

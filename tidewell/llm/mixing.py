@@ -13,7 +13,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import WORD, cut, unit_interval
+from tidewell.llm.common import WORD, cut, small, unit_interval
 
 MARGINS = ("source", "lang", "topic")
 #: Target shares by default: shares of tokens to this power, normalised; under 1 it lifts small groups.
@@ -138,9 +138,9 @@ def mixed_documents(
     """The rows of ``docs`` that :func:`mix` keeps, with all their columns.
 
     Cells are computed twice from the texts, so that texts are never shuffled when the table
-    of probabilities (a row a cell) is small enough for Spark to broadcast.
+    of probabilities (a row a cell) is small: it is counted, and broadcast up to 100,000 rows.
     """
     cells = _cells(docs, topic, seed, key, text)
-    table = cut(_probability_table(docs.select(*cells), targets, temperature, keep))
+    table = small(cut(_probability_table(docs.select(*cells), targets, temperature, keep)))
     joined = docs.select(F.struct(*docs.columns).alias("__tw_row"), *cells).join(table, [f"__tw_{m}" for m in MARGINS])
     return joined.filter("__tw_u < __tw_p").select("__tw_row.*")

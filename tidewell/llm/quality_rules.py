@@ -20,7 +20,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import cut, words
+from tidewell.llm.common import cut, small, words
 
 LEVELS = 16
 #: Signal: cutoff at level 0, cutoff at the last level; between them in equal steps.
@@ -199,7 +199,7 @@ def quality_rules(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delt
         .withColumn("rank", _rank())
         .drop("__tw_c1")
     )
-    return judge(rated, choose_levels(rated, labels.select("doc_id", "quality"), alpha, delta))
+    return judge(rated, small(cut(choose_levels(rated, labels.select("doc_id", "quality"), alpha, delta))))
 
 
 def kept_documents(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
@@ -211,7 +211,7 @@ def kept_documents(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, del
     rated = signals(docs, ["doc_id", "lang"]).select(
         F.col("__tw_c0").alias("doc_id"), _stratum(F.col("__tw_c1")).alias("stratum"), _rank().alias("rank")
     )
-    levels = cut(choose_levels(rated, labels.select("doc_id", "quality"), alpha, delta))
+    levels = small(cut(choose_levels(rated, labels.select("doc_id", "quality"), alpha, delta)))
     names = docs.columns
     again = signals(docs, names).withColumn("stratum", _stratum(F.col(f"__tw_c{names.index('lang')}"))).withColumn("rank", _rank())
     return judge(again, levels).filter("kept").select(*[F.col(f"__tw_c{i}").alias(c) for i, c in enumerate(names)])
