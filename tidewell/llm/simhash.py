@@ -163,17 +163,21 @@ def compare_blocks(
 ) -> tuple[np.ndarray, np.ndarray]:
     """Index pairs within the radius. ``a``, ``b``: (n, words64) unsigned fingerprints.
 
-    The first 64 bits are compared for all pairs, further ones for those pairs alone whose
+    The first 128 bits are compared for all pairs, further ones for those pairs alone whose
     distance so far is within the radius. With ``ratio``, sizes must not differ by more.
     """
     rows, columns = [], []
     step = max(1, (1 << 20) // max(1, len(b)))
+    first = min(2, a.shape[1])
     for at in range(0, len(a), step):
-        near = np.bitwise_count(a[at : at + step, :1] ^ b[None, :, 0]) <= min(radius, 64)
+        distance = np.bitwise_count(a[at : at + step, :1] ^ b[None, :, 0])
+        for k in range(1, first):
+            distance += np.bitwise_count(a[at : at + step, k : k + 1] ^ b[None, :, k])
+        near = distance <= min(radius, 64 * first)
         if same:
             near &= np.arange(at, at + near.shape[0])[:, None] < np.arange(len(b))[None, :]
         i, j = np.nonzero(near)
-        if a.shape[1] > 1 and len(i):
+        if a.shape[1] > first and len(i):
             far = np.bitwise_count(a[at + i] ^ b[j]).sum(axis=1, dtype=np.int64)
             i, j = i[far <= radius], j[far <= radius]
         if ratio and len(i):
