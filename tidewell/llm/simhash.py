@@ -21,11 +21,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import cut, map_arrow
+from tidewell.llm.common import cut, map_arrow, small
 from tidewell.llm.components import components
 
 #: Fingerprints in one block of a tile, in expectation.
 BLOCK = 2048
+#: Nodes and shingles in one block of a group whose sets are compared, in expectation.
+SET_BLOCK, SET_SHINGLES = 256, 500_000
 SEED = 42
 
 
@@ -68,30 +70,40 @@ def fingerprint(hashes: np.ndarray, words64: int = 1) -> np.ndarray:
     return np.packbits(2 * counts > len(hashes), bitorder="little").view(np.uint64)
 
 
-def fingerprints(docs: DataFrame, shingle: int = 3, words64: int = 1, text: str = "text", key: str = "doc_id") -> DataFrame:
+def shingle_set(hashes: np.ndarray) -> tuple[np.ndarray, int]:
+    """The distinct hashes in ascending order, and a signed digest of them."""
+    held = np.unique(hashes)
+    return held, int(np.uint64(xxhash.xxh3_64_intdigest(held.tobytes())).view(np.int64))
+
+
+def fingerprints(
+    docs: DataFrame, shingle: int = 3, words64: int = 1, text: str = "text", key: str = "doc_id", sets: bool = False
+) -> DataFrame:
     """``doc_id``, ``size`` (shingles, long) and ``fp`` (array of longs) of every row.
 
-    A null text counts as an empty one; an empty text has size 0 and fingerprint zero.
-    Whole texts are read, one at a time. Repeated rows give repeated results.
+    With ``sets`` also ``digest``, which equal sets of shingles share. A null text counts as an
+    empty one; an empty text has size 0 and fingerprint zero. Whole texts are read, one at a
+    time. Repeated rows give repeated results.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(1).cast(pa.binary())
-            sizes, found = [], []
+            sizes, found, digests = [], [], []
             for t in texts:
                 h = shingle_hashes(t.as_py() or b"", shingle)
+                if sets:
+                    digests.append(shingle_set(h)[1])
                 sizes.append(len(h))
                 found.append(fingerprint(h, words64).view(np.int64))
             values = pa.array(np.concatenate(found)) if found else pa.array([], pa.int64())
             offsets = pa.array(np.arange(0, len(sizes) * words64 + 1, words64), pa.int32())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(offsets, values)],
-                names=["doc_id", "size", "fp"],
-            )
+            columns = [batch.column(0), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(offsets, values)]
+            columns += [pa.array(digests, pa.int64())] if sets else []
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "size", "fp", "digest"][: len(columns)])
 
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return map_arrow(rows, run, "doc_id long, size long, fp array<long>")
+    return map_arrow(rows, run, "doc_id long, size long, fp array<long>" + (", digest long" if sets else ""))
 
 
 def _segment_counts(fp: Column, segments: int) -> list[Column]:
@@ -248,15 +260,104 @@ def links(nodes: DataFrame, radius: int, words64: int = 1, ratio: float = 0.0) -
     return map_arrow(pairs, run, "u long, v long", rows=64)
 
 
+def similar_links(
+    docs: DataFrame, nodes: DataFrame, groups: DataFrame, shingle: int, radius: int, words64: int, similarity: float,
+    text: str = "text", key: str = "doc_id",
+) -> DataFrame:
+    """Links ``u``, ``v`` between nodes of a group whose sets of shingles are similar enough.
+
+    ``nodes``: ``node`` (a doc_id), ``size``, ``digest``; ``groups``: ``node``, ``root``, as
+    :func:`components` gives them for the links of fingerprints. Sets are read from the texts again, for
+    the nodes of groups alone. A large group is split into blocks of bounded size and every pair of blocks
+    is compared: pairs of fingerprints within ``radius``, then the exact Jaccard similarity of
+    their sets. Pairs that links of the same two blocks join already are not compared, so links
+    have the components of all links.
+    """
+    whole = groups.unionByName(groups.select(F.col("root").alias("node"), "root").distinct())
+    members = cut(nodes.select("node", "size", "digest").join(whole, "node"))
+    blocks = F.greatest(F.ceil(F.count(F.lit(1)) / SET_BLOCK), F.ceil(F.sum("size") / SET_SHINGLES)).alias("blocks")
+    large = small(cut(members.groupBy("root").agg(blocks).filter("blocks > 1")))
+    block = F.pmod(F.xxhash64("node"), F.coalesce("blocks", F.lit(1).cast("long"))).cast("int").alias("block")
+    places = small(cut(members.join(large, "root", "left").select("node", "digest", "root", block)))
+    texts = docs.select(F.col(key).cast("long").alias("node"), F.col(text).alias("text")).join(places, "node")
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, sizes, fps, sets = [], [], [np.empty((0, words64), np.uint64)], []
+            digests = batch.column(2).to_pylist()
+            for row, t in enumerate(batch.column(1).cast(pa.binary())):
+                h = shingle_hashes(t.as_py() or b"", shingle)
+                held, digest = shingle_set(h)
+                if digest != digests[row]:  # another text of the same doc_id
+                    continue
+                at.append(row)
+                sizes.append(len(h))
+                fps.append(fingerprint(h, words64)[None, :])
+                sets.append(held.view(np.int64))
+            fp = np.concatenate(fps).view(np.int64)
+            kept = batch.take(pa.array(at, pa.int64()))
+            columns = [*kept.columns[:1], *kept.columns[2:], pa.array(sizes, pa.int64())]
+            columns += [pa.array(np.ascontiguousarray(fp[:, k])) for k in range(words64)] + [pa.array(sets, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["node", "digest", "root", "block", "size", *parts, "held"])
+
+    parts = [f"f{k}" for k in range(words64)]
+    schema = "node long, digest long, root long, block int, size long, " + ", ".join(f"{f} long" for f in parts) + ", held array<long>"
+    read_sets = map_arrow(texts.select("node", "text", "digest", "root", "block"), read, schema).dropDuplicates(["node", "digest"])
+    held = cut(read_sets.groupBy("root", "block").agg(F.collect_list(F.struct("node", "size", *parts, "held")).alias("held")))
+    left = held.select("root", F.col("block").alias("block_a"), F.col("held").alias("held_a"))
+    right = held.select("root", F.col("block").alias("block_b"), F.col("held").alias("held_b"))
+    pairs = left.join(right, "root").filter("block_a <= block_b")
+    pairs = pairs.select("held_a", F.when(F.col("block_a") < F.col("block_b"), F.col("held_b")).alias("held_b"))
+
+    def unpacked(column: pa.ListArray, row: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+        rows = column.slice(row, 1).flatten()
+        fp = np.stack([rows.field(f).to_numpy() for f in parts], axis=1).view(np.uint64)
+        lists = rows.field("held")
+        ends = np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))
+        return rows.field("node").to_numpy(), rows.field("size").to_numpy(), fp, np.split(lists.flatten().to_numpy(), ends[:-1])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            us, vs = [], []
+            for row in range(batch.num_rows):
+                a, size_a, fp_a, sets_a = unpacked(batch.column(0), row)
+                same = not batch.column(1)[row].is_valid
+                b, size_b, fp_b, sets_b = (a, size_a, fp_a, sets_a) if same else unpacked(batch.column(1), row)
+                i, j = compare_blocks(fp_a, fp_b, same, radius, size_a, size_b, similarity)
+                parent: dict[int, int] = {}
+
+                def top(x: int, parent: dict[int, int] = parent) -> int:
+                    while (up := parent.get(x, x)) != x:
+                        parent[x] = parent.get(up, up)
+                        x = up
+                    return x
+
+                for x, y in zip(i.tolist(), j.tolist(), strict=True):
+                    u, v = top(int(a[x])), top(int(b[y]))
+                    if u != v and jaccard(sets_a[x], sets_b[y]) >= similarity:
+                        parent[u] = v
+                        us.append(int(a[x]))
+                        vs.append(int(b[y]))
+            yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
+
+    return map_arrow(pairs, run, "u long, v long", rows=8)
+
+
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    """Jaccard similarity of two sets, as sorted distinct numbers that are not both empty."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / (len(a) + len(b) - both)
+
+
 def near_duplicates(
     docs: DataFrame, shingle: int = 5, radius: int | None = None, words64: int = 4, similarity: float = 0.8
 ) -> DataFrame:
     """One row per input row: ``doc_id``, ``size``, ``fp``, ``component_id``.
 
     ``radius``: bits. By default it follows from ``similarity``: the expected distance of two
-    sets of equal size at that Jaccard similarity plus two standard deviations, so that
-    pairs at the threshold are found with a probability of 0.97 and more similar ones nearly
-    always; sizes must then agree to the similarity, too. With a given radius only the
+    sets of equal size at that Jaccard similarity plus four standard deviations. Pairs within it,
+    whose sizes agree to the similarity, are candidates only; those are linked whose sets of
+    shingles have that similarity exactly (by 64-bit hashes). With a given radius only the
     fingerprints decide. ``component_id`` is the smallest doc_id that links reach.
 
     Texts: null counts as empty; all empty texts share fingerprint zero and are linked.
@@ -267,18 +368,18 @@ def near_duplicates(
     ratio = 0.0
     if radius is None:
         bits, p = 64 * words64, math.acos(2 * similarity / (1 + similarity)) / math.pi
-        radius, ratio = round(bits * p + 2 * math.sqrt(bits * p * (1 - p))), similarity
-    rows = cut(fingerprints(docs, shingle, words64))
-    classes = cut(
-        rows.filter("doc_id is not null").groupBy("fp", "size").agg(F.min("doc_id").alias("node"))
-        if ratio
-        else rows.filter("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("node"), F.max("size").alias("size"))
-    )
+        radius, ratio = round(bits * p + 4 * math.sqrt(bits * p * (1 - p))), similarity
+    rows = cut(fingerprints(docs, shingle, words64, sets=bool(ratio)))
+    # classes of equal sets, or of equal fingerprints where these alone decide
+    on = ["fp", "size", "digest"] if ratio else ["fp"]
+    held = rows.filter("doc_id is not null").groupBy(*on)
+    classes = cut(held.agg(F.min("doc_id").alias("node")) if ratio else held.agg(F.min("doc_id").alias("node"), F.max("size").alias("size")))
     found = links(classes, radius, words64, ratio)
+    if ratio:
+        found = similar_links(docs, classes, components(found), shingle, radius, words64, similarity)
     # rows that share a doc_id are one document, even where their texts differ
-    mark = F.xxhash64("fp", "size")
+    mark = F.xxhash64(*(on if ratio else ["fp", "size"]))
     shared = rows.filter("doc_id is not null").groupBy("doc_id").agg(F.min(mark).alias("a"), F.max(mark).alias("b")).filter("a <> b").select("doc_id")
-    on = ["fp", "size"] if ratio else ["fp"]
     several = rows.select("doc_id", *on).join(shared, "doc_id").join(classes.select("node", *on), on)
     found = found.unionByName(several.select(F.col("doc_id").alias("u"), F.col("node").alias("v")))
     roots = components(found)
