@@ -216,6 +216,14 @@ def test_similarity_is_exact(spark):
     assert {r.doc_id: r.component_id for r in simhash.near_duplicates(df).collect()} == expected
 
 
+def test_similarity_is_that_of_sets(spark):
+    """Lines that one text repeats change its count of shingles by more than the ratio, its set hardly."""
+    base = tables.words(31, 300)
+    lines = [" ".join(base[i : i + 60]) for i in range(0, 300, 60)]
+    df = spark.createDataFrame([(1, "\n".join(lines)), (2, "\n".join([*lines, lines[3], lines[4], lines[3], lines[4]]))], "doc_id long, text string")
+    assert {r.doc_id: (r.size, r.component_id) for r in simhash.near_duplicates(df).collect()} == {1: (296, 1), 2: (300, 1)}
+
+
 def test_similarity_in_large_groups(spark, monkeypatch):
     """Chains of near copies in many small blocks give the components of all exact pairs."""
     base = tables.words(77, 300)

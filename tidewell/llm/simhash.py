@@ -81,7 +81,7 @@ def fingerprints(
 ) -> DataFrame:
     """``doc_id``, ``size`` (shingles, long) and ``fp`` (array of longs) of every row.
 
-    With ``sets`` also ``digest``, which equal sets of shingles share. A null text counts as an
+    With ``sets`` repeats of a shingle do not count, and ``digest`` is what equal sets share. A null text counts as an
     empty one; an empty text has size 0 and fingerprint zero. Whole texts are read, one at a
     time. Repeated rows give repeated results.
     """
@@ -93,7 +93,8 @@ def fingerprints(
             for t in texts:
                 h = shingle_hashes(t.as_py() or b"", shingle)
                 if sets:
-                    digests.append(shingle_set(h)[1])
+                    h, digest = shingle_set(h)
+                    digests.append(digest)
                 sizes.append(len(h))
                 found.append(fingerprint(h, words64).view(np.int64))
             values = pa.array(np.concatenate(found)) if found else pa.array([], pa.int64())
@@ -286,13 +287,12 @@ def similar_links(
             at, sizes, fps, sets = [], [], [np.empty((0, words64), np.uint64)], []
             digests = batch.column(2).to_pylist()
             for row, t in enumerate(batch.column(1).cast(pa.binary())):
-                h = shingle_hashes(t.as_py() or b"", shingle)
-                held, digest = shingle_set(h)
+                held, digest = shingle_set(shingle_hashes(t.as_py() or b"", shingle))
                 if digest != digests[row]:  # another text of the same doc_id
                     continue
                 at.append(row)
-                sizes.append(len(h))
-                fps.append(fingerprint(h, words64)[None, :])
+                sizes.append(len(held))
+                fps.append(fingerprint(held, words64)[None, :])
                 sets.append(held.view(np.int64))
             fp = np.concatenate(fps).view(np.int64)
             kept = batch.take(pa.array(at, pa.int64()))
@@ -357,7 +357,8 @@ def near_duplicates(
     ``radius``: bits. By default it follows from ``similarity``: the expected distance of two
     sets of equal size at that Jaccard similarity plus four standard deviations. Pairs within it,
     whose sizes agree to the similarity, are candidates only; those are linked whose sets of
-    shingles have that similarity exactly (by 64-bit hashes). With a given radius only the
+    shingles have that similarity exactly (by 64-bit hashes); ``size`` and ``fp`` are those of the
+    set then, without repeats. With a given radius only the
     fingerprints decide. ``component_id`` is the smallest doc_id that links reach.
 
     Texts: null counts as empty; all empty texts share fingerprint zero and are linked.
