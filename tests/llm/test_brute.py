@@ -294,6 +294,31 @@ def test_mixing_meets_margins(spark, docs):
     assert max(r.probability for r in table) <= 1 and sum(r.probability * r.tokens for r in table) == pytest.approx(0.4 * total, rel=0.01)
 
 
+def test_mixing_holds_margins_of_probabilities(spark):
+    from pyspark.sql import functions as F
+
+    rows = [(s, l, t, 100 + 37 * (i % 5) ** 3) for i, (s, l, t) in enumerate((s, l, t) for s in "abc" for l in "xy" for t in "pqr")]
+    cells = spark.createDataFrame(rows, "source string, lang string, topic string, tokens long")
+    total = sum(r[3] for r in rows)
+    have = {k: {v: sum(r[3] for r in rows if r[k] == v) / total for v in sorted({r[k] for r in rows})} for k in range(3)}
+    for p_share in (0.9 * have[2]["p"], 2 * have[2]["p"]):  # within reach at 0.8, and out of reach
+        rest = 1 - have[2]["p"]
+        goals = {"source": have[0], "lang": have[1], "topic": {v: p_share if v == "p" else (1 - p_share) * have[2][v] / rest for v in "pqr"}}
+        if p_share < have[2]["p"]:
+            goals["source"] = {"a": 1.15 * have[0]["a"], "b": have[0]["b"], "c": 1 - 1.15 * have[0]["a"] - have[0]["b"]}
+        raked = mixing.rake(cells, {m: spark.createDataFrame(list(d.items()), "value string, share double") for m, d in goals.items()})
+        assert 0.8 * max(r.mass / r.tokens for r in raked.collect()) > 1  # some cells are held at 1
+        table = mixing.probabilities(raked, 0.8)
+        assert all(0 < r.probability <= 1 for r in table.collect())
+        assert table.agg(F.sum(F.col("probability") * F.col("tokens"))).first()[0] == pytest.approx(0.8 * total, rel=2e-3)
+        got = {(r.margin, r.value): (r.target, r.reached) for r in mixing.margin_gaps(table).collect()}
+        most = min(p_share, have[2]["p"] / 0.8)
+        goals["topic"] = {v: most if v == "p" else (1 - most) * have[2][v] / rest for v in "pqr"}
+        for margin, goal in goals.items():
+            assert {v: got[margin, v][1] for v in goal} == pytest.approx(goal, abs=3e-3)
+        assert got["topic", "p"][0] == pytest.approx(p_share, abs=2e-3)
+
+
 def test_mixing_samples_by_probability(docs):
     got = mixing.mix(docs).collect()
     assert sum(r.n_tokens for r in got if r.kept) / sum(r.n_tokens for r in got) == pytest.approx(0.8, abs=0.12)

@@ -2,8 +2,8 @@
 
 Documents fall into cells (source, language, topic). The cells' token masses are raked: one
 margin after the other is scaled to its target shares until all margins agree. The ratio of a
-cell's raked mass to its own, scaled to a budget and cut at 1, is the probability with which
-each of its documents is sampled, by a seeded hash of its id.
+cell's raked mass to its own, scaled to a budget, is the probability with which each of its documents
+is sampled, by a seeded hash of its id; cells that reach 1 stay there while the others are raked again.
 """
 
 from __future__ import annotations
@@ -81,20 +81,70 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame]) -> DataFrame:
     return state.select(*cells.columns, "mass")
 
 
+def _least_factor(wanted: Column, value: str, cap: str, by: list[str], ties: list[str]) -> Column:
+    """The factor f per group at which the sum of least(cap, f * value) is ``wanted``, at most the sum of caps.
+
+    With the rows that f caps first in order, each prefix of capped rows gives a lower bound
+    of f, and the right one gives f itself."""
+    order = Window.partitionBy(*by).orderBy((F.col(value) / F.col(cap)).desc(), *ties)
+    held = F.coalesce(F.sum(cap).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("double"))
+    rest = F.sum(value).over(order.rowsBetween(0, Window.unboundedFollowing))
+    return F.when(rest > 0, (wanted - held) / rest)
+
+
+def _reachable(raked: DataFrame, margin: str, keep: float) -> DataFrame:
+    """``margin``, ``goal``: tokens to sample of each value. Values with fewer tokens than their share
+    of the sample give all, the others share what they leave in proportion to the targets."""
+    rows = raked.groupBy(margin).agg(F.sum("mass").alias("want"), F.sum(F.col("tokens").cast("double")).alias("cap"))
+    total = F.sum("cap").over(Window.partitionBy()) * keep
+    rows = rows.withColumn("f", _least_factor(total, "want", "cap", [], [margin]))
+    return rows.select(margin, F.least("cap", F.col("want") * F.max("f").over(Window.partitionBy())).alias(f"goal_{margin}"))
+
+
 def probabilities(raked: DataFrame, keep: float = KEEP) -> DataFrame:
-    """Adds ``probability``: min(1, scale * mass / tokens), with the scale that samples the
-    share ``keep`` of all tokens. The scale is found by three sweeps of 32 candidates."""
+    """Adds ``probability``, which samples the share ``keep`` of all tokens and gives
+    probability * tokens the margins of ``mass``.
+
+    Where the scale takes no cell above 1 it is all that is needed. Else cells that would exceed 1 are
+    held at 1 and the others raked again, until all margins hold. A value that has too few tokens for its
+    share of the sample is sampled whole, and the others keep their proportions; :func:`margin_gaps` lists such gaps.
+    """
     ratio = F.col("mass") / F.col("tokens")
-    whole = raked.agg(F.sum("tokens").alias("t"), F.min(ratio).alias("a")).first()
-    if not whole["t"]:
+    whole = raked.agg(F.sum("tokens").alias("t"), F.sum("mass").alias("m"), F.max(ratio).alias("a")).first()
+    if not whole["t"] or not whole["m"]:
         return raked.withColumn("probability", F.lit(1.0))
-    low, high = math.log(keep) - 1.0, max(0.0, -math.log(whole["a"]))
-    for _ in range(3):
-        tried = [low + (high - low) * i / 31 for i in range(32)]
-        got = raked.agg(*[F.sum(F.col("tokens") * F.least(F.lit(1.0), ratio * math.exp(x))).alias(f"s{i}") for i, x in enumerate(tried)]).first()
-        at = next((i for i in range(32) if got[f"s{i}"] >= keep * whole["t"]), 31)
-        low, high = tried[max(0, at - 1)], tried[at]
-    return raked.withColumn("probability", F.least(F.lit(1.0), ratio * math.exp(high)))
+    scale = keep * whole["t"] / whole["m"]
+    if scale * whole["a"] <= 1:
+        return raked.withColumn("probability", ratio * scale)
+    state = raked.withColumn("__tw_x", F.col("mass") * scale).withColumn("__tw_cap", F.col("tokens").cast("double"))
+    for margin in MARGINS:
+        state = state.join(_reachable(raked, margin, keep), margin)
+    state = cut(state)
+    sampled = F.least("__tw_cap", "__tw_x")
+    for _ in range(MAX_ROUNDS):
+        for margin in MARGINS:
+            # the sum of caps may come out a little smaller in another order
+            wanted = F.least(F.col(f"goal_{margin}"), F.sum("__tw_cap").over(Window.partitionBy(margin)))
+            state = state.withColumn("__tw_f", _least_factor(wanted, "__tw_x", "__tw_cap", [margin], list(MARGINS)))
+            state = state.withColumn("__tw_x", F.col("__tw_x") * F.coalesce(F.max("__tw_f").over(Window.partitionBy(margin)), F.lit(1.0)))
+        state = cut(state.select(*raked.columns, "__tw_x", "__tw_cap", *[f"goal_{m}" for m in MARGINS]))
+        off = [F.abs(F.sum(sampled).over(Window.partitionBy(m)) / F.greatest(F.col(f"goal_{m}"), F.lit(1e-9)) - 1) for m in MARGINS]
+        worst = state.select(F.when(F.col("__tw_x") > 0, F.greatest(*off)).alias("off")).agg(F.max("off")).first()[0]
+        if (worst or 0.0) < TOLERANCE:
+            break
+    return state.withColumn("probability", sampled / F.col("__tw_cap")).select(*raked.columns, "probability")
+
+
+def margin_gaps(table: DataFrame) -> DataFrame:
+    """``margin``, ``value``, ``target``, ``reached``: shares of tokens that a table of
+    :func:`probabilities` was to have and that it samples, a row a value of a margin."""
+    parts = [
+        table.groupBy(F.lit(m).alias("margin"), F.col(m).alias("value")).agg(F.sum("mass").alias("target"), F.sum(F.col("probability") * F.col("tokens")).alias("reached"))
+        for m in MARGINS
+    ]
+    rows = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    share = lambda c: (F.col(c) / F.sum(c).over(Window.partitionBy("margin"))).alias(c)
+    return rows.select("margin", "value", share("target"), share("reached"))
 
 
 def _probability_table(slim: DataFrame, targets: dict[str, DataFrame] | None, temperature: float, keep: float) -> DataFrame:
