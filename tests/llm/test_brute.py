@@ -319,6 +319,20 @@ def test_mixing_holds_margins_of_probabilities(spark):
         assert got["topic", "p"][0] == pytest.approx(p_share, abs=2e-3)
 
 
+def test_raking_goes_on_or_warns(spark):
+    from pyspark.sql import functions as F
+
+    share = lambda d: spark.createDataFrame(list(d.items()), "value string, share double")
+    goal = {"source": share({"a": 0.5, "b": 0.5}), "lang": share({"x": 0.5, "y": 0.5})}
+    schema = "source string, lang string, topic string, tokens long"
+    sparse = spark.createDataFrame([("a", "x", "p", 1), ("a", "y", "p", 1000), ("b", "x", "p", 900_000), ("b", "y", "p", 600)], schema)
+    raked = mixing.rake(sparse, goal)
+    for margin in goal:
+        assert [r[1] / 901_601 for r in raked.groupBy(margin).agg(F.sum("mass")).collect()] == pytest.approx([0.5, 0.5], abs=1e-3)
+    with pytest.warns(UserWarning, match="raking ended"):
+        mixing.rake(spark.createDataFrame([("a", "x", "p", 5), ("b", "y", "p", 5)], schema), {**goal, "lang": share({"x": 0.9, "y": 0.1})})
+
+
 def test_mixing_samples_by_probability(docs):
     got = mixing.mix(docs).collect()
     assert sum(r.n_tokens for r in got if r.kept) / sum(r.n_tokens for r in got) == pytest.approx(0.8, abs=0.12)

@@ -9,6 +9,7 @@ is sampled, by a seeded hash of its id; cells that reach 1 stay there while the
 from __future__ import annotations
 
 import math
+import warnings
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -20,7 +21,9 @@ MARGINS = ("source", "lang", "topic")
 TEMPERATURE = 0.7
 #: Share of all tokens to sample.
 KEEP = 0.8
-TOLERANCE, MAX_ROUNDS = 1e-3, 8
+TOLERANCE, MAX_ROUNDS = 1e-3, 100
+#: Rounds end with a warning, too, where so many in a row don't bring the gap under this share of the least before.
+STALL_ROUNDS, STALLED = 4, 0.999
 
 
 def form_topic(text: Column) -> Column:
@@ -55,29 +58,50 @@ def tempered_targets(cells: DataFrame, margin: str, temperature: float = TEMPERA
     return mass.crossJoin(F.broadcast(total)).select("value", (F.col("m") / F.col("total")).alias("share"))
 
 
+def _gathered(cells: DataFrame, rows: int = 100_000) -> DataFrame:
+    """Cells, which are cut already, in one partition if they are few: windows over them then need no shuffle."""
+    return cells.coalesce(1) if cells.count() <= rows else cells
+
+
+class _Rounds:
+    """Whether raking goes on: ``gap`` is the largest gap of a margin, relative to its target, after each round."""
+
+    def __init__(self):
+        self.done, self.stalled, self.gap, self.least = 0, 0, math.inf, math.inf
+
+    def go_on(self) -> bool:
+        if self.gap < TOLERANCE:
+            return False
+        self.stalled = self.stalled + 1 if self.done and self.gap > STALLED * self.least else 0
+        if self.done >= MAX_ROUNDS or self.stalled >= STALL_ROUNDS:
+            warnings.warn(f"raking ended after {self.done} rounds; a margin is off its target by {self.gap:.2%}", stacklevel=3)
+            return False
+        self.done, self.least = self.done + 1, min(self.least, self.gap)
+        return True
+
+
 def rake(cells: DataFrame, targets: dict[str, DataFrame]) -> DataFrame:
     """``cells`` (margins, ``tokens``) with ``mass``, whose margins have the target shares.
 
     Each step divides by the sum of a margin's value over its cells. Documents were summed up to cells
     before, so a value has at most as many rows as the other margins have combinations, and
     Spark's window spills where they don't fit. Rounds go on until every margin is within TOLERANCE
-    of its target or MAX_ROUNDS are done (targets that contradict each other or the empty
-    cells can't all be met). Cells of values that a target lacks are left out.
+    of its target; where a round gains nothing any more or MAX_ROUNDS are done (targets that contradict each
+    other or the empty cells can't all be met), a warning gives the remaining gap. Cells of values that a target lacks are left out.
     """
     state = cells
     for margin, goal in targets.items():
         state = state.join(goal.select(F.col("value").alias(margin), F.col("share").alias(f"share_{margin}")), margin)
-    state = cut(state.withColumn("mass", F.col("tokens").cast("double")))
+    state = _gathered(cut(state.withColumn("mass", F.col("tokens").cast("double"))))
     total = state.agg(F.sum("mass")).first()[0] or 0.0
-    for _ in range(MAX_ROUNDS):
+    rounds = _Rounds()
+    while rounds.go_on():
         for margin in targets:
             held = F.sum("mass").over(Window.partitionBy(margin))
             state = state.withColumn(f"factor_{margin}", F.col(f"share_{margin}") * total / held)
             state = state.withColumn("mass", F.col("mass") * F.col(f"factor_{margin}"))
         state = cut(state)
-        worst = state.agg(F.max(F.greatest(F.lit(0.0), *[F.abs(F.col(f"factor_{m}") - 1) for m in targets]))).first()[0]
-        if (worst or 0.0) < TOLERANCE:
-            break
+        rounds.gap = state.agg(F.max(F.greatest(F.lit(0.0), *[F.abs(F.col(f"factor_{m}") - 1) for m in targets]))).first()[0] or 0.0
     return state.select(*cells.columns, "mass")
 
 
@@ -119,9 +143,10 @@ def probabilities(raked: DataFrame, keep: float = KEEP) -> DataFrame:
     state = raked.withColumn("__tw_x", F.col("mass") * scale).withColumn("__tw_cap", F.col("tokens").cast("double"))
     for margin in MARGINS:
         state = state.join(_reachable(raked, margin, keep), margin)
-    state = cut(state)
+    state = _gathered(cut(state))
     sampled = F.least("__tw_cap", "__tw_x")
-    for _ in range(MAX_ROUNDS):
+    rounds = _Rounds()
+    while rounds.go_on():
         for margin in MARGINS:
             # the sum of caps may come out a little smaller in another order
             wanted = F.least(F.col(f"goal_{margin}"), F.sum("__tw_cap").over(Window.partitionBy(margin)))
@@ -129,9 +154,7 @@ def probabilities(raked: DataFrame, keep: float = KEEP) -> DataFrame:
             state = state.withColumn("__tw_x", F.col("__tw_x") * F.coalesce(F.max("__tw_f").over(Window.partitionBy(margin)), F.lit(1.0)))
         state = cut(state.select(*raked.columns, "__tw_x", "__tw_cap", *[f"goal_{m}" for m in MARGINS]))
         off = [F.abs(F.sum(sampled).over(Window.partitionBy(m)) / F.greatest(F.col(f"goal_{m}"), F.lit(1e-9)) - 1) for m in MARGINS]
-        worst = state.select(F.when(F.col("__tw_x") > 0, F.greatest(*off)).alias("off")).agg(F.max("off")).first()[0]
-        if (worst or 0.0) < TOLERANCE:
-            break
+        rounds.gap = state.select(F.when(F.col("__tw_x") > 0, F.greatest(*off)).alias("off")).agg(F.max("off")).first()[0] or 0.0
     return state.withColumn("probability", sampled / F.col("__tw_cap")).select(*raked.columns, "probability")
 
 
