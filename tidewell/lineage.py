@@ -2,18 +2,32 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
+#: Folder of checkpoints where ``spark.checkpoint.dir`` is unset and driver and executors are one process.
+LOCAL_FOLDER = "/tmp/checkpoints/tidewell"
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the session's ``spark.checkpoint.dir`` and go on from there.
 
-    Where that is unset (tests on one machine), a folder under /tmp is used.
+def shared_folder(spark: SparkSession) -> str:
+    """The session's ``spark.checkpoint.dir``.
+
+    Unset on one machine (``local`` masters, as in tests) it is LOCAL_FOLDER; unset on a
+    cluster it is an error, as executors of their own could not read what the others wrote.
     """
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if found:
+        return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise RuntimeError("spark.checkpoint.dir is not set: name a folder that driver and executors share")
+    return LOCAL_FOLDER
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write ``df`` to :func:`shared_folder` and go on from there."""
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints/tidewell")
+        sc.setCheckpointDir(shared_folder(spark))
     # a checkpoint hands its plan's constraints on, and in loops they multiply
     name = "spark.sql.constraintPropagation.enabled"
     before = spark.conf.get(name)
