@@ -11,6 +11,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidewell.lineage import shared_folder
 from tidewell.llm import mixing, packing, quality_rules, secret_scan, simhash
 from tidewell.llm.common import table
 
@@ -21,12 +22,15 @@ def apply_quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group with a similarity of 0.8 or more over five-word shingles."""
+    """One document of each group with a similarity of 0.8 or more over five-word shingles.
+
+    Null and empty texts are one group; documents with a null doc_id stay; of rows with one doc_id one
+    stays. Repeated rows are copies. An empty table stays empty."""
     return simhash.deduplicated(docs, shingle=5, similarity=0.8)
 
 
 def replace_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with secrets in their texts replaced by marks."""
+    """All documents, with secrets in their texts replaced by marks. Null texts stay null, an empty table empty."""
     return secret_scan.redacted(docs)
 
 
@@ -36,7 +40,9 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents with their places in sequences of bounded length."""
+    """Pieces of all documents with their places in sequences of bounded length.
+
+    Null and empty texts have one piece of one token; an empty table gives an empty result."""
     return packing.pack(docs)
 
 
@@ -54,8 +60,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; results in between are written to the shared folder."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
-    at = f"{shared.rstrip('/')}/corpus_pipeline/{uuid.uuid4().hex}"
+    at = f"{shared_folder(spark)}/corpus_pipeline/{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES[:-1]):
         stage(spark, docs, sf_dir).write.parquet(f"{at}/{k}")

@@ -11,6 +11,7 @@ import pytest
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from tests.llm import tables
 from tidewell.llm import mixing, packing, quality_classifier, quality_rules, secret_scan, sharding, simhash, substring_dedup, token_counts, weighted_sampling
@@ -54,8 +55,6 @@ def test_base_counts(spark, docs, texts, sf):
 def test_binomial_bound_is_exact(spark):
     cases = [(k, n) for n in (1, 7, 40, 500, 20_000) for k in (0, 1, 3, 10, 60) if k <= n]
     df = spark.createDataFrame(cases, "k long, n long")
-    from pyspark.sql import functions as F
-
     for r in df.withColumn("p", quality_rules.binomial_cdf(F.col("k"), F.col("n"), 0.02)).collect():
         exact = sum(math.exp(math.lgamma(r.n + 1) - math.lgamma(i + 1) - math.lgamma(r.n - i + 1) + i * math.log(0.02) + (r.n - i) * math.log(0.98)) for i in range(r.k + 1))
         assert r.p == pytest.approx(exact, rel=1e-8)
@@ -222,6 +221,51 @@ def test_links_lose_nothing(spark, monkeypatch, segments):
     assert [got.get(i, i) for i in range(len(prints))] == [least[r] for r in roots]
 
 
+def test_links_do_not_depend_on_the_order_of_rows(spark, monkeypatch):
+    """Links inside a block are all found, in whatever order rows and blocks are gathered."""
+    rng = np.random.default_rng(3)
+    centres = rng.integers(0, 2**62, 300, dtype=np.uint64)
+    prints = np.concatenate([centres, centres ^ (np.uint64(1) << rng.integers(0, 62, 300, dtype=np.uint64))]).view(np.int64).tolist()
+    monkeypatch.setattr(simhash, "_segments_for", lambda n, r: 2)
+    nodes = spark.createDataFrame([(i, 1, [p]) for i, p in enumerate(prints)], "node long, size long, fp array<long>")
+    for seed in range(3):
+        shuffled = nodes.repartition(5 + seed, "node").orderBy(F.rand(seed)).repartition(7)
+        got = {r.node: r.root for r in components(simhash.links(shuffled, 2)).collect()}
+        assert all(got.get(300 + i) == i for i in range(300))
+
+
+def test_a_block_against_itself(rng=np.random.default_rng(5)):
+    a = rng.integers(0, 2**62, 200, dtype=np.uint64)
+    a[100:150] = a[:50] ^ np.uint64(4)
+    i, j = simhash.compare_blocks(a[:, None], a[:, None], True, 1)
+    assert {(int(x), int(y)) for x, y in zip(i, j, strict=True)} == {(k, 100 + k) for k in range(50)}
+
+
+@pytest.mark.parametrize("size", [6, 20, 75, 130, 400, 3000])
+@pytest.mark.parametrize(("similarity", "least"), [(0.8, 0.93), (0.9, 0.99)])
+def test_bands_find_similar_sets(size, similarity, least):
+    """Pairs just at the similarity share a band; sets of other texts don't."""
+    rng = np.random.default_rng(size)
+    found = false = 0
+    for _ in range(200):
+        union = rng.integers(0, 2**63, size, dtype=np.uint64)
+        differ = int(size * (1 - similarity) + 1e-9)
+        a, b = union[: size - differ // 2], np.concatenate([union[: size - differ], union[size - differ // 2 :]])
+        keys = [set(simhash.band_keys(np.unique(x), 0.8).tolist()) for x in (a, b, rng.integers(0, 2**63, size, dtype=np.uint64))]
+        found += bool(keys[0] & keys[1])
+        false += bool(keys[0] & keys[2])
+    assert found >= 200 * least and false == 0
+
+
+def test_hot_stars_join_by_broadcast(spark, monkeypatch):
+    from tidewell.llm import common
+
+    monkeypatch.setattr(common, "HOT_ROWS", 10)
+    star = [(7, j) for j in range(1000, 1400)] + [(2000 + i, 2001 + i) for i in range(40)] + [(1399, 3)]
+    got = {r.node: r.root for r in components(spark.createDataFrame(star, "u long, v long")).collect()}
+    assert got == {**{j: 3 for j in range(1000, 1400)}, 7: 3, **{2001 + i: 2000 for i in range(40)}}
+
+
 def test_components_of_chains_and_stars(spark):
     chain = [(i, i + 1) for i in range(200)] + [(1000, j) for j in range(1001, 1100)] + [(5, 5), (2000, 2001), (2001, 2000)]
     got = {r.node: r.root for r in components(spark.createDataFrame(chain, "u long, v long")).collect()}
@@ -275,7 +319,8 @@ def test_similarity_in_large_groups(spark, monkeypatch):
     least = {}
     for i, r in enumerate(roots):
         least[r] = min(i, least.get(r, i))
-    monkeypatch.setattr(simhash, "SET_BLOCK", 4)
+    monkeypatch.setattr(simhash, "BLOCK", 4)
+    monkeypatch.setattr(simhash, "PAIR_ROWS", 3)
     got = {r.doc_id: r.component_id for r in simhash.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
     assert got == {i: least[r] for i, r in enumerate(roots)}
 

@@ -10,14 +10,21 @@ from pathlib import Path
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from tidewell.lineage import cut
+
+__all__ = ["GAP", "WORD", "cut", "join_grouped", "map_arrow", "ship", "small", "table", "unit_interval", "words"]
 
 #: A word is a run of code points other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 GAP = r"[\x20\x09-\x0D]+"
 
-#: Rows of one Arrow batch handed to Python. Texts can be very long, so a batch is kept
-#: far under Spark's default; memory of a Python worker grows with it.
+#: Rows that a Python function gets at once. Spark bounds the bytes of a batch (64 MB by default); this
+#: bounds what a function makes of it.
 BATCH_ROWS = 512
+#: Keys with more rows than this and more than a thousandth of all rows are joined by broadcast.
+HOT_ROWS = 2000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,26 +36,6 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), GAP), lambda w: w != F.lit(""))
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder and cut its lineage.
-
-    The folder is the session's ``spark.checkpoint.dir``; only where that is unset
-    (tests on one machine) a folder under /tmp is used.
-    """
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints/tidewell")
-    # a checkpoint hands its plan's constraints on, and in loops they multiply
-    name = "spark.sql.constraintPropagation.enabled"
-    before = spark.conf.get(name)
-    spark.conf.set(name, "false")
-    try:
-        return df.checkpoint()
-    finally:
-        spark.conf.set(name, before)
-
-
 def small(df: DataFrame, rows: int = 100_000) -> DataFrame:
     """``df``, which is cut already, to be broadcast if it has at most ``rows`` rows; else as it is."""
     return F.broadcast(df) if df.count() <= rows else df
@@ -71,13 +58,32 @@ def ship(spark: SparkSession) -> None:
 def map_arrow(
     df: DataFrame,
     function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]],
-    schema: str,
+    schema: str | StructType,
     rows: int = BATCH_ROWS,
 ) -> DataFrame:
-    """``mapInArrow`` with batches of at most ``rows`` rows."""
+    """``mapInArrow`` with parts of batches of at most ``rows`` rows."""
     ship(df.sparkSession)
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    return df.mapInArrow(function, schema)
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, rows):
+                yield batch.slice(at, rows)
+
+    return df.mapInArrow(lambda batches: function(parts(batches)), schema)
+
+
+def join_grouped(rows: DataFrame, per_key: DataFrame, key: str, held: str, total: int) -> DataFrame:
+    """Inner join of ``rows`` with ``per_key``, which has one row a key and its number of rows in ``held``.
+
+    Hot keys never meet in one task: those that hold more than a thousandth of the ``total`` rows (so at
+    most a thousand keys of any table) are broadcast, all others are joined by a shuffle.
+    ``rows`` and ``per_key`` are read twice and should be cut or cheap.
+    """
+    limit = max(HOT_ROWS, total // 1000)
+    if total <= limit:
+        return rows.join(per_key, key)
+    hot = F.broadcast(per_key.filter(F.col(held) > limit))
+    return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(per_key.filter(F.col(held) <= limit), key))
 
 
 def unit_interval(*columns: Column) -> Column:

@@ -7,13 +7,18 @@ than the radius (summed over the segments) can hold no link and are never paired
 tiles are split into blocks of bounded size, so a unit of work is one pair of blocks and no
 task ever holds an unbounded group. No link is lost: within a pair of blocks the links are
 replaced by a spanning forest of them, which has the same components.
+
+A similarity needs a radius so wide that population counts alone prune nothing. There,
+short fingerprints of random parts of a text's shingles (bands) are compared at radius zero
+first: two texts of similarity 0.8 share one of sixteen with a probability of 0.97 or more. Tiles are those of
+a band's fingerprint then; whole fingerprints are compared inside them at the wide radius, and what
+is within it is compared exactly, by the sets of shingles.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from itertools import product
 
 import numpy as np
 import pyarrow as pa
@@ -21,13 +26,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import cut, map_arrow, small
+from tidewell.llm.common import cut, join_grouped, map_arrow, small
 from tidewell.llm.components import components
 
 #: Fingerprints in one block of a tile, in expectation.
 BLOCK = 2048
-#: Nodes and shingles in one block of a group whose sets are compared, in expectation.
-SET_BLOCK, SET_SHINGLES = 256, 500_000
+#: Bands of a text, and shingles in one, in expectation: from BAND_SHINGLES to twice as many.
+BANDS, BAND_SHINGLES = 16, 4
+#: Pairs with one text that a task compares exactly, in expectation.
+PAIR_ROWS = 2000
 SEED = 42
 
 
@@ -76,12 +83,46 @@ def shingle_set(hashes: np.ndarray) -> tuple[np.ndarray, int]:
     return held, int(np.uint64(xxhash.xxh3_64_intdigest(held.tobytes())).view(np.int64))
 
 
+def band_keys(held: np.ndarray, similarity: float) -> np.ndarray:
+    """One number for each band: its 64-bit SimHash mixed with the band and the range of sizes.
+
+    ``held``: distinct hashes of shingles. A band holds those that a hash of its own chooses with chance
+    1 / m, where m goes with the range of sizes (a factor of two); sets near the upper end of a range also get the bands of the next,
+    so that two sets whose sizes agree to ``similarity`` have a range in common. An empty band gives no number.
+    """
+    n = len(held)
+    if not n:
+        return np.empty(0, np.int64)
+    low = n.bit_length() - 1
+    out = []
+    for size_range in (low, low + 1) if n >= similarity * 2 ** (low + 1) else (low,):
+        limit = np.uint64(2**32 // max(2, 2**size_range // BAND_SHINGLES))
+        sums, chosen = np.zeros((BANDS, 64), np.int64), np.zeros(BANDS, np.int64)
+        for at in range(0, n, 4096):  # bounds memory for very long texts
+            h = held[at : at + 4096]
+            z = (h[None, :] + _BAND_SEEDS) * np.uint64(0xBF58476D1CE4E5B9)
+            z = (z ^ (z >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
+            within = (z >> np.uint64(32)) < limit
+            bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            sums += (within.astype(np.float32) @ bits.astype(np.float32)).astype(np.int64)
+            chosen += within.sum(axis=1)
+        short = np.packbits(2 * sums > chosen[:, None], axis=1, bitorder="little").view(np.uint64)[:, 0]
+        mark = np.uint64((size_range + 1) * 0xD6E8FEB86659FD93 & (2**64 - 1))
+        key = (short ^ _BAND_SEEDS[:, 0] ^ mark) * np.uint64(0x9E3779B97F4A7C15)
+        out.append((key ^ (key >> np.uint64(31)))[chosen > 0])
+    return np.concatenate(out).view(np.int64)
+
+
+_BAND_SEEDS = _widened(np.arange(1, BANDS + 1, dtype=np.uint64), 2)[:, 1:]
+
+
 def fingerprints(
-    docs: DataFrame, shingle: int = 3, words64: int = 1, text: str = "text", key: str = "doc_id", sets: bool = False
+    docs: DataFrame, shingle: int = 3, words64: int = 1, text: str = "text", key: str = "doc_id", similarity: float | None = None
 ) -> DataFrame:
     """``doc_id``, ``size`` (shingles, long) and ``fp`` (array of longs) of every row.
 
-    With ``sets`` repeats of a shingle do not count, and ``digest`` is what equal sets share. A null text counts as an
+    With a ``similarity`` repeats of a shingle do not count, ``digest`` is what equal sets share, and
+    ``bands`` are their :func:`band_keys`. A null text counts as an
     empty one; an empty text has size 0 and fingerprint zero. Whole texts are read, one at a
     time. Repeated rows give repeated results.
     """
@@ -89,22 +130,23 @@ def fingerprints(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(1).cast(pa.binary())
-            sizes, found, digests = [], [], []
+            sizes, found, digests, bands = [], [], [], []
             for t in texts:
                 h = shingle_hashes(t.as_py() or b"", shingle)
-                if sets:
+                if similarity:
                     h, digest = shingle_set(h)
                     digests.append(digest)
+                    bands.append(band_keys(h, similarity))
                 sizes.append(len(h))
                 found.append(fingerprint(h, words64).view(np.int64))
             values = pa.array(np.concatenate(found)) if found else pa.array([], pa.int64())
             offsets = pa.array(np.arange(0, len(sizes) * words64 + 1, words64), pa.int32())
             columns = [batch.column(0), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(offsets, values)]
-            columns += [pa.array(digests, pa.int64())] if sets else []
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "size", "fp", "digest"][: len(columns)])
+            columns += [pa.array(digests, pa.int64()), pa.array(bands, pa.list_(pa.int64()))] if similarity else []
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "size", "fp", "digest", "bands"][: len(columns)])
 
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return map_arrow(rows, run, "doc_id long, size long, fp array<long>" + (", digest long" if sets else ""))
+    return map_arrow(rows, run, "doc_id long, size long, fp array<long>" + (", digest long, bands array<long>" if similarity else ""))
 
 
 def _segment_counts(fp: Column, segments: int) -> list[Column]:
@@ -120,8 +162,6 @@ def _segments_for(nodes: int, radius: int) -> int:
     More segments mean more, smaller tiles, and more copies of each tile for its
     neighbours. Every choice finds the same links; only the work differs.
     """
-    if radius > 3:
-        return 1
     for segments in (2, 4, 8):
         width = 64 // segments
         same = math.comb(2 * width, width) / 4.0**width  # share of pairs with equal counts in a segment
@@ -171,13 +211,11 @@ def _forest(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple
         label = new
 
 
-def compare_blocks(
-    a: np.ndarray, b: np.ndarray, same: bool, radius: int, size_a: np.ndarray | None = None, size_b: np.ndarray | None = None, ratio: float = 0.0
-) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs within the radius. ``a``, ``b``: (n, words64) unsigned fingerprints.
+def compare_blocks(a: np.ndarray, b: np.ndarray, same: bool, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs within the radius. ``a``, ``b``: (n, words64) unsigned fingerprints; ``same``: b is a.
 
     The first 128 bits are compared for all pairs, further ones for those pairs alone whose
-    distance so far is within the radius. With ``ratio``, sizes must not differ by more.
+    distance so far is within the radius.
     """
     rows, columns = [], []
     step = max(1, (1 << 20) // max(1, len(b)))
@@ -193,43 +231,28 @@ def compare_blocks(
         if a.shape[1] > first and len(i):
             far = np.bitwise_count(a[at + i] ^ b[j]).sum(axis=1, dtype=np.int64)
             i, j = i[far <= radius], j[far <= radius]
-        if ratio and len(i):
-            p, q = size_a[at + i], size_b[j]
-            ok = np.minimum(p, q) >= ratio * np.maximum(p, q)
-            i, j = i[ok], j[ok]
         rows.append(i + at)
         columns.append(j)
     return np.concatenate(rows) if rows else np.empty(0, int), np.concatenate(columns) if columns else np.empty(0, int)
 
 
-def links(nodes: DataFrame, radius: int, words64: int = 1, ratio: float = 0.0) -> DataFrame:
-    """Links ``u``, ``v`` between nodes whose fingerprints are within ``radius`` bits.
+def tile_pairs(tiled: DataFrame, offsets: list[list[int]], radius: int, words64: int, ratio: float = 0.0) -> DataFrame:
+    """Pairs ``u``, ``v`` within ``radius`` bits, of tiles that are one of ``offsets`` apart.
 
-    ``nodes``: ``node`` (long), ``size``, ``fp``. With ``ratio`` in (0, 1), sizes must
-    also agree to that ratio (a similarity of r needs sizes within r), and tiles are ranges
-    of sizes as well. The links have the components of all links, see the module's head.
+    ``tiled``: ``node``, ``size``, ``root``, ``fp``, ``tile`` (array of longs); the first offset is zero, and of two
+    opposite ones only one is given. Without a ratio a spanning forest of the pairs of two blocks is
+    given. With one, pairs go whose sizes do not agree to it or whose roots are equal, and all others stay.
+    A block is gathered once and in the order of its nodes; compared with itself it is sent once.
     """
-    n = nodes.count()
-    segments = _segments_for(n, radius)
-    counts = _segment_counts(F.col("fp"), segments)
-    key = [c.cast("int") for c in counts] if radius <= 3 else []
-    offsets = [list(o) for o in _offsets(len(key), radius)] if key else [[]]
-    if ratio:
-        key = [*key, F.floor(F.log(F.greatest(F.col("size"), F.lit(1)).cast("double")) / -math.log(ratio)).cast("int")]
-        # one range of sizes up or down is all that the ratio allows
-        offsets = [[*o, d] for o, d in product(offsets, (-1, 0, 1)) if any(o) or d >= 0]
-    if not key:
-        key, offsets = [F.lit(0)], [[0]]
-    tiled = nodes.select("node", "size", "fp", F.array(*key).alias("tile"))
     parts = [F.col("fp")[k].alias(f"f{k}") for k in range(words64)]
     per_tile = tiled.groupBy("tile").agg(F.count(F.lit(1)).alias("held"))
     blocks = (
         tiled.join(per_tile, "tile")
         .withColumn("block", F.pmod(F.xxhash64("node"), F.ceil(F.col("held") / BLOCK)).cast("int"))
         .groupBy("tile", "block")
-        .agg(F.collect_list(F.struct("node", "size", *parts)).alias("held"))
+        .agg(F.sort_array(F.collect_list(F.struct("node", "size", "root", *parts))).alias("held"))
     )
-    steps = F.array(*[F.array(*[F.lit(x) for x in o]) for o in offsets])
+    steps = F.array(*[F.array(*[F.lit(x).cast("long") for x in o]) for o in offsets])
     left = blocks.withColumn("step", F.explode(steps)).select(
         F.col("block").alias("block_a"),
         F.col("held").alias("held_a"),
@@ -238,115 +261,129 @@ def links(nodes: DataFrame, radius: int, words64: int = 1, ratio: float = 0.0) -
     )
     right = blocks.select("tile", F.col("block").alias("block_b"), F.col("held").alias("held_b"))
     pairs = left.join(right, "tile").filter("other or block_a <= block_b")
-    pairs = pairs.select("held_a", "held_b", F.expr("not other and block_a = block_b").alias("same"))
+    pairs = pairs.select("held_a", F.expr("case when other or block_a < block_b then held_b end").alias("held_b"))
 
-    def unpacked(column: pa.ListArray, row: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def unpacked(column: pa.ListArray, row: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         held = column.slice(row, 1).flatten()
         fp = np.stack([held.field(f"f{k}").to_numpy() for k in range(words64)], axis=1).view(np.uint64)
-        return held.field("node").to_numpy(), held.field("size").to_numpy(), fp
+        return held.field("node").to_numpy(), held.field("size").to_numpy(), held.field("root").to_numpy(), fp
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             us, vs = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
             for row in range(batch.num_rows):
-                a, size_a, fp_a = unpacked(batch.column(0), row)
-                b, size_b, fp_b = unpacked(batch.column(1), row)
-                i, j = compare_blocks(fp_a, fp_b, batch.column(2)[row].as_py(), radius, size_a, size_b, ratio)
-                if len(i):
+                a, size_a, root_a, fp_a = unpacked(batch.column(0), row)
+                same = not batch.column(1)[row].is_valid
+                b, size_b, root_b, fp_b = (a, size_a, root_a, fp_a) if same else unpacked(batch.column(1), row)
+                i, j = compare_blocks(fp_a, fp_b, same, radius)
+                if ratio and len(i):
+                    p, q = size_a[i], size_b[j]
+                    ok = (np.minimum(p, q) >= ratio * np.maximum(p, q)) & (root_a[i] != root_b[j])
+                    us.append(a[i[ok]])
+                    vs.append(b[j[ok]])
+                elif len(i):
                     u, v = _forest(a, b, i, j)
                     us.append(u)
                     vs.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(us)), pa.array(np.concatenate(vs))], names=["u", "v"])
 
-    return map_arrow(pairs, run, "u long, v long", rows=64)
+    return map_arrow(pairs, run, "u long, v long", rows=16)
 
 
-def similar_links(
-    docs: DataFrame, nodes: DataFrame, groups: DataFrame, shingle: int, radius: int, words64: int, similarity: float,
-    text: str = "text", key: str = "doc_id",
-) -> DataFrame:
-    """Links ``u``, ``v`` between nodes of a group whose sets of shingles are similar enough.
+def links(nodes: DataFrame, radius: int, words64: int = 1) -> DataFrame:
+    """Links ``u``, ``v`` between nodes whose fingerprints are within ``radius`` bits.
 
-    ``nodes``: ``node`` (a doc_id), ``size``, ``digest``; ``groups``: ``node``, ``root``, as
-    :func:`components` gives them for the links of fingerprints. Sets are read from the texts again, for
-    the nodes of groups alone. A large group is split into blocks of bounded size and every pair of blocks
-    is compared: pairs of fingerprints within ``radius``, then the exact Jaccard similarity of
-    their sets. Pairs that links of the same two blocks join already are not compared, so links
-    have the components of all links.
+    ``nodes``: ``node`` (long), ``size``, ``fp``. Tiles are those of population counts, see the module's head. The links have
+    the components of all links.
     """
-    whole = groups.unionByName(groups.select(F.col("root").alias("node"), "root").distinct())
-    members = cut(nodes.select("node", "size", "digest").join(whole, "node"))
-    blocks = F.greatest(F.ceil(F.count(F.lit(1)) / SET_BLOCK), F.ceil(F.sum("size") / SET_SHINGLES)).alias("blocks")
-    large = small(cut(members.groupBy("root").agg(blocks).filter("blocks > 1")))
-    block = F.pmod(F.xxhash64("node"), F.coalesce("blocks", F.lit(1).cast("long"))).cast("int").alias("block")
-    places = small(cut(members.join(large, "root", "left").select("node", "digest", "root", block)))
-    texts = docs.select(F.col(key).cast("long").alias("node"), F.col(text).alias("text")).join(places, "node")
+    segments = _segments_for(nodes.count(), radius)
+    key = F.array(*[c.cast("long") for c in _segment_counts(F.col("fp"), segments)])
+    offsets = sorted((list(o) for o in _offsets(segments, radius)), key=any)
+    tiled = nodes.select("node", "size", F.col("node").alias("root"), "fp", key.alias("tile"))
+    return tile_pairs(tiled, offsets, radius, words64)
+
+
+def _distance(a: str, b: str, words64: int) -> Column:
+    return sum((F.bit_count(F.col(a)[k].bitwiseXOR(F.col(b)[k])) for k in range(1, words64)), F.bit_count(F.col(a)[0].bitwiseXOR(F.col(b)[0])))
+
+
+def _sets(docs: DataFrame, nodes: DataFrame, shingle: int, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """``node``, ``held``: the distinct hashes of shingles of the ``nodes`` (``node``, ``digest``), from the texts again."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at, sizes, fps, sets = [], [], [np.empty((0, words64), np.uint64)], []
+            found, at = [], []
             digests = batch.column(2).to_pylist()
             for row, t in enumerate(batch.column(1).cast(pa.binary())):
                 held, digest = shingle_set(shingle_hashes(t.as_py() or b"", shingle))
-                if digest != digests[row]:  # another text of the same doc_id
-                    continue
-                at.append(row)
-                sizes.append(len(held))
-                fps.append(fingerprint(held, words64)[None, :])
-                sets.append(held.view(np.int64))
-            fp = np.concatenate(fps).view(np.int64)
-            kept = batch.take(pa.array(at, pa.int64()))
-            columns = [*kept.columns[:1], *kept.columns[2:], pa.array(sizes, pa.int64())]
-            columns += [pa.array(np.ascontiguousarray(fp[:, k])) for k in range(words64)] + [pa.array(sets, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, names=["node", "digest", "root", "block", "size", *parts, "held"])
-
-    parts = [f"f{k}" for k in range(words64)]
-    schema = "node long, digest long, root long, block int, size long, " + ", ".join(f"{f} long" for f in parts) + ", held array<long>"
-    read_sets = map_arrow(texts.select("node", "text", "digest", "root", "block"), read, schema).dropDuplicates(["node", "digest"])
-    held = cut(read_sets.groupBy("root", "block").agg(F.collect_list(F.struct("node", "size", *parts, "held")).alias("held")))
-    left = held.select("root", F.col("block").alias("block_a"), F.col("held").alias("held_a"))
-    right = held.select("root", F.col("block").alias("block_b"), F.col("held").alias("held_b"))
-    pairs = left.join(right, "root").filter("block_a <= block_b")
-    pairs = pairs.select("held_a", F.when(F.col("block_a") < F.col("block_b"), F.col("held_b")).alias("held_b"))
-
-    def unpacked(column: pa.ListArray, row: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
-        rows = column.slice(row, 1).flatten()
-        fp = np.stack([rows.field(f).to_numpy() for f in parts], axis=1).view(np.uint64)
-        lists = rows.field("held")
-        ends = np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))
-        return rows.field("node").to_numpy(), rows.field("size").to_numpy(), fp, np.split(lists.flatten().to_numpy(), ends[:-1])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            us, vs = [], []
-            for row in range(batch.num_rows):
-                a, size_a, fp_a, sets_a = unpacked(batch.column(0), row)
-                same = not batch.column(1)[row].is_valid
-                b, size_b, fp_b, sets_b = (a, size_a, fp_a, sets_a) if same else unpacked(batch.column(1), row)
-                i, j = compare_blocks(fp_a, fp_b, same, radius, size_a, size_b, similarity)
-                parent: dict[int, int] = {}
+                if digest == digests[row]:  # else another text of the same doc_id
+                    at.append(row)
+                    found.append(held.view(np.int64))
+            kept = batch.column(0).take(pa.array(at, pa.int64()))
+            yield pa.RecordBatch.from_arrays([kept, pa.array(found, pa.list_(pa.int64()))], names=["node", "held"])
 
-                def top(x: int, parent: dict[int, int] = parent) -> int:
-                    while (up := parent.get(x, x)) != x:
-                        parent[x] = parent.get(up, up)
-                        x = up
-                    return x
+    texts = docs.select(F.col(key).cast("long").alias("node"), F.col(text).alias("text")).join(small(nodes), "node")
+    return map_arrow(texts.select("node", "text", "digest"), read, "node long, held array<long>").dropDuplicates(["node"])
 
-                for x, y in zip(i.tolist(), j.tolist(), strict=True):
-                    u, v = top(int(a[x])), top(int(b[y]))
-                    if u != v and jaccard(sets_a[x], sets_b[y]) >= similarity:
-                        parent[u] = v
-                        us.append(int(a[x]))
-                        vs.append(int(b[y]))
-            yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
 
-    return map_arrow(pairs, run, "u long, v long", rows=8)
+def similar_pairs(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The ``pairs`` (``u``, ``v``, distinct, cut) whose sets have that Jaccard similarity or more, exactly.
 
+    A set meets its partners in parts of about PAIR_ROWS, so that one with very many partners
+    is shared by many tasks.
+    """
+    n = pairs.count()
+    held = cut(pairs.groupBy("v").agg(F.count(F.lit(1)).alias("held")))
+    part = F.pmod(F.xxhash64("u"), F.ceil(F.col("held") / PAIR_ROWS)).cast("int").alias("part")
+    dealt = cut(join_grouped(pairs, held, "v", "held", n).select("u", "v", part))
+    left = dealt.join(sets.select(F.col("node").alias("u"), F.col("held").alias("set_u")), "u")
+    right = dealt.select("v", "part").distinct().join(sets.select(F.col("node").alias("v"), F.col("held").alias("set_v")), "v")
+    both = left.join(right, ["v", "part"]).withColumn("common", F.size(F.array_intersect("set_u", "set_v")).cast("double"))
+    return both.filter(F.col("common") / (F.size("set_u") + F.size("set_v") - F.col("common")) >= similarity).select("u", "v")
+
+
+def similar_links(docs: DataFrame, nodes: DataFrame, shingle: int, radius: int, words64: int, similarity: float) -> DataFrame:
+    """Links ``u``, ``v`` between nodes whose sets of shingles are similar enough and that share a band.
+
+    ``nodes``: ``node`` (a doc_id), ``size``, ``fp``, ``digest``, ``bands``. First every node is compared with
+    the first node of each of its bands' tiles: a large group of near copies is joined by as many
+    pairs as it has nodes. Then tiles in which several components are left are compared whole, pair of blocks by
+    pair of blocks; pairs within a component need no comparison. So links have the components of
+    all similar pairs that share a band.
+    """
+    members = nodes.select("node", F.explode("bands").alias("band"))
+    several = members.groupBy("band").agg(F.min("node").alias("first"), F.max("node").alias("last"), F.count(F.lit(1)).alias("held"))
+    several = cut(several.filter("first <> last").drop("last"))
+    total = several.agg(F.sum("held")).first()[0] or 0
+    shared = cut(join_grouped(members, several, "band", "held", total).select("node", "band", "first"))
+
+    def near(pairs: DataFrame) -> DataFrame:
+        """Of candidates (u, v), those within the radius whose sizes agree."""
+        pairs = cut(pairs.distinct())
+        held = cut(pairs.groupBy("v").agg(F.count(F.lit(1)).alias("held")))
+        right = held.join(slim.select(F.col("node").alias("v"), F.col("size").alias("q"), F.col("fp").alias("fq")), "v")
+        both = join_grouped(pairs, right, "v", "held", pairs.count()).join(slim.select(F.col("node").alias("u"), "size", "fp"), "u")
+        agree = F.least("size", "q") >= F.lit(similarity) * F.greatest("size", "q")
+        return cut(both.filter(agree & (_distance("fp", "fq", words64) <= radius)).select("u", "v"))
+
+    slim = cut(nodes.select("node", "size", "fp", "digest").join(shared.select("node").distinct(), "node"))
+    stars = near(shared.filter("node <> first").select(F.col("node").alias("u"), F.col("first").alias("v")))
+    known = stars.select(F.col("u").alias("node")).unionByName(stars.select(F.col("v").alias("node"))).distinct()
+    sets = cut(_sets(docs, cut(slim.join(known, "node").select("node", "digest")), shingle))
+    found = cut(similar_pairs(stars, sets, similarity))
+    roots = components(found)
 
-def jaccard(a: np.ndarray, b: np.ndarray) -> float:
-    """Jaccard similarity of two sets, as sorted distinct numbers that are not both empty."""
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return both / (len(a) + len(b) - both)
+    named = shared.join(roots, "node", "left").select("node", "band", F.coalesce("root", "node").alias("root"))
+    left_over = named.groupBy("band").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count(F.lit(1)).alias("held")).filter("a <> b")
+    left_over = cut(left_over.select("band", "held"))
+    rest = join_grouped(cut(named), left_over, "band", "held", total).select("node", "band", "root")
+    count = sum((F.bit_count(F.col("fp")[k]) for k in range(1, words64)), F.bit_count(F.col("fp")[0]))
+    tile = F.array("band", F.floor(count / (radius + 1)).cast("long"))
+    pairs = tile_pairs(cut(rest.join(slim, "node").select("node", "size", "root", "fp", tile.alias("tile"))), [[0, 0], [0, 1]], radius, words64, similarity)
+    pairs = cut(pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct().join(stars, ["u", "v"], "left_anti"))
+    lacking = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct().join(known, "node", "left_anti")
+    sets = sets.unionByName(cut(_sets(docs, cut(slim.join(lacking, "node").select("node", "digest")), shingle)))
+    return found.unionByName(similar_pairs(pairs, sets, similarity))
 
 
 def near_duplicates(
@@ -355,11 +392,12 @@ def near_duplicates(
     """One row per input row: ``doc_id``, ``size``, ``fp``, ``component_id``.
 
     ``radius``: bits. By default it follows from ``similarity``: the expected distance of two
-    sets of equal size at that Jaccard similarity plus four standard deviations. Pairs within it,
-    whose sizes agree to the similarity, are candidates only; those are linked whose sets of
+    sets of equal size at that Jaccard similarity plus four standard deviations. Pairs within it that
+    share a band and whose sizes agree to the similarity are candidates only; those are linked whose sets of
     shingles have that similarity exactly (by 64-bit hashes); ``size`` and ``fp`` are those of the
-    set then, without repeats. With a given radius only the
-    fingerprints decide. ``component_id`` is the smallest doc_id that links reach.
+    set then, without repeats. A pair just at the similarity is found with a probability of 0.97 or more, one of 0.9 with
+    0.999. With a given radius only the fingerprints decide, and no pair is missed.
+    ``component_id`` is the smallest doc_id that links reach.
 
     Texts: null counts as empty; all empty texts share fingerprint zero and are linked.
     Rows with a null doc_id get a fingerprint, no links and a null component_id. Repeated
@@ -370,14 +408,16 @@ def near_duplicates(
     if radius is None:
         bits, p = 64 * words64, math.acos(2 * similarity / (1 + similarity)) / math.pi
         radius, ratio = round(bits * p + 4 * math.sqrt(bits * p * (1 - p))), similarity
-    rows = cut(fingerprints(docs, shingle, words64, sets=bool(ratio)))
+    rows = cut(fingerprints(docs, shingle, words64, similarity=ratio or None))
     # classes of equal sets, or of equal fingerprints where these alone decide
     on = ["fp", "size", "digest"] if ratio else ["fp"]
     held = rows.filter("doc_id is not null").groupBy(*on)
-    classes = cut(held.agg(F.min("doc_id").alias("node")) if ratio else held.agg(F.min("doc_id").alias("node"), F.max("size").alias("size")))
-    found = links(classes, radius, words64, ratio)
     if ratio:
-        found = similar_links(docs, classes, components(found), shingle, radius, words64, similarity)
+        classes = cut(held.agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands")))
+        found = similar_links(docs, classes, shingle, radius, words64, similarity)
+    else:
+        classes = cut(held.agg(F.min("doc_id").alias("node"), F.max("size").alias("size")))
+        found = links(classes, radius, words64)
     # rows that share a doc_id are one document, even where their texts differ
     mark = F.xxhash64(*(on if ratio else ["fp", "size"]))
     shared = rows.filter("doc_id is not null").groupBy("doc_id").agg(F.min(mark).alias("a"), F.max(mark).alias("b")).filter("a <> b").select("doc_id")
@@ -392,8 +432,9 @@ def near_duplicates(
 def deduplicated(docs: DataFrame, **settings) -> DataFrame:
     """Rows of ``docs`` that stay: one of each group of near-duplicates, all columns kept.
 
-    The row with the smallest doc_id of a group stays, and one row of several that share
-    this doc_id; rows with a null doc_id stay.
+    The row with the smallest doc_id of a group stays; of several rows that share this
+    doc_id the one with the least text does (null first; of equal texts the one whose columns have the
+    least hash). Rows with a null doc_id stay.
     """
     found = near_duplicates(docs, **settings)
     gone = found.filter("component_id <> doc_id").select(F.col("doc_id").alias("__tw_id")).distinct()
@@ -403,5 +444,7 @@ def deduplicated(docs: DataFrame, **settings) -> DataFrame:
         return kept
     twice = repeated.select(F.col("doc_id").alias("__tw_id"))
     single = kept.join(twice, kept["doc_id"] == twice["__tw_id"], "left_anti")
-    several = kept.join(twice, kept["doc_id"] == twice["__tw_id"], "left_semi").dropDuplicates(["doc_id"])
-    return single.unionByName(several)
+    several = kept.join(twice, kept["doc_id"] == twice["__tw_id"], "left_semi")
+    order = F.struct("text", F.xxhash64(*several.columns))
+    least = several.groupBy("doc_id").agg(F.min_by(F.struct(*several.columns), order).alias("__tw_row"))
+    return single.unionByName(least.select("__tw_row.*"))
