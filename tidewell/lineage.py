@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 #: Folder of checkpoints where ``spark.checkpoint.dir`` is unset and driver and executors are one process.
@@ -23,16 +25,13 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to :func:`shared_folder` and go on from there."""
+    """Write ``df`` as Parquet under :func:`shared_folder` and go on from the files.
+
+    A checkpoint would cut the plan as well, but hands its estimates of size and its constraints on. Those of a
+    join are products of its sides', so that over the rounds of a loop they grow to numbers of millions of
+    digits, and planning stands still. Files have their true size, and later scans read only the columns they need.
+    """
     spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(shared_folder(spark))
-    # a checkpoint hands its plan's constraints on, and in loops they multiply
-    name = "spark.sql.constraintPropagation.enabled"
-    before = spark.conf.get(name)
-    spark.conf.set(name, "false")
-    try:
-        return df.checkpoint()
-    finally:
-        spark.conf.set(name, before)
+    at = f"{shared_folder(spark)}/cut/{uuid.uuid4().hex}"
+    df.write.parquet(at)
+    return spark.read.schema(df.schema).parquet(at)
