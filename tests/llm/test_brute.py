@@ -141,6 +141,25 @@ def test_lexed_pairs_of_every_form(t, secret):
     assert secret in got if secret else not got
 
 
+def test_the_lexer_has_no_caps():
+    """Long names, far operators, long elements and many joined parts give findings as short ones do."""
+    value = "aB3xK9mQ2vL7pR5t"
+    for t in (
+        f'{"a" * 70}_password_{"b" * 70} = "{value}"', f'password{" " * 500}= "{value}"', f"<secret>{value * 40}</secret>", f"<{'x' * 90}_secret>{value}</{'x' * 90}_secret>",
+    ):
+        assert secret_scan.lexed_literals(t), t
+    joined = 'secret_value = ' + " + ".join(f'"{value}{i}"' for i in range(100))
+    assert len(secret_scan.lexed_literals(joined)) == 100
+
+
+def test_covered_literals_are_listed_once():
+    t = 'token = "aB3xK9mQ2vL7pR5t"\nmy_credential = "Zx81kfQ0pL22mmQ"\n' * 200
+    got = secret_scan.all_spans(t)
+    base = secret_scan.base_spans(t)
+    plain = [s for s in secret_scan.lexed_literals(t) if not any(x <= s[0] and s[1] <= y for _, x, y in base)]
+    assert len(got) == len(base) + len(plain) and sum(s[0] == "literal" for s in got) == len(plain) == 200
+
+
 def test_lexer_is_linear_over_chains():
     import time
 
@@ -234,6 +253,16 @@ def test_links_do_not_depend_on_the_order_of_rows(spark, monkeypatch):
         assert all(got.get(300 + i) == i for i in range(300))
 
 
+def test_jaccards_by_either_way():
+    rng = np.random.default_rng(11)
+    sets = [np.unique(rng.integers(0, 60, int(n))) for n in rng.integers(1, 50, 80)]
+    i, j = (x.ravel() for x in np.indices((80, 80)))
+    plain = [len(set(sets[a].tolist()) & set(sets[b].tolist())) / len(set(sets[a].tolist()) | set(sets[b].tolist())) for a, b in zip(i, j, strict=True)]
+    assert simhash.jaccards(sets, sets, i, j) == pytest.approx(plain, abs=1e-12)
+    few = simhash.jaccards(sets, sets, i[:3], j[:3])
+    assert few.tolist() == plain[:3]
+
+
 def test_a_block_against_itself(rng=np.random.default_rng(5)):
     a = rng.integers(0, 2**62, 200, dtype=np.uint64)
     a[100:150] = a[:50] ^ np.uint64(4)
@@ -418,6 +447,26 @@ def test_raking_goes_on_or_warns(spark):
         mixing.rake(spark.createDataFrame([("a", "x", "p", 5), ("b", "y", "p", 5)], schema), {**goal, "lang": share({"x": 0.9, "y": 0.1})})
 
 
+def test_default_targets_are_met(spark):
+    """A sample by the default targets has its margins, within the tolerance."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    for r in mixing.mixture(docs).collect():
+        assert r.reached == pytest.approx(r.target, abs=0.002)
+
+
+def test_a_zero_share_empties_its_value(spark, docs):
+    sources = [r[0] for r in docs.select("source").distinct().collect()]
+    topics = [r.topic for r in mixing.mix(docs).filter("n_tokens > 0").select("topic").distinct().collect()]
+    targets = {
+        "source": spark.createDataFrame([(s, 1 / len(sources)) for s in sources], "value string, share double"),
+        "lang": spark.createDataFrame([("en", 1.0), ("de", 0.0)], "value string, share double"),
+        "topic": spark.createDataFrame([(t, 1 / len(topics)) for t in topics], "value string, share double"),
+    }
+    with pytest.warns(UserWarning):
+        got = mixing.mix(docs, targets, keep=0.05).collect()
+    assert not any(r.kept for r in got if r.lang != "en") and any(r.kept for r in got if r.lang == "en")
+
+
 def test_mixing_samples_by_probability(docs):
     got = mixing.mix(docs).collect()
     assert sum(r.n_tokens for r in got if r.kept) / sum(r.n_tokens for r in got) == pytest.approx(0.8, abs=0.12)
@@ -500,6 +549,46 @@ def test_classifier_held_out(spark, sf):
     assert np.array_equal(weights, quality_classifier.train(docs, flipped))
 
 
+def test_ftrl_against_a_plain_loop():
+    rng = np.random.default_rng(8)
+    rows = []
+    for _ in range(40):
+        ids = rng.integers(0, 30, 6).astype(np.uint32)
+        rows.append((ids, rng.random(6), int(rng.integers(2))))
+    c = quality_classifier
+    z, n = defaultdict(float), defaultdict(float)
+
+    def weight(i):
+        return 0.0 if abs(z[i]) <= c.L1 else (math.copysign(c.L1, z[i]) - z[i]) / ((c.BETA + math.sqrt(n[i])) / c.ALPHA + c.L2)
+
+    for _ in range(3):
+        for ids, values, label in rows:
+            x = defaultdict(float)
+            for i, v in zip(ids.tolist(), values.tolist(), strict=True):
+                x[i] += v
+            x[1 << c.BITS] = 1.0
+            w = {i: weight(i) for i in x}
+            p = 1 / (1 + math.exp(-sum(w[i] * v for i, v in x.items())))
+            for i, v in x.items():
+                g = (p - label) * v
+                z[i] += g - (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / c.ALPHA * w[i]
+                n[i] += g * g
+    got = c.fit(rows, epochs=3)
+    assert all(got[i] == pytest.approx(weight(i), abs=1e-9) for i in [*range(30), 1 << c.BITS])
+
+
+def test_scores_are_sparse_dot_products():
+    weights = np.random.default_rng(2).normal(size=(1 << quality_classifier.BITS) + 1)
+    for t in ("", "one", "a b c a b c", tables.text(4, 500), "x" * 300 + " " + "Ab1" * 50):
+        ids, values = quality_classifier.features(t)
+        z = weights[-1] + float(weights[ids] @ values)
+        assert quality_classifier.score(t, weights) == pytest.approx(1 / (1 + math.exp(-z)), abs=1e-9)
+
+
+def test_long_words_differ_behind_their_start():
+    assert quality_classifier.shape("a1" * 20 + "!") != quality_classifier.shape("a1" * 20 + "?")
+
+
 def test_best_fit_is_tightest():
     rng = np.random.default_rng(3)
     lengths = sorted(rng.integers(1, 60, 400).tolist(), reverse=True)
@@ -507,7 +596,8 @@ def test_best_fit_is_tightest():
     bins, offsets = packing.best_fit(lengths, sources, clusters, 100, 2)
     room, held = [], []
     for n, s, c, b, at in zip(lengths, sources, clusters, bins, offsets, strict=True):
-        fits = [(r, i) for i, r in enumerate(room) if r >= n and c not in (x[1] for x in held[i]) and sum(x[0] == s for x in held[i]) < 2]
+        open_bins = [(r, i) for i, r in enumerate(room) if r >= n and c not in (x[1] for x in held[i])]
+        fits = [(r, i) for r, i in open_bins if sum(x[0] == s for x in held[i]) < 2] or open_bins
         expected = min(fits)[1] if fits else len(room)
         assert b == expected
         if not fits:
@@ -527,7 +617,8 @@ def test_packing(docs, texts):
         source[r.bin_id, r.source] += 1
         cluster[r.bin_id, r.cluster] += 1
         spans[r.doc_id].append((r.start, r.n_tokens))
-    assert max(total.values()) <= 512 and max(source.values()) <= 3 and max(cluster.values()) == 1
+    assert max(total.values()) <= 512 and max(cluster.values()) == 1
+    assert sum(n > 3 for n in source.values()) <= 0.02 * len(source)  # only where no other bin has room
     for i, t in texts.items():
         at = 0
         for start, n in sorted(spans[i]):
@@ -536,6 +627,27 @@ def test_packing(docs, texts):
         assert at == len(WORD.findall(t)) + 1
 
 
+def test_one_source_fills_its_bins(spark, docs):
+    """A source alone conflicts with itself everywhere, and packs as if there were no sources."""
+    got = packing.pack(docs.withColumn("source", F.lit("only"))).collect()
+    total = Counter()
+    for r in got:
+        total[r.bin_id] += r.n_tokens
+    assert sum(total.values()) / (2048 * len(total)) > 0.9
+
+
+def test_bins_do_not_depend_on_partitions(docs):
+    a, b = (sorted(map(str, packing.pack(x, capacity=256, group_rows=32).collect())) for x in (docs, docs.repartition(7)))
+    assert a == b
+
+
+def test_repeated_rows_spread_over_groups(spark):
+    rows = spark.range(600).select(F.lit(5).alias("doc_id"), F.lit("same text again").alias("text"), F.lit("s").alias("source"))
+    got = packing.pack(rows, group_rows=50).collect()
+    assert len(got) == len({r.bin_id for r in got}) == 600
+    assert len({r.bin_id >> 33 for r in got}) > 6
+
+
 def brute_chunks(t):
     data = t.encode()
     gear = substring_dedup._GEAR.tolist()

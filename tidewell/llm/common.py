@@ -75,15 +75,19 @@ def map_arrow(
 def join_grouped(rows: DataFrame, per_key: DataFrame, key: str, held: str, total: int) -> DataFrame:
     """Inner join of ``rows`` with ``per_key``, which has one row a key and its number of rows in ``held``.
 
-    Hot keys never meet in one task: those that hold more than a thousandth of the ``total`` rows (so at
-    most a thousand keys of any table) are broadcast, all others are joined by a shuffle.
-    ``rows`` and ``per_key`` are read twice and should be cut or cheap.
+    No task gets all rows of a hot key: one that holds more than a thousandth of the ``total`` rows
+    (so at most a thousand keys of any table, which are broadcast) is salted into parts of that size, and its
+    row of ``per_key`` is repeated for each. ``rows`` is read once, ``per_key`` twice.
     """
     limit = max(HOT_ROWS, total // 1000)
     if total <= limit:
         return rows.join(per_key, key)
-    hot = F.broadcast(per_key.filter(F.col(held) > limit))
-    return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(per_key.filter(F.col(held) <= limit), key))
+    parts = F.ceil(F.col(held) / limit)
+    hot = F.broadcast(per_key.filter(F.col(held) > limit).select(key, parts.alias("__tw_parts")))
+    salt = F.coalesce(F.pmod(F.xxhash64(*rows.columns), F.col("__tw_parts")), F.lit(0)).cast("int")
+    salted = rows.join(hot, key, "left").withColumn("__tw_salt", salt).drop("__tw_parts")
+    last = F.when(F.col(held) > limit, parts - 1).otherwise(0).cast("int")
+    return salted.join(per_key.withColumn("__tw_salt", F.explode(F.sequence(F.lit(0), last))), [key, "__tw_salt"]).drop("__tw_salt")
 
 
 def unit_interval(*columns: Column) -> Column:

@@ -11,8 +11,8 @@ replaced by a spanning forest of them, which has the same components.
 A similarity needs a radius so wide that population counts alone prune nothing. There,
 short fingerprints of random parts of a text's shingles (bands) are compared at radius zero
 first: two texts of similarity 0.8 share one of sixteen with a probability of 0.97 or more. Tiles are those of
-a band's fingerprint then; whole fingerprints are compared inside them at the wide radius, and what
-is within it is compared exactly, by the sets of shingles.
+a band's fingerprint and of ranges of population counts then; whole fingerprints are compared inside them at the
+wide radius, and what is within it is compared exactly, by the sets of shingles.
 """
 
 from __future__ import annotations
@@ -33,8 +33,8 @@ from tidewell.llm.components import components
 BLOCK = 2048
 #: Bands of a text, and shingles in one, in expectation: from BAND_SHINGLES to twice as many.
 BANDS, BAND_SHINGLES = 16, 4
-#: Pairs with one text that a task compares exactly, in expectation.
-PAIR_ROWS = 2000
+#: Pairs with one text that a task compares exactly, and shingles in a block that holds sets, in expectation.
+PAIR_ROWS, SET_SHINGLES = 2000, 4_000_000
 SEED = 42
 
 
@@ -236,56 +236,103 @@ def compare_blocks(a: np.ndarray, b: np.ndarray, same: bool, radius: int) -> tup
     return np.concatenate(rows) if rows else np.empty(0, int), np.concatenate(columns) if columns else np.empty(0, int)
 
 
-def tile_pairs(tiled: DataFrame, offsets: list[list[int]], radius: int, words64: int, ratio: float = 0.0) -> DataFrame:
-    """Pairs ``u``, ``v`` within ``radius`` bits, of tiles that are one of ``offsets`` apart.
-
-    ``tiled``: ``node``, ``size``, ``root``, ``fp``, ``tile`` (array of longs); the first offset is zero, and of two
-    opposite ones only one is given. Without a ratio a spanning forest of the pairs of two blocks is
-    given. With one, pairs go whose sizes do not agree to it or whose roots are equal, and all others stay.
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    """Jaccard similarity of two sets, as sorted distinct numbers."""
+    if not len(a) or not len(b):
+        return 0.0
+    at = a.searchsorted(b)
+    at[at == len(a)] = 0
+    both = int(np.count_nonzero(a[at] == b))
+    return both / (len(a) + len(b) - both)
+
+
+def jaccards(sets_a: list[np.ndarray], sets_b: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Jaccard similarities of the pairs sets_a[i], sets_b[j]: pair by pair where they are few, else by a product of incidence matrices."""
+    rows, row_of = np.unique(i, return_inverse=True)
+    columns, column_of = np.unique(j, return_inverse=True)
+    size_a, size_b = (np.array([len(x[k]) for k in y], np.int64) for x, y in ((sets_a, rows), (sets_b, columns)))
+    all_a, all_b = (np.concatenate([x[k] for k in y]) if len(y) else np.empty(0, np.int64) for x, y in ((sets_a, rows), (sets_b, columns)))
+    common = np.intersect1d(all_a, all_b)
+    if len(i) * 300_000 < len(rows) * len(columns) * len(common) + (len(all_a) + len(all_b)) * 1000:
+        return np.array([jaccard(sets_a[x], sets_b[y]) for x, y in zip(i.tolist(), j.tolist(), strict=True)])
+    places = []
+    for values, sizes in ((all_a, size_a), (all_b, size_b)):
+        at = common.searchsorted(values)
+        at[at == len(common)] = 0
+        held = common[at] == values if len(common) else np.zeros(len(values), bool)
+        places.append((np.repeat(np.arange(len(sizes)), sizes)[held], at[held]))
+    both = np.zeros((len(rows), len(columns)), np.float32)
+    for first in range(0, len(common), 4096):  # bounds memory
+        width, parts = min(4096, len(common) - first), []
+        for (of, at), n in zip(places, (len(rows), len(columns)), strict=True):
+            inside = (at >= first) & (at < first + width)
+            part = np.zeros((n, width), np.float32)
+            part[of[inside], at[inside] - first] = 1
+            parts.append(part)
+        both += parts[0] @ parts[1].T
+    shared = both[row_of, column_of].astype(np.float64)
+    whole = size_a[row_of] + size_b[column_of] - shared
+    return np.where(whole > 0, shared / np.maximum(whole, 1), 0.0)
+
+
+def tile_pairs(tiled: DataFrame, offsets: list[list[int]], radius: int, words64: int, similarity: float = 0.0) -> DataFrame:
+    """Links ``u``, ``v`` within ``radius`` bits, of tiles that are one of ``offsets`` apart.
+
+    ``tiled``: ``node``, ``size``, ``fp``, ``tile`` (array of longs); the first offset is zero, and of two
+    opposite ones only one is given. The links of two blocks are given as a spanning forest. With a ``similarity``, rows
+    also have ``root`` (a component that is known) and ``held`` (the set of shingles): pairs within the radius are
+    candidates then, and those are links whose sets have the similarity; pairs that are joined already are passed over.
     A block is gathered once and in the order of its nodes; compared with itself it is sent once.
     """
-    parts = [F.col("fp")[k].alias(f"f{k}") for k in range(words64)]
-    per_tile = tiled.groupBy("tile").agg(F.count(F.lit(1)).alias("held"))
+    names = ["node", *[f"f{k}" for k in range(words64)], *(["root", "held"] if similarity else [])]
+    rows = tiled.withColumns({f"f{k}": F.col("fp")[k] for k in range(words64)})
+    wanted = F.ceil(F.count(F.lit(1)) / BLOCK)
+    per_tile = tiled.groupBy("tile").agg((F.greatest(wanted, F.ceil(F.sum("size") / SET_SHINGLES)) if similarity else wanted).alias("blocks"))
     blocks = (
-        tiled.join(per_tile, "tile")
-        .withColumn("block", F.pmod(F.xxhash64("node"), F.ceil(F.col("held") / BLOCK)).cast("int"))
+        rows.join(per_tile, "tile")
+        .withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
         .groupBy("tile", "block")
-        .agg(F.sort_array(F.collect_list(F.struct("node", "size", "root", *parts))).alias("held"))
+        .agg(F.sort_array(F.collect_list(F.struct(*names))).alias("rows"))
     )
     steps = F.array(*[F.array(*[F.lit(x).cast("long") for x in o]) for o in offsets])
     left = blocks.withColumn("step", F.explode(steps)).select(
         F.col("block").alias("block_a"),
-        F.col("held").alias("held_a"),
+        F.col("rows").alias("rows_a"),
         F.exists("step", lambda x: x != 0).alias("other"),
         F.zip_with("tile", "step", lambda x, y: x + y).alias("tile"),
     )
-    right = blocks.select("tile", F.col("block").alias("block_b"), F.col("held").alias("held_b"))
+    right = blocks.select("tile", F.col("block").alias("block_b"), F.col("rows").alias("rows_b"))
     pairs = left.join(right, "tile").filter("other or block_a <= block_b")
-    pairs = pairs.select("held_a", F.expr("case when other or block_a < block_b then held_b end").alias("held_b"))
+    pairs = pairs.select("rows_a", F.expr("case when other or block_a < block_b then rows_b end").alias("rows_b"))
 
-    def unpacked(column: pa.ListArray, row: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    def unpacked(column: pa.ListArray, row: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
         held = column.slice(row, 1).flatten()
         fp = np.stack([held.field(f"f{k}").to_numpy() for k in range(words64)], axis=1).view(np.uint64)
-        return held.field("node").to_numpy(), held.field("size").to_numpy(), held.field("root").to_numpy(), fp
+        if not similarity:
+            return held.field("node").to_numpy(), fp, np.empty(0, np.int64), []
+        lists = held.field("held")
+        ends = np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))
+        return held.field("node").to_numpy(), fp, held.field("root").to_numpy(), np.split(lists.flatten().to_numpy(), ends[:-1])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             us, vs = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
             for row in range(batch.num_rows):
-                a, size_a, root_a, fp_a = unpacked(batch.column(0), row)
+                a, fp_a, root_a, sets_a = unpacked(batch.column(0), row)
                 same = not batch.column(1)[row].is_valid
-                b, size_b, root_b, fp_b = (a, size_a, root_a, fp_a) if same else unpacked(batch.column(1), row)
+                b, fp_b, root_b, sets_b = (a, fp_a, root_a, sets_a) if same else unpacked(batch.column(1), row)
                 i, j = compare_blocks(fp_a, fp_b, same, radius)
-                if ratio and len(i):
-                    p, q = size_a[i], size_b[j]
-                    ok = (np.minimum(p, q) >= ratio * np.maximum(p, q)) & (root_a[i] != root_b[j])
-                    us.append(a[i[ok]])
-                    vs.append(b[j[ok]])
-                elif len(i):
+                if similarity:
+                    p, q = (np.array([len(x) for x in y]) for y in (sets_a, sets_b))
+                    wanted = (np.minimum(p[i], q[j]) >= similarity * np.maximum(p[i], q[j])) & (root_a[i] != root_b[j])
+                    i, j = i[wanted], j[wanted]
+                    similar = jaccards(sets_a, sets_b, i, j) >= similarity
+                    i, j = i[similar], j[similar]
+                if len(i):
                     u, v = _forest(a, b, i, j)
                     us.append(u)
                     vs.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(us)), pa.array(np.concatenate(vs))], names=["u", "v"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(us), pa.int64()), pa.array(np.concatenate(vs), pa.int64())], names=["u", "v"])
 
     return map_arrow(pairs, run, "u long, v long", rows=16)
 
@@ -299,7 +346,7 @@ def links(nodes: DataFrame, radius: int, words64: int = 1) -> DataFrame:
     segments = _segments_for(nodes.count(), radius)
     key = F.array(*[c.cast("long") for c in _segment_counts(F.col("fp"), segments)])
     offsets = sorted((list(o) for o in _offsets(segments, radius)), key=any)
-    tiled = nodes.select("node", "size", F.col("node").alias("root"), "fp", key.alias("tile"))
+    tiled = nodes.select("node", "size", "fp", key.alias("tile"))
     return tile_pairs(tiled, offsets, radius, words64)
 
 
@@ -346,44 +393,40 @@ def similar_links(docs: DataFrame, nodes: DataFrame, shingle: int, radius: int,
     """Links ``u``, ``v`` between nodes whose sets of shingles are similar enough and that share a band.
 
     ``nodes``: ``node`` (a doc_id), ``size``, ``fp``, ``digest``, ``bands``. First every node is compared with
-    the first node of each of its bands' tiles: a large group of near copies is joined by as many
-    pairs as it has nodes. Then tiles in which several components are left are compared whole, pair of blocks by
-    pair of blocks; pairs within a component need no comparison. So links have the components of
-    all similar pairs that share a band.
+    one node of each of its bands' tiles, the one that shares most bands with others (in a group of
+    near copies the one that they are copies of): so a large group is joined by about as many pairs as it has
+    nodes. Then tiles in which several components are left are compared whole, pair of blocks by
+    pair of blocks. So links have the components of all similar pairs that share a band.
     """
     members = nodes.select("node", F.explode("bands").alias("band"))
-    several = members.groupBy("band").agg(F.min("node").alias("first"), F.max("node").alias("last"), F.count(F.lit(1)).alias("held"))
-    several = cut(several.filter("first <> last").drop("last"))
+    several = members.groupBy("band").agg(F.count(F.lit(1)).alias("held"), F.min("node").alias("a"), F.max("node").alias("b"))
+    several = cut(several.filter("a <> b").select("band", "held"))
     total = several.agg(F.sum("held")).first()[0] or 0
-    shared = cut(join_grouped(members, several, "band", "held", total).select("node", "band", "first"))
-
-    def near(pairs: DataFrame) -> DataFrame:
-        """Of candidates (u, v), those within the radius whose sizes agree."""
-        pairs = cut(pairs.distinct())
-        held = cut(pairs.groupBy("v").agg(F.count(F.lit(1)).alias("held")))
-        right = held.join(slim.select(F.col("node").alias("v"), F.col("size").alias("q"), F.col("fp").alias("fq")), "v")
-        both = join_grouped(pairs, right, "v", "held", pairs.count()).join(slim.select(F.col("node").alias("u"), "size", "fp"), "u")
-        agree = F.least("size", "q") >= F.lit(similarity) * F.greatest("size", "q")
-        return cut(both.filter(agree & (_distance("fp", "fq", words64) <= radius)).select("u", "v"))
-
-    slim = cut(nodes.select("node", "size", "fp", "digest").join(shared.select("node").distinct(), "node"))
-    stars = near(shared.filter("node <> first").select(F.col("node").alias("u"), F.col("first").alias("v")))
-    known = stars.select(F.col("u").alias("node")).unionByName(stars.select(F.col("v").alias("node"))).distinct()
-    sets = cut(_sets(docs, cut(slim.join(known, "node").select("node", "digest")), shingle))
-    found = cut(similar_pairs(stars, sets, similarity))
-    roots = components(found)
-
-    named = shared.join(roots, "node", "left").select("node", "band", F.coalesce("root", "node").alias("root"))
+    shared = cut(join_grouped(members, several, "band", "held", total).select("node", "band", "held"))
+    known = cut(shared.groupBy("node").agg(F.sum("held").alias("reach")))
+    slim = cut(nodes.select("node", "size", "fp", "digest").join(known, "node"))
+    centres = shared.join(known, "node").groupBy("band").agg(F.max_by("node", F.struct("reach", -F.col("node"))).alias("centre"), F.count(F.lit(1)).alias("held"))
+    stars = join_grouped(shared.select("node", "band"), cut(centres), "band", "held", total).filter("node <> centre")
+    stars = cut(stars.select(F.col("node").alias("u"), F.col("centre").alias("v")).distinct())
+
+    count = stars.count()
+    per_centre = stars.groupBy("v").agg(F.count(F.lit(1)).alias("held")).join(slim.select(F.col("node").alias("v"), F.col("size").alias("q"), F.col("fp").alias("fq")), "v")
+    both = join_grouped(stars, cut(per_centre), "v", "held", count).join(slim.select(F.col("node").alias("u"), "size", "fp"), "u")
+    agree = F.least("size", "q") >= F.lit(similarity) * F.greatest("size", "q")
+    near = cut(both.filter(agree & (_distance("fp", "fq", words64) <= radius)).select("u", "v"))
+    read = cut(near.select(F.col("u").alias("node")).unionByName(near.select(F.col("v").alias("node"))).distinct())
+    sets = cut(_sets(docs, cut(slim.join(read, "node").select("node", "digest")), shingle))
+    found = cut(similar_pairs(near, sets, similarity))
+
+    named = cut(shared.join(components(found), "node", "left").select("node", "band", F.coalesce("root", "node").alias("root")))
     left_over = named.groupBy("band").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count(F.lit(1)).alias("held")).filter("a <> b")
-    left_over = cut(left_over.select("band", "held"))
-    rest = join_grouped(cut(named), left_over, "band", "held", total).select("node", "band", "root")
-    count = sum((F.bit_count(F.col("fp")[k]) for k in range(1, words64)), F.bit_count(F.col("fp")[0]))
-    tile = F.array("band", F.floor(count / (radius + 1)).cast("long"))
-    pairs = tile_pairs(cut(rest.join(slim, "node").select("node", "size", "root", "fp", tile.alias("tile"))), [[0, 0], [0, 1]], radius, words64, similarity)
-    pairs = cut(pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct().join(stars, ["u", "v"], "left_anti"))
-    lacking = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct().join(known, "node", "left_anti")
-    sets = sets.unionByName(cut(_sets(docs, cut(slim.join(lacking, "node").select("node", "digest")), shingle)))
-    return found.unionByName(similar_pairs(pairs, sets, similarity))
+    rest = cut(join_grouped(named, cut(left_over.select("band", "held")), "band", "held", total).select("node", "band", "root"))
+    lacking = rest.select("node").distinct().join(read, "node", "left_anti")
+    sets = sets.unionByName(_sets(docs, cut(slim.join(lacking, "node").select("node", "digest")), shingle))
+    bits = sum((F.bit_count(F.col("fp")[k]) for k in range(1, words64)), F.bit_count(F.col("fp")[0]))
+    tile = F.array("band", F.floor(bits / (radius + 1)).cast("long")).alias("tile")
+    tiled = cut(rest.join(slim, "node").join(sets, "node").select("node", "size", "root", "fp", "held", tile))
+    return found.unionByName(tile_pairs(tiled, [[0, 0], [0, 1]], radius, words64, similarity))
 
 
 def near_duplicates(
