@@ -21,13 +21,15 @@ MARGINS = ("source", "lang", "topic")
 TEMPERATURE = 0.7
 #: Share of all tokens to sample.
 KEEP = 0.8
+#: Share of a value's tokens that default targets ask for at most; near 1 few tables of probabilities are left, and raking is slow.
+HEADROOM = 0.9
 TOLERANCE, MAX_ROUNDS = 1e-3, 100
 #: Rounds end with a warning, too, where so many in a row don't bring the gap under this share of the least before.
 STALL_ROUNDS, STALLED = 4, 0.999
 
 
 def form_topic(text: Column) -> Column:
-    """Topic by the form of a text, for tables without a topic column."""
+    """Stand-in for tables without a topic column: the form of a text. Callers name a column by ``topic``."""
     lines = F.regexp_count(text, F.lit("\n")) + 1
     tokens = F.regexp_count(text, F.lit(WORD))
     return (
@@ -51,11 +53,16 @@ def _cells(docs: DataFrame, topic: str | None, seed: int, key: str, text: str) -
     ]
 
 
-def tempered_targets(cells: DataFrame, margin: str, temperature: float = TEMPERATURE) -> DataFrame:
-    """``value``, ``share``: natural token shares of a margin to the power ``temperature``."""
-    mass = cells.groupBy(F.col(margin).alias("value")).agg(F.pow(F.sum("tokens").cast("double"), F.lit(temperature)).alias("m"))
-    total = mass.agg(F.sum("m").alias("total"))  # one row
-    return mass.crossJoin(F.broadcast(total)).select("value", (F.col("m") / F.col("total")).alias("share"))
+def tempered_targets(cells: DataFrame, margin: str, temperature: float = TEMPERATURE, keep: float = KEEP) -> DataFrame:
+    """``value``, ``share``: natural token shares of a margin to the power ``temperature``, as far as a sample
+    of the share ``keep`` of all tokens can have them: a value with too few tokens gets HEADROOM of them,
+    and the others share the rest in proportion."""
+    tokens = F.sum("tokens").cast("double")
+    rows = cells.groupBy(F.col(margin).alias("value")).agg(F.pow(tokens, F.lit(temperature)).alias("m"), (tokens * max(keep, HEADROOM)).alias("cap"))
+    every = Window.partitionBy()  # a row a value
+    goal = F.least("cap", F.col("m") * F.max("f").over(every))
+    held = rows.withColumn("f", _least_factor(F.sum("cap").over(every) * (keep / max(keep, HEADROOM)), "m", "cap", [], ["value"])).withColumn("goal", goal)
+    return held.select("value", (F.col("goal") / F.sum("goal").over(every)).alias("share"))
 
 
 def _gathered(cells: DataFrame, rows: int = 100_000) -> DataFrame:
@@ -87,7 +94,8 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame]) -> DataFrame:
     before, so a value has at most as many rows as the other margins have combinations, and
     Spark's window spills where they don't fit. Rounds go on until every margin is within TOLERANCE
     of its target; where a round gains nothing any more or MAX_ROUNDS are done (targets that contradict each
-    other or the empty cells can't all be met), a warning gives the remaining gap. Cells of values that a target lacks are left out.
+    other or the empty cells can't all be met), a warning gives the remaining gap. Cells of values that a target lacks are left
+    out; those of a value whose share is 0 get no mass.
     """
     state = cells
     for margin, goal in targets.items():
@@ -97,8 +105,8 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame]) -> DataFrame:
     rounds = _Rounds()
     while rounds.go_on():
         for margin in targets:
-            held = F.sum("mass").over(Window.partitionBy(margin))
-            state = state.withColumn(f"factor_{margin}", F.col(f"share_{margin}") * total / held)
+            held = F.sum("mass").over(Window.partitionBy(margin))  # 0 where the target is
+            state = state.withColumn(f"factor_{margin}", F.when(held > 0, F.col(f"share_{margin}") * total / held).otherwise(1.0))
             state = state.withColumn("mass", F.col("mass") * F.col(f"factor_{margin}"))
         state = cut(state)
         rounds.gap = state.agg(F.max(F.greatest(F.lit(0.0), *[F.abs(F.col(f"factor_{m}") - 1) for m in targets]))).first()[0] or 0.0
@@ -117,12 +125,12 @@ def _least_factor(wanted: Column, value: str, cap: str, by: list[str], ties: lis
 
 
 def _reachable(raked: DataFrame, margin: str, keep: float) -> DataFrame:
-    """``margin``, ``goal``: tokens to sample of each value. Values with fewer tokens than their share
+    """``margin``, ``want``, ``cap``, ``goal``: tokens to sample of each value. Values with fewer tokens than their share
     of the sample give all, the others share what they leave in proportion to the targets."""
     rows = raked.groupBy(margin).agg(F.sum("mass").alias("want"), F.sum(F.col("tokens").cast("double")).alias("cap"))
     total = F.sum("cap").over(Window.partitionBy()) * keep
     rows = rows.withColumn("f", _least_factor(total, "want", "cap", [], [margin]))
-    return rows.select(margin, F.least("cap", F.col("want") * F.max("f").over(Window.partitionBy())).alias(f"goal_{margin}"))
+    return rows.select(margin, "want", "cap", F.least("cap", F.col("want") * F.max("f").over(Window.partitionBy())).alias(f"goal_{margin}"))
 
 
 def probabilities(raked: DataFrame, keep: float = KEEP) -> DataFrame:
@@ -142,7 +150,11 @@ def probabilities(raked: DataFrame, keep: float = KEEP) -> DataFrame:
         return raked.withColumn("probability", ratio * scale)
     state = raked.withColumn("__tw_x", F.col("mass") * scale).withColumn("__tw_cap", F.col("tokens").cast("double"))
     for margin in MARGINS:
-        state = state.join(_reachable(raked, margin, keep), margin)
+        goals = cut(_reachable(raked, margin, keep))
+        short = goals.filter(F.col("want") * scale > F.col("cap") * (1 + TOLERANCE)).orderBy((F.col("cap") / F.col("want")).asc(), margin).limit(5)
+        if names := [r[0] for r in short.select(margin).collect()]:  # five at most, for the message alone
+            warnings.warn(f"targets of {margin} out of reach without repeats, sampled whole: {names}", stacklevel=2)
+        state = state.join(goals.select(margin, f"goal_{margin}"), margin)
     state = _gathered(cut(state))
     sampled = F.least("__tw_cap", "__tw_x")
     rounds = _Rounds()
@@ -170,14 +182,25 @@ def margin_gaps(table: DataFrame) -> DataFrame:
     return rows.select("margin", "value", share("target"), share("reached"))
 
 
-def _probability_table(slim: DataFrame, targets: dict[str, DataFrame] | None, temperature: float, keep: float) -> DataFrame:
+def mixture(docs: DataFrame, targets: dict[str, DataFrame] | None = None, temperature: float = TEMPERATURE, keep: float = KEEP, topic: str | None = None,
+            key: str = "doc_id", text: str = "text") -> DataFrame:
+    """:func:`margin_gaps` of the mix of ``docs``: the residual after raking, a row a value of a margin."""
+    cells = docs.select(*_cells(docs, topic, 0, key, text))
+    return margin_gaps(cut(_probabilities(cells, targets, temperature, keep)))
+
+
+def _probabilities(slim: DataFrame, targets: dict[str, DataFrame] | None, temperature: float, keep: float) -> DataFrame:
     cells = cut(
         slim.groupBy(*[F.col(f"__tw_{m}").alias(m) for m in MARGINS])
         .agg(F.sum("__tw_tokens").alias("tokens"))
         .filter("tokens > 0")
     )
-    wanted = targets or {m: tempered_targets(cells, m, temperature) for m in MARGINS}
-    table = probabilities(rake(cells, wanted), keep)
+    wanted = targets or {m: tempered_targets(cells, m, temperature, keep) for m in MARGINS}
+    return probabilities(rake(cells, wanted), keep)
+
+
+def _probability_table(slim: DataFrame, targets: dict[str, DataFrame] | None, temperature: float, keep: float) -> DataFrame:
+    table = _probabilities(slim, targets, temperature, keep)
     return table.select(*[F.col(m).alias(f"__tw_{m}") for m in MARGINS], F.col("probability").alias("__tw_p"))
 
 

@@ -4,9 +4,11 @@ Documents become pieces of at most a sequence's capacity. Pieces are dealt into
 number of rows in expectation, by a seeded hash, and a group is packed in one task: longest pieces
 first, each into the open sequence (bin) with the least room that still takes it and does not
 conflict. Bins are ordered by their room; the search starts at the first one with enough room
-and goes on to its successors until a compatible bin is found, and a new bin is opened only if
-there is none. A bin carries bitmaps of the sources and the duplicate clusters it holds: pieces
-of one cluster never share a bin, and a bin takes at most ``per_source`` pieces of one source.
+and goes on to its successors until a compatible bin is found. A bin carries bitmaps of the sources
+and the duplicate clusters it holds: pieces of one cluster never share a bin, and a bin takes at most
+``per_source`` pieces of one source as long as another bin has room. Where all bins with room are
+full of the source, the tightest of them that lacks the cluster is taken; a new bin is opened only if there
+is none. So a hot source is spread over the bins as far as it goes and costs no room.
 """
 
 from __future__ import annotations
@@ -15,10 +17,10 @@ from bisect import bisect_left, insort
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import WORD, ship
+from tidewell.llm.common import WORD, cut, ship
 
 CAPACITY = 2048
 PER_SOURCE = 3
@@ -33,14 +35,19 @@ def best_fit(lengths: list[int], sources: list[int], clusters: list[int], capaci
     bins, offsets = [], []
     for length, source, cluster in zip(lengths, sources, clusters, strict=True):
         source_bit, cluster_bit = 1 << source, 1 << cluster
-        at = bisect_left(room, (length, -1))
+        at = chosen = bisect_left(room, (length, -1))
         while at < len(room):
             b = room[at][1]
-            if not copies[b] & cluster_bit and not planes[b][-1] & source_bit:
-                break
+            if not copies[b] & cluster_bit:
+                if not planes[b][-1] & source_bit:
+                    break
+                if copies[room[chosen][1]] & cluster_bit:
+                    chosen = at  # the first bin without the cluster
             at += 1
         if at < len(room):
-            left, b = room.pop(at)
+            chosen = at
+        if chosen < len(room) and not copies[room[chosen][1]] & cluster_bit:
+            left, b = room.pop(chosen)
         else:
             left, b = capacity, len(planes)
             planes.append([0] * per_source)
@@ -48,7 +55,7 @@ def best_fit(lengths: list[int], sources: list[int], clusters: list[int], capaci
         bins.append(b)
         offsets.append(capacity - left)
         copies[b] |= cluster_bit
-        plane = next(k for k in range(per_source) if not planes[b][k] & source_bit)
+        plane = next((k for k in range(per_source) if not planes[b][k] & source_bit), per_source - 1)
         planes[b][plane] |= source_bit
         if left > length:
             insort(room, (left - length, b))
@@ -84,22 +91,26 @@ def pack(
     column of token counts, plus the separator). Equal texts are a cluster. Pieces as long as a
     sequence are bins of their own. Null and empty texts have one piece of one token. A null source and
     an empty one are the same. Repeated rows are packed each, in different bins as copies.
-    An empty table gives an empty result; other columns are ignored.
+    An empty table gives an empty result; other columns are ignored. Bins and their numbers follow from the
+    rows alone, not from files or partitions.
     """
-    items = pieces(docs, capacity, length, text, key, source)
-    # a document and its repeats spread by content and piece, as do the members of hot groups by doc_id
-    mark = F.xxhash64(F.lit(seed), "doc_id", "piece", "source")
-    whole = items.filter(F.col("n_tokens") == capacity)
-    rest = items.filter(F.col("n_tokens") < capacity)
-    n = docs.count()  # each document has one piece at most that is not whole
-    groups = max(1, -(-n // group_rows))
-    dealt = rest.withColumn("group", F.pmod(mark, F.lit(groups)))
+    # pieces are a few numbers each; their texts are read once
+    items = cut(pieces(docs, capacity, length, text, key, source))
+    # rows that are the same in all this get numbers, so that they spread as well
+    same = Window.partitionBy("doc_id", "source", "cluster", "piece", "n_tokens").orderBy("start")
+    numbered = items.withColumn("copy", F.row_number().over(same))
+    mark = F.xxhash64(F.lit(seed), "doc_id", "piece", "source", "cluster", "copy")
+    is_whole = F.col("n_tokens") == capacity
+    n = items.agg(F.count_if(is_whole).alias("whole"), F.count_if(~is_whole).alias("rest")).first()
+    groups = {k: max(1, -(-n[k] // group_rows)) for k in ("whole", "rest")}
+    whole = numbered.filter(is_whole).withColumn("group", F.pmod(mark, F.lit(groups["whole"])))
+    dealt = numbered.filter(~is_whole).withColumn("group", F.pmod(mark, F.lit(groups["rest"])))
     schema = "doc_id long, source string, cluster long, piece long, start long, n_tokens long, bin_id long, offset long"
 
     def run(table: pa.Table) -> pa.Table:
         column = {c: table.column(c).to_pylist() for c in table.column_names}
         lengths, ids = np.array(column["n_tokens"], np.int64), np.array([-1 if d is None else d for d in column["doc_id"]], np.int64)
-        order = np.lexsort((column["piece"], ids, -lengths))
+        order = np.lexsort((column["copy"], column["cluster"], column["piece"], ids, -lengths))
         out = table.take(pa.array(order))
         dense = []
         for c in ("source", "cluster"):
@@ -107,13 +118,14 @@ def pack(
             dense.append([numbers.setdefault(v, len(numbers)) for v in out.column(c).to_pylist()])
         bins, offsets = best_fit(lengths[order].tolist(), *dense, capacity, per_source)
         group = column["group"][0]
-        out = out.drop_columns(["group"])
-        out = out.append_column("bin_id", pa.array([2 * (group << 24 | b) for b in bins], pa.int64()))
+        out = out.drop_columns(["copy", "group"])
+        out = out.append_column("bin_id", pa.array([2 * (group << 32 | b) for b in bins], pa.int64()))
         return out.append_column("offset", pa.array(offsets, pa.int64()))
 
     ship(docs.sparkSession)
     packed = dealt.groupBy("group").applyInArrow(run, schema)
     # odd numbers are the bins of whole pieces, one for each row
-    own = F.monotonically_increasing_id() * 2 + 1
-    full = whole.select("*", own.alias("bin_id"), F.lit(0).cast("long").alias("offset"))
+    place = Window.partitionBy("group").orderBy("doc_id", "piece", "cluster", "source", "copy")
+    own = F.shiftleft("group", 32).bitwiseOR(F.row_number().over(place).cast("long")) * 2 + 1
+    full = whole.withColumn("bin_id", own).withColumn("offset", F.lit(0).cast("long")).drop("copy", "group")
     return packed.unionByName(full)

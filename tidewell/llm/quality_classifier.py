@@ -35,7 +35,7 @@ def shape(word: str) -> str:
         run = m.group()
         return "0" if run[0].isdigit() else "a" if run.islower() else "A" if run.isupper() and len(run) > 1 else "B" if run[0].isupper() else "c"
 
-    return _SIGNS.sub(sign, word)[:16]
+    return _SIGNS.sub(sign, word)
 
 
 class _Hashes(dict):
@@ -44,9 +44,11 @@ class _Hashes(dict):
         self.shapes = shapes
 
     def __missing__(self, word: str) -> int:
-        if len(self) >= _MAX_WORDS:
-            self.clear()
-        self[word] = value = zlib.crc32((("s " + shape(word)) if self.shapes else ("w " + word)).encode())
+        value = zlib.crc32((("s " + shape(word)) if self.shapes else ("w " + word)).encode())
+        if len(word) <= 100:  # longer ones are hashed anew each time
+            if len(self) >= _MAX_WORDS:
+                self.clear()
+            self[word] = value
         return value
 
 
@@ -117,7 +119,7 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], epochs: int = EPOCHS) ->
     return weights(slice(None))
 
 
-def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> np.ndarray:
+def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, text: str = "text", key: str = "doc_id") -> np.ndarray:
     """Weights fitted on labelled documents whose crc32(doc_id) mod 3 is not 1.
 
     ``rows`` bounds the number of fitted documents (in expectation; drawn by a seeded hash of the id).
@@ -132,7 +134,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> np.ndar
     chosen = usable.withColumn("__tw_order", F.xxhash64(F.lit(5), "__tw_id")).filter(
         F.shiftrightunsigned("__tw_order", 11).cast("double") * 2.0**-53 < chance
     )
-    texts = docs.select(F.col("doc_id").alias("__tw_id"), F.col("text").alias("__tw_text"))
+    texts = docs.select(F.col(key).alias("__tw_id"), F.col(text).alias("__tw_text"))
     joined = texts.join(F.broadcast(chosen), "__tw_id").select("__tw_order", "__tw_label", "__tw_text")
 
     def featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
