@@ -527,13 +527,32 @@ def test_token_counts_fuzzed(counters, t):
     assert ours.count(t) == library(t)
 
 
-@given(st.text(alphabet="the and'<|endoftext|>é \n1", max_size=200), st.integers(1, 40))
-@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet="the and'<|endoftext|>é \n1sréß中文!?", max_size=200), st.integers(1, 40))
+@settings(max_examples=300, deadline=None)
 def test_chunk_maps_compose(counters, t, size):
     ours, library = counters
     assert ours.count(t, chunk=size) == library(t)
 
 
+@pytest.mark.parametrize("t", ["a" * 5000, "abcdefg" * 900, "中文字符" * 800, "!?-" * 2000, "x1" * 2000, "it's we'll 'tis o'clock' " * 300, "Zm9vYmFy" * 700 + "==", tables.text(8, 3000)])
+def test_long_texts_with_and_without_spaces(counters, t):
+    ours, library = counters
+    assert ours.count(t, chunk=257) == library(t)
+
+
+def test_maps_are_associative(counters):
+    ours, _ = counters
+    text = ours._normal("unspaced" * 200 + " it's " + "text" * 100)
+    maps = ours.chunk_maps(text, 100)
+    left, right = maps[0], maps[-1]
+    for m in maps[1:]:
+        left = left.then(m)
+    for m in reversed(maps[:-1]):
+        right = m.then(right)
+    start = token_counts.State()
+    assert left(start) == right(start) == token_counts.prefix_scan(maps)[-1](start)
+
+
 def test_classifier_held_out(spark, sf):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     weights = quality_classifier.train(docs, labels)
@@ -660,7 +679,7 @@ def brute_chunks(t):
     hs = [values[m.end() - 1] for m in words]
     for i, v in enumerate(hs):
         near = [hs[j] for j in range(max(0, i - 3), min(len(hs), i + 4)) if j != i]
-        if i == len(hs) - 1 or (v != 2**32 - 1 and all(v < x for x in near)):
+        if i == len(hs) - 1 or (v != 2**32 - 1 and all(v <= x for x in near)):
             ends.append(i)
     out, first = [], 0
     for e in ends:
@@ -675,7 +694,7 @@ def test_chunks(spark):
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").coalesce(1)
     got = defaultdict(list)
     for r in sorted(substring_dedup.chunks(df).collect()):
-        got[r.doc_id].append((r.start, r.end, r.words, xxhash.xxh3_64_intdigest(texts[r.doc_id][r.start : r.end].encode()) == r.digest % 2**64))
+        got[r.doc_id].append((r.start, r.end, r.words, xxhash.xxh3_128_intdigest(texts[r.doc_id][r.start : r.end].encode()) == (r.high % 2**64) << 64 | r.low % 2**64))
     for i, t in texts.items():
         assert got[i] == [(a, b, n, True) for a, b, n, _ in brute_chunks(t)]
 
@@ -684,10 +703,37 @@ def test_chunks_resist_shifts(spark):
     base = tables.words(5, 600)
     shifted = [*base[:100], "inserted", "here", *base[100:]]
     df = spark.createDataFrame([(1, " ".join(base)), (2, " ".join(shifted))], "doc_id long, text string")
-    digests = [{r.digest for r in substring_dedup.chunks(df).filter(f"doc_id = {i}").collect()} for i in (1, 2)]
+    digests = [{(r.high, r.low) for r in substring_dedup.chunks(df).filter(f"doc_id = {i}").collect()} for i in (1, 2)]
     assert len(digests[0] & digests[1]) >= len(digests[0]) - 4
 
 
+def unspaced(seed, n):
+    return "".join(chr(0x4E00 + int(x)) for x in np.random.default_rng(seed).integers(0, 3000, n))
+
+
+def test_passages_without_spaces(spark):
+    """Chinese text and lines of data are parted by their bytes, and shared parts are found."""
+    shared, data = unspaced(1, 300), "".join(f"{x:x}" for x in np.random.default_rng(9).integers(0, 2**31, 80))
+    rows = [(1, unspaced(2, 200) + shared), (2, unspaced(3, 150) + shared + unspaced(4, 60)), (3, unspaced(5, 500)), (4, "k=" + data), (5, f"other={data}!")]
+    got = {r.doc_id: r for r in substring_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert set(got) == {1, 2, 4, 5}
+    text = dict(rows)[2]
+    assert text[got[2].start : got[2].end] in shared and got[2].end - got[2].start > 150
+
+
+def test_deduplicated_texts(spark):
+    """Later copies go, in other documents and in the same one; what stays is each text's own."""
+    passage, own = " ".join(tables.words(61, 80)), {i: " ".join(tables.words(70 + i, 60)) for i in range(4)}
+    rows = [(i, f"{own[i]} {passage} end{i}", 0) for i in range(3)] + [(3, f"{own[3]} {passage.upper()} mid {passage.upper()}", 0), (4, None, None), (5, "", 0), (None, passage, 0), (6, passage, 0), (6, passage, 0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n_chars long")
+    got = {(r.doc_id, i): r for i, r in enumerate(substring_dedup.deduplicated(df).orderBy("doc_id").collect())}
+    by = {k[0]: r for k, r in got.items()}
+    assert by[0].text == rows[0][1] and by[4].text is None and by[5].text == "" and by[None].text == by[6].text == passage
+    for i in (1, 2):
+        assert own[i][:300] in by[i].text and len(by[i].text) < len(own[i]) + len(passage) // 3 and by[i].n_chars == len(by[i].text)
+    assert passage.upper() in by[3].text and len(by[3].text) < len(own[3]) + 1.4 * len(passage)
+
+
 def test_planted_passages_are_found(spark):
     plain = {i: tables.text(1000 + i, 150) for i in range(300)}
     passages = {k: tables.words(5000 + k, 51) for k in range(40)}

@@ -9,16 +9,20 @@ transition for a byte is annotated with the change of the token count. States an
 are compiled when first needed and shared by all pieces; counts of pieces are remembered.
 Tables that grow past a bound are dropped and compiled anew, which changes no result.
 
-A long text is cut into chunks. A chunk's map is what it does between any two states: the
-text before its first white space, the count of its middle, the text after its last white
-space. Maps compose associatively, and a prefix scan joins them to the count of the text.
+A long text is cut into chunks, wherever that may fall. A state of the text's transducer is the kind of the
+piece that is open (none, letters or signs), the state inside that piece and its last byte, which
+is held back as a piece's last byte is a symbol of its own. A chunk's map gives, for the states in which it
+may start, the state in which it ends and the tokens emitted on the way; maps are made for each chunk on its
+own, for no open piece and for pieces that the text before the chunk may have left open. They compose
+associatively, and a prefix scan over the chunks in log steps joins them to the map of the whole text. A start state that a map
+lacks is run when a composition asks for it, which adds it to the map.
 """
 
 from __future__ import annotations
 
 import json
 import unicodedata
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -28,9 +32,9 @@ from pyspark.sql import functions as F
 
 from tidewell.llm.common import map_arrow
 
-CHUNK = 1 << 16
+#: Characters of a chunk, and bytes before it from which the states of a piece that is open there are guessed.
+CHUNK, WARM_UP = 1 << 14, 64
 MAX_PIECES, MAX_STATES, MAX_PAIRS = 400_000, 200_000, 400_000
-_SPACE = regex.compile(r"[\t\n\x0b\x0c\r ]")
 
 
 def _byte_letters() -> dict[int, str]:
@@ -69,6 +73,7 @@ class Transducer:
             self.symbols[i] = [self.inner[b] for b in raw[:-1]] + [(self.final if ends else self.inner)[raw[-1]]]
             self.prefixes.update(raw[:k] for k in range(1, len(raw)))
         self.pairs: dict[tuple[int, int], bool] = {}
+        self.held = False  # whether states are in use outside, so that tables must stay
         self._reset()
 
     def _reset(self) -> None:
@@ -133,25 +138,66 @@ class Transducer:
         self.ends[state << 8 | byte] = found = counts[start] + 1
         return found
 
+    def run(self, state: int, data: bytes) -> tuple[int, int]:
+        """The state behind bytes that don't end a piece, and the tokens emitted."""
+        total, steps = 0, self.steps
+        for byte in data:
+            found = steps.get(state << 8 | byte) or self._compile_step(state, byte)
+            state, total = found[0], total + found[1]
+        return state, total
+
+    def end(self, state: int, byte: int) -> int:
+        """Tokens emitted by the last byte of a piece."""
+        found = self.ends.get(state << 8 | byte)
+        return self._compile_end(state, byte) if found is None else found
+
     def count(self, piece: bytes) -> int:
         if not piece:
             return 0
-        if len(self.states) > MAX_STATES:
+        if len(self.states) > MAX_STATES and not self.held:
             self._reset()
-        state, total, steps = 0, 0, self.steps
-        for byte in piece[:-1]:
-            found = steps.get(state << 8 | byte) or self._compile_step(state, byte)
-            state, total = found[0], total + found[1]
-        end = self.ends.get(state << 8 | piece[-1])
-        return total + (self._compile_end(state, piece[-1]) if end is None else end)
+        state, total = self.run(0, piece[:-1])
+        return total + self.end(state, piece[-1])
+
+
+class State(NamedTuple):
+    """Kind of the open piece ("" for none, "L" letters, "S" signs), the transducer's state in it, its last byte."""
+
+    kind: str = ""
+    inner: int = 0
+    last: int = -1
+
+
+class ChunkMap:
+    """What a run of chunks does: from a start state to the end state and the tokens in between."""
+
+    def __init__(self, run: Callable[[State], tuple[State, int]], starts: Iterable[State]):
+        self.run = run
+        self.known: dict[State, tuple[State, int]] = {s: run(s) for s in starts}
+
+    def __call__(self, start: State) -> tuple[State, int]:
+        if start not in self.known:
+            self.known[start] = self.run(start)
+        return self.known[start]
+
+    def then(self, following: ChunkMap) -> ChunkMap:
+        """The map of this run of chunks and the ``following`` one."""
 
+        def run(start: State) -> tuple[State, int]:
+            middle, before = self(start)
+            end, after = following(middle)
+            return end, before + after
 
-class ChunkMap(NamedTuple):
-    """What a chunk adds: ``count`` is None if it has no white space and is all ``head``."""
+        return ChunkMap(run, self.known)
 
-    head: str
-    count: int | None
-    tail: str
+
+def prefix_scan(maps: list[ChunkMap]) -> list[ChunkMap]:
+    """For each chunk the map of all chunks up to it, by doubling: log2(n) steps, each of independent compositions."""
+    step = 1
+    while step < len(maps):
+        maps = [maps[i - step].then(m) if i >= step else m for i, m in enumerate(maps)]
+        step *= 2
+    return maps
 
 
 def _character_class(prop: str) -> str:
@@ -201,50 +247,97 @@ class Counter:
         for prop in ("L", "N"):
             pattern = pattern.replace(rf"\p{{{prop}}}", _character_class(prop))
         self.pieces = regex.compile(pattern, regex.V1)
+        letters, numbers = (_character_class(p) for p in ("L", "N"))
+        self.open_run = {"L": regex.compile(f"{letters}*", regex.V1), "S": regex.compile(rf"[^{space}{letters}{numbers}]*", regex.V1)}
+        self.last_kind = regex.compile(rf"(?P<L>{letters})|(?P<S>[^{space}{letters}{numbers}])", regex.V1)
         self.known: dict[str, int] = _Remembered(lambda piece: self.transducer.count(piece.encode()))
 
-    def _plain(self, text: str) -> int:
+    def _normal(self, text: str) -> str:
         if not unicodedata.is_normalized("NFC", text):
             text = unicodedata.normalize("NFC", text)
         # letter by letter, so without the rule for a final sigma
-        text = text.replace("Σ", "σ").lower()
-        if len(self.known) > MAX_PIECES:
-            self.known.clear()
+        return text.replace("Σ", "σ").lower()
+
+    def _found(self, text: str) -> list[str]:
         try:
             text.encode("latin-1")
-            pieces = self.latin_pieces
+            return self.latin_pieces.findall(text)
         except UnicodeEncodeError:
-            pieces = self.pieces
-        return sum(map(self.known.__getitem__, pieces.findall(text)))
+            return self.pieces.findall(text)
 
-    def _segment(self, text: str) -> int:
-        if self.split_special is None or not any(s in text for s in self.special):
-            return self._plain(text)
-        parts = self.split_special.split(text)
-        return len(parts) - 1 + sum(map(self._plain, parts))
-
-    def chunk_map(self, text: str) -> ChunkMap:
-        first = _SPACE.search(text)
-        if not first:
-            return ChunkMap(text, None, "")
-        last = max(text.rfind(c) for c in "\t\n\x0b\x0c\r ")
-        return ChunkMap(text[: first.start()], self._segment(text[first.start() : last + 1]), text[last + 1 :])
-
-    def compose(self, a: ChunkMap, b: ChunkMap) -> ChunkMap:
-        if a.count is None:
-            return ChunkMap(a.head + b.head, b.count, b.tail)
-        if b.count is None:
-            return ChunkMap(a.head, a.count, a.tail + b.head)
-        return ChunkMap(a.head, a.count + self._segment(a.tail + b.head) + b.count, b.tail)
+    def _whole(self, text: str) -> int:
+        """Tokens of a text in its normal form, all pieces closed at its end."""
+        if len(self.known) > MAX_PIECES:
+            self.known.clear()
+        return sum(map(self.known.__getitem__, self._found(text)))
+
+    def _go_on(self, state: State, run: str) -> tuple[State, int]:
+        """Characters that the open piece takes in, as long as they don't end it."""
+        data = run.encode()
+        if not data:
+            return state, 0
+        first = bytes((state.last,)) if state.last >= 0 else b""
+        inner, n = self.transducer.run(state.inner, first + data[:-1])
+        return State(state.kind, inner, data[-1]), n
+
+    def _close(self, state: State) -> int:
+        return self.transducer.end(state.inner, state.last) if state.kind else 0
+
+    def _run(self, text: str, start: State) -> tuple[State, int]:
+        """From a start state through the characters of a chunk in its normal form."""
+        n = 0
+        if start.kind:
+            head = self.open_run[start.kind].match(text).group()
+            start, n = self._go_on(start, head)
+            if len(head) == len(text):
+                return start, n
+            n += self._close(start)
+            text = text[len(head) :]
+        kind = self.last_kind.match(text[-1])
+        if not kind:
+            return State(), n + self._whole(text)
+        # the last piece stays open; an apostrophe that starts a contraction is never cut from it
+        pieces = self._found(text)
+        for piece in pieces[:-1]:
+            n += self.known[piece]
+        state, emitted = self._go_on(State(kind.lastgroup), pieces[-1])
+        return state, n + emitted
+
+    def _cuts(self, text: str, chunk: int) -> list[int]:
+        """Places about ``chunk`` characters apart where no contraction is cut: not within three characters behind an apostrophe."""
+        cuts, at = [0], chunk
+        while at < len(text):
+            while at < len(text) and "'" in text[max(0, at - 3) : at + 1]:
+                at += 1
+            if at < len(text):
+                cuts.append(at)
+            at += chunk
+        return [*cuts, len(text)]
+
+    def chunk_maps(self, text: str, chunk: int) -> list[ChunkMap]:
+        """A map for each chunk of a text in its normal form, each made without the others."""
+        cuts, out = self._cuts(text, chunk), []
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            before = text[max(0, a - WARM_UP) : a]
+            guessed = {State(), self._run(before, State())[0]} if before else {State()}
+            out.append(ChunkMap(lambda start, part=text[a:b]: self._run(part, start), guessed))
+        return out
 
-    def count(self, text: str, chunk: int = CHUNK) -> int:
+    def _segment(self, text: str, chunk: int) -> int:
+        text = self._normal(text)
         if len(text) <= chunk:
-            return self._segment(text)
-        maps = [self.chunk_map(text[i : i + chunk]) for i in range(0, len(text), chunk)]
-        while len(maps) > 1:  # neighbours pairwise, as a scan over processors would
-            maps = [self.compose(*maps[i : i + 2]) if i + 1 < len(maps) else maps[i] for i in range(0, len(maps), 2)]
-        whole = maps[0]
-        return self._segment(whole.head) + (whole.count or 0) + self._segment(whole.tail)
+            return self._whole(text)
+        self.transducer.held = True
+        end, n = prefix_scan(self.chunk_maps(text, chunk))[-1](State())
+        n += self._close(end)
+        self.transducer.held = False
+        return n
+
+    def count(self, text: str, chunk: int = CHUNK) -> int:
+        if self.split_special is None or not any(s in text for s in self.special):
+            return self._segment(text, chunk)
+        parts = self.split_special.split(text)
+        return len(parts) - 1 + sum(self._segment(p, chunk) for p in parts)
 
 
 class _Remembered(dict):
