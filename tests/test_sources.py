@@ -91,7 +91,7 @@ def test_sinks_are_idempotent(spark, tmp_path):
     sinks.append_new(df, path)
     sinks.append_new(df, path)
     assert spark.read.parquet(path).count() == 2
-    counters = spark.createDataFrame([("crawler:metrics:example.com:2026-02-18-15:direct_requests", 10), ("crawler:metrics:example.com:2026-02-18-15:budget_blocked", 2), ("bad", 1)], "name string, value long")
+    counters = spark.createDataFrame([("app:metrics:example.com:2026-02-18-15:direct_requests", 10), ("app:metrics:example.com:2026-02-18-15:budget_blocked", 2), ("bad", 1)], "name string, value long")
     got = sinks.parsed_counters(counters).collect()
     assert [(r.domain, r.direct_requests, r.budget_blocked) for r in got] == [("example.com", 10, 2)]
 

@@ -43,3 +43,13 @@ def looked_up(mapping: dict[str, str], key: Column) -> Column:
 def zipped(keys: Column, values: Column) -> Column:
     """Pairs of two arrays by place; null if their lengths differ, so a whole batch is discarded."""
     return F.when(F.size(keys) == F.size(values), F.arrays_zip(keys.alias("key"), values.alias("value")))
+
+
+def is_subset(items: Column, vocabulary: list[str]) -> Column:
+    """Whether all items are known."""
+    return F.size(F.array_except(items, F.array(*[F.lit(v) for v in vocabulary]))) == 0
+
+
+def merged_in_order(first: Column, then: Column) -> Column:
+    """Items of both arrays without repeats, those of the first in front."""
+    return F.array_distinct(F.concat(first, then))

@@ -115,3 +115,13 @@ def quota_target(total: Column, percent_: int, low: int = 2, high: int = 5, smal
 def reddit_upvotes(score: Column, ratio: Column) -> Column:
     """Votes from a score and an upvote ratio; a half leaves the score, 0 gives 0."""
     return F.when(ratio == 0, F.lit(0)).when(ratio == 0.5, score.cast("int")).otherwise((score / (2 * ratio - 1)).cast("int"))
+
+
+def whole_percent(part: Column, whole: Column) -> Column:
+    """100 part / whole in whole numbers, 0 for an empty whole."""
+    return F.when(whole == 0, F.lit(0).cast("long")).otherwise(F.floor(part * 100 / F.nullif(whole, F.lit(0))))
+
+
+def lognormal_delay(mode: Column, draw: Column, low: float, high: float, sigma: float = 0.5) -> Column:
+    """exp(ln(mode) + sigma * draw), within the bounds; ``draw`` comes from a standard normal distribution."""
+    return F.greatest(F.lit(low), F.least(F.exp(F.log(mode) + sigma * draw), F.lit(high)))

@@ -116,3 +116,13 @@ def excluding(items: DataFrame, column: str, value) -> DataFrame:
 def drill_down(items: DataFrame, column: str = "collected_at", unit: str = "day") -> DataFrame:
     """Counts by year, month or day."""
     return items.groupBy(F.date_format(F.date_trunc(unit, column), "yyyy-MM-dd").alias("period")).agg(F.count(F.lit(1)).alias("items"))
+
+
+def offset_page(items: DataFrame, size: int, offset: int) -> DataFrame:
+    """Rows from ``offset`` on, newest first. Sorts offset + size rows; pages by key (:func:`page`) need no offset."""
+    return items.orderBy(F.col("collected_at").desc(), F.col("id").desc()).offset(offset).limit(size)
+
+
+def thumbnail(payload: Column) -> Column:
+    """Thumbnail address in a raw payload; null without one."""
+    return F.get_json_object(payload, "$._thumbnail_url")

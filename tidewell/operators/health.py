@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewell.functions.numbers import percent
@@ -141,3 +141,15 @@ def merged_counters(stored: DataFrame, deltas: DataFrame, keys: list[str], count
     """Stored counters plus deltas, by key."""
     both = stored.select(*keys, *counters).unionByName(deltas.select(*keys, *counters))
     return both.groupBy(*keys).agg(*[F.sum(F.coalesce(c, F.lit(0))).alias(c) for c in counters])
+
+
+def service_status(spark: SparkSession, now: Column) -> DataFrame:
+    """One row: the constant answer of a service that runs."""
+    return spark.range(1).select(F.lit("healthy").alias("status"), F.lit("tidewell").alias("service"), now.alias("timestamp"))
+
+
+def translation_health(providers: DataFrame, translations: DataFrame) -> DataFrame:
+    """One row: the providers' roll-up and how many translations are complete and failed."""
+    done = translations.agg(F.count_if(F.col("status") == "complete").alias("complete"), F.count_if(F.col("status") == "failed").alias("failed"))
+    rate = percent(F.col("complete"), F.col("complete") + F.col("failed"))
+    return providers_rollup(providers).crossJoin(F.broadcast(done)).withColumn("success_rate", rate)  # a row each

@@ -58,7 +58,7 @@ def latin_entities(title: Column, lang: Column, stop: list[str] | None = None) -
 
 def arabic_entities(title: Column, stop: list[str] | None = None) -> Column:
     """Runs of Arabic letters; of words that differ by their article alone, the first, as written."""
-    bare = lambda w: F.when(w.startswith(ARTICLE) & (F.length(w) > len(ARTICLE)), F.substring(w, len(ARTICLE) + 1, 1000)).otherwise(w)
+    bare = lambda w: F.when(w.startswith(ARTICLE) & (F.length(w) > len(ARTICLE)), F.substr(w, F.lit(len(ARTICLE) + 1))).otherwise(w)
     pairs = F.transform(_all(F.coalesce(title, F.lit("")), ARABIC), lambda w: F.struct(bare(w).alias("k"), w.alias("w")))
     pairs = F.filter(pairs, lambda p: (F.length(p["k"]) >= 2) & (~p["k"].isin(*stop) if stop else F.lit(True)))
     keys = F.array_distinct(F.transform(pairs, lambda p: p["k"]))

@@ -33,8 +33,8 @@ def updated(df: DataFrame, where: Column, values: dict[str, Column]) -> DataFram
 
 
 def retained(df: DataFrame, column: str, now: Column, days: int) -> DataFrame:
-    """Rows that are not older than ``days``; all of them for -1."""
-    return df if days < 0 else df.filter(F.col(column) >= now - F.make_interval(days=F.lit(days)))
+    """Rows that are not older than ``days``, and those without a time; all of them for -1."""
+    return df if days < 0 else df.filter(F.col(column).isNull() | (F.col(column) >= now - F.make_interval(days=F.lit(days))))
 
 
 def retention_counts(items: DataFrame, children: dict[str, tuple[DataFrame, str]], column: str, now: Column, days: int) -> DataFrame:
