@@ -18,21 +18,24 @@ NOUN_VERB = (
     r"\b([A-Z][a-z]*(?:[A-Z][a-z]*)*[a-z]+)\s+"
     r"(?:said|announced|reported|reports|unveiled|banned|launched|warned|pledged|signed|approved|filed|sued|wins|loses|beats|misses|cuts|raises|faces)\b"
 )
-ENGLISH_STOP = (
-    "The This That New Top Big US UK EU UN A An In On At Is Are Was Were Has Have Had Be By Of To As For Or But And Not "
-    "Its It He She They We You How Why What When Where Who Which After Before Over Under More Most Some All One Two First Last Next"
-).split()
+ENGLISH_STOP = [
+    "The", "This", "That", "New", "Top", "Big", "US", "UK", "EU", "UN", "A", "An", "In", "On", "At", "Is", "Are", "Was", "Were", "Has", "Have", "Had",
+    "Be", "By", "Of", "To", "As", "For", "Or", "But", "And", "Not", "Its", "It", "He", "She", "They", "We", "You", "How", "Why", "What", "When",
+    "Where", "Who", "Which", "After", "Before", "Over", "Under", "More", "Most", "Some", "All", "One", "Two", "First", "Last", "Next",
+]
 #: Patterns of other scripts.
 LATIN = (r"(?U)\b\p{Lu}{2,6}\b", r"(?U)\b(?:\p{Lu}\p{Ll}+\s){1,3}\p{Lu}\p{Ll}+\b", r"(?U)\b\p{Lu}\p{Ll}+(?:\p{Lu}\p{Ll}+)+\b")
 ARABIC, ARTICLE = r"[\x{0600}-\x{06FF}]{2,}", "ال"
 DEVANAGARI = r"[\x{0900}-\x{097F}]{2,}"
 #: Words that are never keywords.
-KEYWORD_STOP = (
-    "the a an this that these those and or but both nor yet for from with without into onto upon about after before over under through "
-    "during between against he she it its they them their we us you your our his her is are was were been being has have had does did "
-    "will would could should can may might how why what when where who which whom all any some more most many much also only just very "
-    "too then than such new top big old news video update report today breaking latest live watch"
-).split()
+KEYWORD_STOP = [
+    "the", "a", "an", "this", "that", "these", "those", "and", "or", "but", "both", "nor", "yet", "for", "from", "with", "without", "into", "onto",
+    "upon", "about", "after", "before", "over", "under", "through", "during", "between", "against", "he", "she", "it", "its", "they", "them", "their",
+    "we", "us", "you", "your", "our", "his", "her", "is", "are", "was", "were", "been", "being", "has", "have", "had", "does", "did", "will", "would",
+    "could", "should", "can", "may", "might", "how", "why", "what", "when", "where", "who", "which", "whom", "all", "any", "some", "more", "most",
+    "many", "much", "also", "only", "just", "very", "too", "then", "than", "such", "new", "top", "big", "old", "news", "video", "update", "report",
+    "today", "breaking", "latest", "live", "watch",
+]
 CASELESS = ("ja", "ko", "ar", "th", "hi", "zh")
 
 

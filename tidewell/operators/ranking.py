@@ -26,24 +26,23 @@ def pending_top(items: DataFrame, n: int) -> DataFrame:
 def cutoffs(items: DataFrame, percent: Column | int, group: str = "lang_group") -> DataFrame:
     """``cutoff`` of each group: the score at position max(1, trunc(count * percent / 100)).
 
-    Rows above the position are counted by score, so that a group is not ranked row by row
-    in one task: scores are pre-aggregated to a row each, then accumulated in coarse ranges.
+    Approximate quantiles (off by a rank of a 20,000th at most) name a range of scores that holds the position.
+    Rows above it are only counted, those inside are pre-aggregated to a row a score, and these are
+    accumulated: some thousandths of a group, whatever the shape of its scores, and ties cost one row.
     """
-    scored = items.filter("hotness is not null and lang_group is not null" if group == "lang_group" else "hotness is not null")
-    percent = F.lit(percent) if isinstance(percent, int) else percent
-    size = scored.groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.min("hotness").alias("lo"), F.max("hotness").alias("hi"))
-    k = F.greatest(F.lit(1), (F.col("n") * percent / 100).cast("long"))
-    size = size.withColumn("k", k)
-    ranges = 1024
-    part = F.when(F.col("hi") > F.col("lo"), F.least(F.lit(ranges - 1), F.floor((F.col("hotness") - F.col("lo")) / (F.col("hi") - F.col("lo")) * ranges))).otherwise(0)
-    placed = scored.select(group, "hotness").join(size, group).withColumn("part", part)
-    counts = placed.groupBy(group, "part").agg(F.count(F.lit(1)).alias("held"))  # ranges rows a group at most
-    above = Window.partitionBy(group).orderBy(F.col("part").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.withColumn("above", F.coalesce(F.sum("held").over(above), F.lit(0))).join(size.select(group, "k"), group)
-    target = counts.filter("above < k and above + held >= k").select(group, "part", (F.col("k") - F.col("above")).alias("nth"))
-    inside = placed.select(group, "part", "hotness").join(target, [group, "part"])
-    ranked = inside.withColumn("rn", F.row_number().over(Window.partitionBy(group).orderBy(F.col("hotness").desc())))
-    return ranked.filter("rn = nth").select(group, F.col("hotness").alias("cutoff"))
+    scored = items.filter(F.col("hotness").isNotNull() & F.col(group).isNotNull()).select(group, "hotness", (F.lit(percent) if isinstance(percent, int) else percent).alias("percent"))
+    steps = 1000
+    # a row a group (language, platform)
+    held = scored.groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.first("percent").alias("percent"), F.percentile_approx("hotness", [i / steps for i in range(steps + 1)], 20_000).alias("q"))
+    held = held.withColumn("k", F.greatest(F.lit(1), (F.col("n") * F.col("percent") / 100).cast("long")))
+    at = F.floor((1 - F.col("k") / F.col("n")) * steps).cast("int")  # quantile just below the position
+    low = F.element_at("q", F.greatest(at - 1, F.lit(1)))
+    high = F.element_at("q", F.least(at + 4, F.lit(steps + 1)))
+    bounds = held.select(group, "k", F.when(at <= 2, F.lit(float("-inf"))).otherwise(low).alias("low"), F.when(at >= steps - 4, F.lit(float("inf"))).otherwise(high).alias("high"))
+    inside = scored.drop("percent").join(F.broadcast(bounds), group).filter("hotness >= low")
+    counts = inside.groupBy(group, "k", F.when(F.col("hotness") <= F.col("high"), F.col("hotness")).alias("score")).agg(F.count(F.lit(1)).alias("held"))
+    upto = F.sum("held").over(Window.partitionBy(group).orderBy(F.col("score").desc_nulls_first()))
+    return counts.withColumn("upto", upto).filter("upto >= k").groupBy(group).agg(F.max("score").alias("cutoff"))
 
 
 def pool_sizes(items: DataFrame, cutoff: DataFrame, group: str = "lang_group") -> DataFrame:

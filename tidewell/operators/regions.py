@@ -21,25 +21,32 @@ SUBREDDITS = {
     "reddit_india": "in", "reddit_france": "fr", "reddit_de": "de", "reddit_askARussian": "ru", "reddit_poland": "pl", "reddit_italy": "it",
     "reddit_brasil": "br", "reddit_arabs": "ar", "reddit_turkey": "tr", "reddit_es": "es", "reddit_mexico": "es", "reddit_argentina": "ar_latam",
 }
-#: Surfaces of a region. wenxuecity_news has none on purpose.
-REGION_SURFACES = {
-    "br": "g1_rss folha_rss bbcbrasil_rss uol_rss globo_g1_rss",
-    "de": "spiegel_rss zeit_rss tagesschau_rss sueddeutsche_rss dw_de_rss",
-    "fr": "lemonde_rss france24_rss rfi_rss lefigaro_rss leparisien_rss",
-    "es": "elpais_rss elmundo_rss bbcmundo_rss infobae_rss",
-    "ru": "tass_rss meduza_rss moscowtimes_rss bbc_russian_rss dw_ru_rss",
-    "in": "aajtak_rss bbc_hindi_rss zeenews_hindi_rss navbharattimes_rss ndtv_hindi_rss india_english_news_rss",
-    "it": "ansa_rss repubblica_rss corriere_rss sole24ore_rss",
-    "tr": "bbcturkce_rss hurriyet_rss dw_tr_rss dailysabah_rss cumhuriyet_rss",
-    "ar": "aljazeera_ar_rss bbcarabic_rss alarabiya_rss france24_ar_rss dw_ar_rss",
-    "pl": "onet_rss tvn24_rss pap_rss wyborcza_rss",
-    "id": "kompas_rss antara_rss bbcindonesia_rss tempo_rss",
-    "jp": "nhk_news_rss yahoo_jp_ranking goo_news_ranking livedoor_news_ranking hatena_hotentry",
-    "cn": "36kr_rss netease_news_rss bilibili_trending baidu_hot weibo_sogou weibo_hot zhihu_hot",
-    "tw": "chinatimes_news mirrormedia_news ettoday_rss",
-    "hk": "hk01_news", "nl": "nunl_rss", "se": "sweden_news_rss", "ph": "philippines_news_rss", "vn": "vnexpress_rss",
-    "th": "thailand_news_rss", "my": "malaysia_news_rss", "pt": "portugal_news_rss", "ar_latam": "argentina_news_rss",
-    "kr": "naver_news_ranking daum_news_trending",
+#: The region of a surface. wenxuecity_news has none on purpose.
+SURFACE_REGIONS = {
+    "g1_rss": "br", "folha_rss": "br", "bbcbrasil_rss": "br", "uol_rss": "br", "globo_g1_rss": "br",
+    "spiegel_rss": "de", "zeit_rss": "de", "tagesschau_rss": "de", "sueddeutsche_rss": "de", "dw_de_rss": "de",
+    "lemonde_rss": "fr", "france24_rss": "fr", "rfi_rss": "fr", "lefigaro_rss": "fr", "leparisien_rss": "fr",
+    "elpais_rss": "es", "elmundo_rss": "es", "bbcmundo_rss": "es", "infobae_rss": "es",
+    "tass_rss": "ru", "meduza_rss": "ru", "moscowtimes_rss": "ru", "bbc_russian_rss": "ru", "dw_ru_rss": "ru",
+    "aajtak_rss": "in", "bbc_hindi_rss": "in", "zeenews_hindi_rss": "in", "navbharattimes_rss": "in", "ndtv_hindi_rss": "in", "india_english_news_rss": "in",
+    "ansa_rss": "it", "repubblica_rss": "it", "corriere_rss": "it", "sole24ore_rss": "it",
+    "bbcturkce_rss": "tr", "hurriyet_rss": "tr", "dw_tr_rss": "tr", "dailysabah_rss": "tr", "cumhuriyet_rss": "tr",
+    "aljazeera_ar_rss": "ar", "bbcarabic_rss": "ar", "alarabiya_rss": "ar", "france24_ar_rss": "ar", "dw_ar_rss": "ar",
+    "onet_rss": "pl", "tvn24_rss": "pl", "pap_rss": "pl", "wyborcza_rss": "pl",
+    "kompas_rss": "id", "antara_rss": "id", "bbcindonesia_rss": "id", "tempo_rss": "id",
+    "nhk_news_rss": "jp", "yahoo_jp_ranking": "jp", "goo_news_ranking": "jp", "livedoor_news_ranking": "jp", "hatena_hotentry": "jp",
+    "36kr_rss": "cn", "netease_news_rss": "cn", "bilibili_trending": "cn", "baidu_hot": "cn", "weibo_sogou": "cn", "weibo_hot": "cn", "zhihu_hot": "cn",
+    "chinatimes_news": "tw", "mirrormedia_news": "tw", "ettoday_rss": "tw",
+    "hk01_news": "hk",
+    "nunl_rss": "nl",
+    "sweden_news_rss": "se",
+    "philippines_news_rss": "ph",
+    "vnexpress_rss": "vn",
+    "thailand_news_rss": "th",
+    "malaysia_news_rss": "my",
+    "portugal_news_rss": "pt",
+    "argentina_news_rss": "ar_latam",
+    "naver_news_ranking": "kr", "daum_news_trending": "kr",
 }
 #: Terms of a region, found anywhere in a title.
 REGION_TERMS = {
@@ -76,10 +83,6 @@ def term_regex(terms: list[str]) -> str:
     return "(?iu)" + "|".join(re.sub(r"([\\.^$|()\[\]{}*+?])", r"\\\1", t) for t in terms)
 
 
-def surface_regions(of: dict[str, str] = REGION_SURFACES) -> dict[str, str]:
-    return {surface: region for region, names in of.items() for surface in names.split()}
-
-
 def content_regions(lang: Column, platform: Column, surface: Column, title: Column, terms: dict[str, list[str]], surfaces: dict[str, str]) -> Column:
     """Sorted regions by language and platform, subreddit, surface, and terms in the title."""
     fixed = [
@@ -94,7 +97,7 @@ def content_regions(lang: Column, platform: Column, surface: Column, title: Colu
 def classified(items: DataFrame, terms: dict[str, list[str]] | None = None, surfaces: dict[str, str] | None = None) -> DataFrame:
     """Adds ``content_regions`` and ``primary_region``: the first that is not us, else the first."""
     terms = REGION_TERMS if terms is None else terms
-    surfaces = surface_regions() if surfaces is None else surfaces
+    surfaces = SURFACE_REGIONS if surfaces is None else surfaces
     found = content_regions(*[F.col(c) for c in ("lang_group", "platform", "surface_key", "title")], terms, surfaces)
     out = items.withColumn("content_regions", found)
     return out.withColumn("primary_region", first_other_than(F.col("content_regions"), "us"))

@@ -89,10 +89,12 @@ def competition_pass(rows: DataFrame, first: DataFrame, limits: DataFrame, cutof
 
 def select_batch(items: DataFrame, surfaces: DataFrame, target_lang: str, settings: Settings, done: DataFrame | None = None) -> DataFrame:
     """Both passes: ``id``, ``surface_key``, ``pass`` of at most a batch of rows."""
+    # each step reads the scores and the steps before several times, so they stand on written rows, without texts
+    items = cut(items.drop("title", "description"))
     rows = eligible(items, target_lang, done)
-    limits = surface_limits(surfaces, items, settings)
-    cutoff = cutoffs(in_window(items, settings), hot_percent(F.col("lang_group"), settings))
-    first = floor_pass(rows, limits, settings.batch_size)
+    limits = cut(surface_limits(surfaces, items, settings))
+    cutoff = cut(cutoffs(in_window(items, settings), hot_percent(F.col("lang_group"), settings)))
+    first = cut(floor_pass(rows, limits, settings.batch_size))
     second = competition_pass(rows, first, limits, cutoff, settings.batch_size, settings.source_langs)
     return first.select("id", "surface_key", F.lit(1).alias("pass")).unionByName(second.select("id", "surface_key", F.lit(2).alias("pass")))
 

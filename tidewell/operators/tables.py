@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -72,11 +76,45 @@ def normalized(df: DataFrame, column: str = "embedding") -> DataFrame:
     return out.withColumn(column, F.when(F.col("__norm") > 0, F.transform(column, lambda x: x.cast("double") / F.col("__norm"))).otherwise(F.transform(column, lambda x: x.cast("double")))).drop("__norm")
 
 
+#: Vectors and queries of a block, in expectation.
+VECTOR_BLOCK, QUERY_BLOCK = 8192, 512
+
+
 def cosine_top(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """The ``k`` most similar vectors of each query. ``queries``: a stated, small set of rows."""
-    a = normalized(vectors).select("vec_id", F.col("embedding").alias("v"))
-    b = normalized(queries).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-    dot = F.aggregate(F.zip_with("v", "q", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    scored = a.join(F.broadcast(b), F.col("vec_id") != F.col("query_id")).select("query_id", "vec_id", F.round(dot, 6).alias("cosine"))
+    """The ``k`` most similar vectors of each query. ``queries``: a stated set of rows, of any size; zero vectors are like none.
+
+    Both sides are dealt into blocks of bounded size; a task multiplies one pair of blocks and keeps the best ``k`` of each
+    query, so that a query has k rows a block of vectors when these are ranked.
+    """
+    n, m = vectors.count(), queries.count()
+    parts, asked = max(1, -(-n // VECTOR_BLOCK)), max(1, -(-m // QUERY_BLOCK))
+
+    def blocks(df: DataFrame, of: int, name: str) -> DataFrame:
+        rows = normalized(df).select(F.pmod(F.xxhash64("vec_id"), F.lit(of)).cast("int").alias(name), F.struct("vec_id", "embedding").alias("r"))
+        return rows.groupBy(name).agg(F.collect_list("r").alias(f"{name}_rows"))
+
+    right = blocks(queries, asked, "q").withColumn("v", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    pairs = blocks(vectors, parts, "v").join(right, "v").select("v_rows", "q_rows")
+
+    def unpacked(column: pa.ListArray, row: int) -> tuple[np.ndarray, np.ndarray]:
+        rows = column.slice(row, 1).flatten()
+        ids = rows.field("vec_id").to_numpy()
+        return ids, rows.field("embedding").flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                ids, v = unpacked(batch.column(0), row)
+                asked_ids, q = unpacked(batch.column(1), row)
+                cosine = np.round(q @ v.T, 6)
+                cosine[asked_ids[:, None] == ids[None, :]] = -np.inf
+                order = np.lexsort((np.broadcast_to(ids, cosine.shape), -cosine), axis=1)[:, :k]
+                at = np.repeat(np.arange(len(asked_ids)), order.shape[1]), order.ravel()
+                found = np.isfinite(cosine[at])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(asked_ids[at[0]][found]), pa.array(ids[at[1]][found]), pa.array(cosine[at][found])], names=["query_id", "vec_id", "cosine"]
+                )
+
+    best = pairs.mapInArrow(run, "query_id long, vec_id long, cosine double")
     w = Window.partitionBy("query_id").orderBy(F.col("cosine").desc(), "vec_id")
-    return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    return best.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)

@@ -56,10 +56,13 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def scored_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Items with hotness; every tenth has none yet."""
+    return scored(items(spark, sf_dir))
+
+
+def scored(rows: DataFrame) -> DataFrame:
     from tidewell.operators.hotness import with_hotness
 
-    scored = with_hotness(items(spark, sf_dir))
-    return scored.withColumn("hotness", F.when(F.col("id") % 10 != 9, F.col("hotness")))
+    return with_hotness(rows).withColumn("hotness", F.when(F.col("id") % 10 != 9, F.col("hotness")))
 
 
 def regions(spark: SparkSession, sf_dir: str) -> DataFrame:
