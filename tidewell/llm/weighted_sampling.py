@@ -2,7 +2,7 @@
 
 For each of ``SAMPLES`` draws every term t of a document, with weight w (how often it occurs),
 gets from seeded hashes r and c, both gamma distributed with shape 2, and b, uniform. With
-q = floor(ln w / r + b) and ln a = ln c - r (q - b) - r, the draw keeps the term with the
+q = floor(ln w / r + b) and a = c exp(-r (q - b + 1)), the draw keeps the term with the
 least a, along with its q. Two documents keep the same (term, q) with a probability of exactly
 their generalised Jaccard similarity, the sum of least weights over the sum of largest. As a
 is a function of draw, term and q, the least a itself stands for the pair.
@@ -13,11 +13,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import words
+from tidewell.llm.common import cut, words
 
-SAMPLES = 24
-#: Ranges of equal counts from quantiles of the ids, and rows of a part of one, in expectation.
-COARSE, PART_ROWS = 64, 4_000
+SAMPLES = 48
+#: Ranges of equal counts from quantiles of the ids, parts of one at most (by quantiles again), and rows of a part, in expectation.
+COARSE, FINE, PART_ROWS = 64, 4_000, 4_000
 
 
 def weighted_terms(text: Column, docs: DataFrame, keep: list[str]) -> DataFrame:
@@ -43,7 +43,8 @@ def weighted_terms(text: Column, docs: DataFrame, keep: list[str]) -> DataFrame:
 
 
 def _draw(k: int) -> Column:
-    """ln a of one term in draw ``k``."""
+    """a of one term in draw ``k``. With e^-r = u (a product of two uniform numbers), a = c u^(q - b + 1);
+    for a weight of 1 q is 0, whatever r is, and no logarithm of u is needed."""
     x, y = F.xxhash64("__tw_term", F.lit(k)), F.xxhash64("__tw_term", F.lit(k + 1000))
 
     def uniform(bits: Column, width: int) -> Column:
@@ -52,10 +53,11 @@ def _draw(k: int) -> Column:
     def field(value: Column, shift: int, width: int) -> Column:
         return F.shiftrightunsigned(value, shift).bitwiseAND(F.lit((1 << width) - 1).cast("long"))
 
-    r = -F.log(uniform(F.shiftrightunsigned(x, 43), 21) * uniform(field(x, 22, 21), 21))
+    u = uniform(F.shiftrightunsigned(x, 43), 21) * uniform(field(x, 22, 21), 21)
     b = uniform(field(x, 0, 22), 22)
     c = -F.log(uniform(F.shiftrightunsigned(y, 32), 32) * uniform(field(y, 0, 32), 32))
-    return F.log(c) - r * (F.floor(F.col("__tw_lnw") / r + b) - b + 1)
+    q = F.when(F.col("__tw_lnw") > 0, F.floor(b - F.col("__tw_lnw") / F.log(u)).cast("double")).otherwise(0.0)
+    return c * F.pow(u, q - b + 1)
 
 
 def signatures(terms: DataFrame, keep: list[str], samples: int = SAMPLES) -> DataFrame:
@@ -78,26 +80,28 @@ def _digits(sig: Column) -> Column:
 def _parts(docs: DataFrame) -> tuple[DataFrame, int]:
     """Adds ``__tw_part``: ranges of ``__tw_key`` of about PART_ROWS rows, in order.
 
-    Quantiles give COARSE ranges of equal counts; each is divided evenly by value.
+    Quantiles give COARSE ranges of equal counts, and quantiles of each give its parts, so that ids
+    may lie as unevenly as they like. Bounds are arrays of COARSE and, in as many rows, FINE numbers at most.
     """
     found = docs.agg(
-        F.count(F.lit(1)).alias("n"), F.max("__tw_key").alias("top"),
-        F.percentile_approx("__tw_key", [i / COARSE for i in range(COARSE)], 10_000).alias("at"),
-        F.min("__tw_key").alias("low"),
+        F.count(F.lit(1)).alias("n"), F.percentile_approx("__tw_key", [i / COARSE for i in range(COARSE)], 10_000).alias("at"), F.min("__tw_key").alias("low")
     ).first()
     if not found["n"]:
         return docs.withColumn("__tw_part", F.lit(0).cast("long")), 1
     at = sorted({found["low"], *found["at"]})
-    fine = max(1, -(-found["n"] // (COARSE * PART_ROWS)))
-    bounds = [*at, found["top"] + 1]
-    lows, widths = F.array(*[F.lit(b) for b in at]), F.array(*[F.lit(max(1, bounds[i + 1] - bounds[i])) for i in range(len(at))])
-    coarse = F.greatest(F.size(F.filter(lows, lambda b: F.col("__tw_key") >= b)), F.lit(1))
+
+    def place(bounds: Column) -> Column:
+        """How many of the ascending bounds are at most the key, 1 at least."""
+        return F.greatest(F.size(F.filter(bounds, lambda b: F.col("__tw_key") >= b)), F.lit(1))
+
+    named = docs.withColumn("__tw_coarse", place(F.array(*[F.lit(b) for b in at])))
+    fine = min(FINE, max(1, -(-found["n"] // (COARSE * PART_ROWS))))
     if fine == 1:
-        return docs.withColumn("__tw_part", coarse.cast("long")), len(at)
-    named = docs.withColumn("__tw_coarse", coarse)
-    offset = (F.col("__tw_key") - F.element_at(lows, F.col("__tw_coarse"))).cast("double") / F.element_at(widths, F.col("__tw_coarse"))
-    part = F.col("__tw_coarse").cast("long") * fine + F.least(F.floor(offset * fine), F.lit(fine - 1))
-    return named.withColumn("__tw_part", part.cast("long")).drop("__tw_coarse"), len(at) * fine
+        return named.withColumn("__tw_part", F.col("__tw_coarse").cast("long")).drop("__tw_coarse"), len(at)
+    inner = named.groupBy("__tw_coarse").agg(F.array_distinct(F.percentile_approx("__tw_key", [i / fine for i in range(fine)], max(10_000, 4 * fine))).alias("__tw_bounds"))
+    cut_up = named.join(F.broadcast(cut(inner)), "__tw_coarse")  # COARSE rows
+    part = F.col("__tw_coarse").cast("long") * fine + place(F.col("__tw_bounds")) - 1
+    return cut_up.withColumn("__tw_part", part).drop("__tw_coarse", "__tw_bounds"), len(at) * fine
 
 
 def fingerprints(docs: DataFrame, samples: int = SAMPLES, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -127,7 +131,8 @@ def edited_fingerprints(docs: DataFrame, samples: int = SAMPLES, text: str = "te
     t = F.coalesce(F.col(text), F.lit(""))
     rows, n_parts = _parts(
         docs.select(F.col(key).cast("long").alias("doc_id"), t.alias("__tw_text")).withColumn(
-            "__tw_key", F.coalesce("doc_id", F.lit(2**62).cast("long"))
+            # rows without an id come last, dealt by the first bytes of their texts, by which they are ordered
+            "__tw_key", F.coalesce("doc_id", F.lit(2**62).cast("long") + F.coalesce(F.conv(F.hex(F.rpad(F.substring(F.col("__tw_text").cast("binary"), 1, 7), 7, b"\x00")), 16, 10).cast("long"), F.lit(0).cast("long")))
         )
     )
     firsts = rows.groupBy("__tw_part").agg(F.min("__tw_key").alias("__tw_key"))  # a row a part
