@@ -205,13 +205,12 @@ def quality_rules(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delt
 def kept_documents(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
     """The rows of ``docs`` that :func:`quality_rules` keeps, with all their columns.
 
-    The signals are computed twice, once to calibrate and once to filter, so that texts
-    are never shuffled; between the passes only the chosen levels (a row a stratum) go on.
+    The signals are computed once: rows go to the shared folder with their rank, from which the levels are chosen
+    (reading ids and ranks alone) and the kept rows are taken. Texts are never shuffled.
     """
-    rated = signals(docs, ["doc_id", "lang"]).select(
-        F.col("__tw_c0").alias("doc_id"), _stratum(F.col("__tw_c1")).alias("stratum"), _rank().alias("rank")
-    )
-    levels = small(cut(choose_levels(rated, labels.select("doc_id", "quality"), alpha, delta)))
     names = docs.columns
-    again = signals(docs, names).withColumn("stratum", _stratum(F.col(f"__tw_c{names.index('lang')}"))).withColumn("rank", _rank())
-    return judge(again, levels).filter("kept").select(*[F.col(f"__tw_c{i}").alias(c) for i, c in enumerate(names)])
+    carried = [f"__tw_c{i}" for i in range(len(names))]
+    id_, lang = carried[names.index("doc_id")], carried[names.index("lang")]
+    rated = cut(signals(docs, names).select(*carried, _stratum(F.col(lang)).alias("stratum"), _rank().alias("rank")))
+    chosen = choose_levels(rated.select(F.col(id_).alias("doc_id"), "stratum", "rank"), labels.select("doc_id", "quality"), alpha, delta)
+    return judge(rated, small(cut(chosen))).filter("kept").select(*[F.col(c).alias(n) for c, n in zip(carried, names, strict=True)])
