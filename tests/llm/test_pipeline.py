@@ -46,7 +46,7 @@ def test_near_dedup_equals_brute_force(spark, sf):
     expected = brute_survivors(texts)
     gone = set(texts) - expected
     assert expected <= got  # nothing else goes
-    assert len(gone - got) <= 0.03 * len(gone) and len(gone) > 150
+    assert len(gone & got) <= 0.03 * len(gone) and len(gone) > 150
 
 
 def test_stages_keep_the_columns_of_documents(spark, sf, tmp_path):
