@@ -44,7 +44,7 @@ def weighted_terms(text: Column, docs: DataFrame, keep: list[str]) -> DataFrame:
 
 def _draw(k: int) -> Column:
     """a of one term in draw ``k``. With e^-r = u (a product of two uniform numbers), a = c u^(q - b + 1);
-    for a weight of 1 q is 0, whatever r is, and no logarithm of u is needed."""
+    for a weight of 1 q is 0, whatever r is, and no logarithm of u is needed. Null where there is no term."""
     x, y = F.xxhash64("__tw_term", F.lit(k)), F.xxhash64("__tw_term", F.lit(k + 1000))
 
     def uniform(bits: Column, width: int) -> Column:
@@ -57,7 +57,7 @@ def _draw(k: int) -> Column:
     b = uniform(field(x, 0, 22), 22)
     c = -F.log(uniform(F.shiftrightunsigned(y, 32), 32) * uniform(field(y, 0, 32), 32))
     q = F.when(F.col("__tw_lnw") > 0, F.floor(b - F.col("__tw_lnw") / F.log(u)).cast("double")).otherwise(0.0)
-    return c * F.pow(u, q - b + 1)
+    return F.when(F.col("__tw_term").isNotNull(), c * F.pow(u, q - b + 1))
 
 
 def signatures(terms: DataFrame, keep: list[str], samples: int = SAMPLES) -> DataFrame:
