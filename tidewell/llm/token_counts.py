@@ -244,10 +244,8 @@ class Counter:
         pattern = pattern.replace(r"\s", space)
         # on Latin-1 both agree, and the plain classes match faster
         self.latin_pieces = regex.compile(pattern)
-        for prop in ("L", "N"):
-            pattern = pattern.replace(rf"\p{{{prop}}}", _character_class(prop))
-        self.pieces = regex.compile(pattern, regex.V1)
         letters, numbers = (_character_class(p) for p in ("L", "N"))
+        self.pieces = regex.compile(pattern.replace(r"\p{L}", letters).replace(r"\p{N}", numbers), regex.V1)
         self.open_run = {"L": regex.compile(f"{letters}*", regex.V1), "S": regex.compile(rf"[^{space}{letters}{numbers}]*", regex.V1)}
         self.last_kind = regex.compile(rf"(?P<L>{letters})|(?P<S>[^{space}{letters}{numbers}])", regex.V1)
         self.known: dict[str, int] = _Remembered(lambda piece: self.transducer.count(piece.encode()))
