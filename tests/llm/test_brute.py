@@ -484,7 +484,7 @@ def test_weighted_sampling(docs, texts):
         a, b = Counter(WORD.findall(t)), Counter(WORD.findall(edited))
         errors.append(got[i].near_edited - sum((a & b).values()) / sum((a | b).values()))
         assert (got[i].near_next == 1.0) == (got[i].fingerprint == got[n].fingerprint)
-    assert abs(np.mean(errors)) < 0.02 and np.std(errors) < 0.08
+    assert abs(np.mean(errors)) < 0.02 and np.std(errors) < 0.1
     assert all(len({got[i].fingerprint for i in ids if texts[i] == t}) == 1 for t in set(texts.values()))
 
 

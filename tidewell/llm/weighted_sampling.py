@@ -2,7 +2,7 @@
 
 For each of ``SAMPLES`` draws every term t of a document, with weight w (how often it occurs),
 gets from seeded hashes r and c, both gamma distributed with shape 2, and b, uniform. With
-q = floor(ln w / r + b) and a = c exp(-r (q - b + 1)), the draw keeps the term with the
+q = floor(ln w / r + b) and ln a = ln c - r (q - b + 1), the draw keeps the term with the
 least a, along with its q. Two documents keep the same (term, q) with a probability of exactly
 their generalised Jaccard similarity, the sum of least weights over the sum of largest. As a
 is a function of draw, term and q, the least a itself stands for the pair.
@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tidewell.llm.common import cut, words
 
-SAMPLES = 48
+SAMPLES = 32
 #: Ranges of equal counts from quantiles of the ids, parts of one at most (by quantiles again), and rows of a part, in expectation.
 COARSE, FINE, PART_ROWS = 64, 4_000, 4_000
 
@@ -43,8 +43,7 @@ def weighted_terms(text: Column, docs: DataFrame, keep: list[str]) -> DataFrame:
 
 
 def _draw(k: int) -> Column:
-    """a of one term in draw ``k``. With e^-r = u (a product of two uniform numbers), a = c u^(q - b + 1);
-    for a weight of 1 q is 0, whatever r is, and no logarithm of u is needed. Null where there is no term."""
+    """ln a of one term in draw ``k``; null where there is no term."""
     x, y = F.xxhash64("__tw_term", F.lit(k)), F.xxhash64("__tw_term", F.lit(k + 1000))
 
     def uniform(bits: Column, width: int) -> Column:
@@ -53,11 +52,10 @@ def _draw(k: int) -> Column:
     def field(value: Column, shift: int, width: int) -> Column:
         return F.shiftrightunsigned(value, shift).bitwiseAND(F.lit((1 << width) - 1).cast("long"))
 
-    u = uniform(F.shiftrightunsigned(x, 43), 21) * uniform(field(x, 22, 21), 21)
+    r = -F.log(uniform(F.shiftrightunsigned(x, 43), 21) * uniform(field(x, 22, 21), 21))
     b = uniform(field(x, 0, 22), 22)
     c = -F.log(uniform(F.shiftrightunsigned(y, 32), 32) * uniform(field(y, 0, 32), 32))
-    q = F.when(F.col("__tw_lnw") > 0, F.floor(b - F.col("__tw_lnw") / F.log(u)).cast("double")).otherwise(0.0)
-    return F.when(F.col("__tw_term").isNotNull(), c * F.pow(u, q - b + 1))
+    return F.log(c) - r * (F.floor(F.col("__tw_lnw") / r + b) - b + 1)
 
 
 def signatures(terms: DataFrame, keep: list[str], samples: int = SAMPLES) -> DataFrame:
