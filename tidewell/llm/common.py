@@ -36,9 +36,12 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), GAP), lambda w: w != F.lit(""))
 
 
-def small(df: DataFrame, rows: int = 100_000) -> DataFrame:
-    """``df``, which is cut already, to be broadcast if it has at most ``rows`` rows; else as it is."""
-    return F.broadcast(df) if df.count() <= rows else df
+def small(df: DataFrame, rows: int = 100_000, size: int = 16_000_000) -> DataFrame:
+    """``df``, which is cut already, to be broadcast if it has at most ``rows`` rows and, as text, ``size`` characters; else as it is."""
+    if df.count() > rows:
+        return df
+    held = df.agg(F.sum(F.length(F.to_json(F.struct(*df.columns))))).first()[0] or 0
+    return F.broadcast(df) if held <= size else df
 
 
 def ship(spark: SparkSession) -> None:

@@ -64,4 +64,16 @@ p AS (SELECT *, row_number() OVER (ORDER BY (CAST(rn AS DOUBLE) - u) / CAST(n AS
 s AS (SELECT *, CAST((p * 24) // total AS INTEGER) AS shard FROM p)
 SELECT doc_id, size, text_crc32, 'rows' AS law, shard, CAST(p - (shard * total + 23) // 24 AS BIGINT) AS slot, CAST(NULL AS INTEGER) AS grown_shard FROM s"""
 
-ORACLES = {"op1_quality_rules": OP1, "op4_sharding": OP4}
+OP12 = r"""WITH split AS (SELECT *, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS ws
+  FROM (SELECT 'd' AS kind, doc_id AS id, text FROM documents UNION ALL SELECT 'i', item_id, text FROM benchmark)),
+d AS (SELECT row_number() OVER () AS r, id, ws FROM split WHERE kind = 'd'),
+i AS (SELECT id, ws, least(len(ws), 10) AS n FROM split WHERE kind = 'i' AND len(ws) > 0),
+wins AS (SELECT DISTINCT id, n, array_to_string(list_slice(ws, a, a + n - 1), ' ') AS win FROM (SELECT *, unnest(range(1, len(ws) - n + 2)) AS a FROM i)),
+tried AS (SELECT r, n, a, array_to_string(list_slice(ws, a, a + n - 1), ' ') AS win FROM (SELECT r, ws, n, unnest(range(1, len(ws) - n + 2)) AS a FROM d, (SELECT DISTINCT n FROM i) WHERE len(ws) >= n)),
+hit AS (SELECT r, t.n, a, id FROM tried t JOIN wins w ON t.n = w.n AND t.win = w.win),
+places AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(a, a + n)) AS p FROM (SELECT DISTINCT r, n, a FROM hit)) GROUP BY 1),
+items AS (SELECT r, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids FROM (SELECT DISTINCT r, CAST(id AS VARCHAR) AS id FROM hit WHERE id IS NOT NULL) GROUP BY 1)
+SELECT d.id AS doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN places p ON d.r = p.r LEFT JOIN items ON d.r = items.r"""
+
+ORACLES = {"op12_decontamination": OP12, "op1_quality_rules": OP1, "op4_sharding": OP4}
