@@ -14,7 +14,7 @@ from pyspark.sql.types import StructType
 
 from tidewell.lineage import cut
 
-__all__ = ["GAP", "WORD", "cut", "join_grouped", "map_arrow", "ship", "small", "table", "unit_interval", "words"]
+__all__ = ["GAP", "WORD", "cut", "join_grouped", "lookup", "map_arrow", "ship", "small", "table", "unit_interval", "words"]
 
 #: A word is a run of code points other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -93,6 +93,26 @@ def join_grouped(rows: DataFrame, per_key: DataFrame, key: str, held: str, total
     return salted.join(per_key.withColumn("__tw_salt", F.explode(F.sequence(F.lit(0), last))), [key, "__tw_salt"]).drop("__tw_salt")
 
 
+def lookup(rows: DataFrame, per_key: DataFrame, key: str, wanted: list[str]) -> DataFrame:
+    """``rows`` with the ``wanted`` columns of ``per_key``, which is cut and has a row a key; null where it has none.
+
+    Keys that hold more than a thousandth of the rows, a thousand at most, are looked up by broadcast, the
+    others by a join of their own; rows without a key go to neither. So no task gets all rows of one.
+    """
+    side = small(per_key)
+    if side is not per_key:
+        return rows.join(side, key, "left").select(*rows.columns, *wanted)
+    held = cut(rows.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("__tw_n")))
+    limit = max(HOT_ROWS, (held.agg(F.sum("__tw_n")).first()[0] or 0) // 1000)
+    hot = cut(held.filter(F.col("__tw_n") > limit).select(key))
+    hot_rows = hot.join(per_key, key, "left").select(key, *wanted)
+    found = rows.join(F.broadcast(hot_rows), key).select(*rows.columns, *wanted)
+    cold = rows.filter(F.col(key).isNotNull()).join(F.broadcast(hot), key, "left_anti").join(per_key, key, "left").select(*rows.columns, *wanted)
+    types = {f.name: f.dataType for f in per_key.schema}
+    none = rows.filter(F.col(key).isNull()).select("*", *[F.lit(None).cast(types[c]).alias(c) for c in wanted])
+    return found.unionByName(cold).unionByName(none)
+
+
 def unit_interval(*columns: Column) -> Column:
     """A uniform number in [0, 1) that depends only on the given values."""
     return F.shiftrightunsigned(F.xxhash64(*columns), 11).cast("double") * F.lit(2.0**-53)

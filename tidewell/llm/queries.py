@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm import decontamination, mixing, packing, quality_classifier, quality_rules, secret_scan, sharding, simhash, substring_dedup, token_counts, weighted_sampling, whitening
+from tidewell.llm import decontamination, erasure, mixing, packing, quality_classifier, quality_rules, secret_scan, sharding, simhash, substring_dedup, token_counts, weighted_sampling, whitening
 from tidewell.llm.common import table
 
 
@@ -68,11 +68,15 @@ def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("items", F.sha2(F.concat_ws(",", "items"), 256)).withColumnRenamed("items", "items_sha256")
 
 
+def op13_cascading_erasure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return erasure.cascade(*[table(spark, sf_dir, name) for name in ("clients", "clicks", "sales", "sale_lines")])
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_quality_rules, op2_secret_scan, op3_simhash_near_dedup, op4_sharding, op5_mixing,
         op6_weighted_fingerprints, op7_token_counts, op8_quality_classifier, op9_best_fit_packing, op10_substring_dedup,
-        op11_embedding_whitening, op12_decontamination,
+        op11_embedding_whitening, op12_decontamination, op13_cascading_erasure,
     )
 }
