@@ -23,7 +23,7 @@ import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidewell.lineage import shared_folder
+from tidewell.lineage import removed, scratch, shared_folder
 from tidewell.llm.common import cut, lookup, map_arrow
 
 #: A table of n rows has files of 1 + n div FILES rows.
@@ -261,7 +261,7 @@ def erase(layouts: list[Layout], at: str) -> DataFrame:
             fs.delete(path_of(r["path"]), False)
         if r["n_rows"]:
             final.append((r["table_name"], r["file_no"], path))
-    fs.delete(path_of(work), True)
+    removed(spark, work)
     named = spark.createDataFrame(final, "table_name string, file_no long, final string")
     columns = F.create_map(*[F.lit(y) for x in layouts for y in (x.name, ",".join(x.columns))])
     out = done.join(F.broadcast(named), ["table_name", "file_no"])
@@ -277,10 +277,14 @@ def cascade(clients: DataFrame, clicks: DataFrame, sales: DataFrame, sale_lines:
     Columns beyond the known ones are sorted by and written like the others; names that begin with ``__tw_`` are reserved. An amount that
     is null or not finite counts nothing.
     """
-    at = f"{shared_folder(clients.sparkSession)}/erasure/{uuid.uuid4().hex}"
+    spark = clients.sparkSession
+    at = f"{shared_folder(spark)}/erasure/{uuid.uuid4().hex}"
     money = {"clients": "balance", "clicks": "value", "sales": "total", "sale_lines": "amount"}
-    tables = keyed(clients, clicks, sales, sale_lines, modulus)
-    return erase([lay_out(df, name, at, money[name], files) for name, df in tables.items()], at)
+    with scratch(spark):  # sorted runs and ranks are of no use later
+        tables = keyed(clients, clicks, sales, sale_lines, modulus)
+        left = erase([lay_out(df, name, at, money[name], files) for name, df in tables.items()], at)
+        rows = left.collect()  # a row a file, FILES a table at most
+    return spark.createDataFrame(rows, left.schema)
 
 
 _DONE = pa.schema([("table_name", pa.string()), ("file_no", pa.int64()), ("path", pa.string()), ("new", pa.string()), ("n_rows", pa.int64()), ("n_erased", pa.int64()), ("cents", pa.int64()), ("ids_sha256", pa.string())])
