@@ -2,24 +2,26 @@
 
 A small lexer reads source and configuration syntax (``name = literal``, ``"name": literal``,
 ``name := literal``, ``name => literal``, ``<name>literal</name>``) into name-literal pairs.
-Constants propagate: a right side that names an earlier pair, or joins literals and names by
-``+``, takes their literals along with their places. A literal counts as a secret if the
-sensitivity of the name it reaches times the randomness of its characters is high enough.
-Lexing is driven by the operators in the text and takes linear time.
+Constants propagate: a right side that names another pair, or joins literals and names by
+``+``, takes their literals along with their places; a name stands for its last pair before, or else
+its first one behind. A literal counts as a secret if the sensitivity of the name it reaches times the
+randomness of its characters is high enough; in a call on the right side each quoted argument counts by itself.
+Lexing is driven by the operators in the text and takes linear time; joined values are scored by summaries that add up.
 """
 
 from __future__ import annotations
 
 import hashlib
-import math
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewell.llm.common import map_arrow
+from tidewell.llm.secret_values import Value, randomness, summary
 
 KINDS = ("assign", "access", "hex", "literal")
 _ORDER = {kind: i for i, kind in enumerate(KINDS)}
@@ -35,7 +37,7 @@ _BARE = re.compile(r"""[^\s"'`,;{}()\[\]<>&?+]+""")
 _SPACE = re.compile(r"[\x20\t]*")
 _NAME = re.compile(r"[A-Za-z_$][\w$.]*$", re.ASCII)
 _PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
-_WRAP = re.compile(r"[\x20\t]*\\?\r?\n[\x20\t]*")
+_CALL_TOKEN = re.compile("[\"'`()]")
 _KEY = re.compile(r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----")
 _KEY_END = re.compile(r"-----END [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----")
 
@@ -43,17 +45,14 @@ _KEY_END = re.compile(r"-----END [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----")
 SENSITIVE = {
     ("password",): 1.0, ("passwd",): 1.0, ("passphrase",): 1.0, ("pwd",): 0.9, ("passcode",): 0.9,
     ("secret",): 1.0, ("api", "key"): 1.0, ("apikey",): 1.0, ("private", "key"): 1.0, ("access", "key"): 1.0,
-    ("signing", "key"): 1.0, ("encryption", "key"): 1.0, ("auth", "key"): 1.0, ("token",): 0.9,
+    ("signing", "key"): 1.0, ("encryption", "key"): 1.0, ("auth", "key"): 1.0, ("token",): 0.9, ("pass",): 0.8, ("pw",): 0.8,
     ("credential",): 0.9, ("credentials",): 0.9, ("bearer",): 0.9, ("authorization",): 0.8, ("auth",): 0.6,
 }
 #: Words that make a name about a secret, not the secret itself.
 HARMLESS = {"public", "count", "length", "limit", "max", "min", "size", "path", "file", "url", "name", "field", "hint", "type", "expiry", "ttl", "id"}
-_PLACEHOLDER = re.compile(r"(?i)\$\{|\$\(|%\(|\{\{|<|x{4,}|\*{3,}|\.{3}|change.?me|example|placeholder|your.|dummy|sample|redacted|none$|null$|true$|false$|undefined$")
 THRESHOLD = 0.45
-#: Words of a name whose quoted literal can be a phrase of several words, and the score of one.
-PHRASES, PHRASE_SCORE = {"password", "passwd", "passphrase", "pwd", "passcode", "secret"}, 0.6
-#: Repeats of constants in one joined value; further ones count once.
-REPEATS = 64
+#: Words of a name whose quoted literal can be a phrase of several words.
+PHRASES = {"password", "passwd", "passphrase", "pwd", "passcode", "secret"}
 
 
 def _sensitivity(name: str) -> float:
@@ -63,31 +62,8 @@ def _sensitivity(name: str) -> float:
     return max((score for need, score in SENSITIVE.items() if parts.issuperset(need)), default=0.0)
 
 
-def _phrase(value: str) -> bool:
-    """Whether a text of several words can be a passphrase and is not a sentence or a hint."""
-    found = value.split()
-    return len(value) >= 12 and 3 <= len(found) <= 24 and len(set(found)) > 2 and value[-1] not in ".?!:" and all(len(w) <= 24 for w in found)
-
-
-def _randomness(value: str, quoted: bool, name: str = "") -> float:
-    """0 to 1: how far a literal looks like key material and not like a word."""
-    if _KEY.search(value):
-        return 1.0
-    value = _WRAP.sub("", value.strip()) if "\n" in value else value
-    if len(value) < 8 or _PLACEHOLDER.search(value):
-        return 0.0
-    n = len(value)
-    counts = [value.count(c) for c in set(value)]
-    entropy = -sum(c / n * math.log2(c / n) for c in counts)
-    classes = sum((any(c.islower() for c in value), any(c.isupper() for c in value), any(c.isdigit() for c in value), any(not c.isalnum() for c in value)))
-    if " " in value and not (quoted and classes >= 4):
-        phrase = quoted and {p.lower() for p in _PARTS.findall(name)} & PHRASES and _phrase(value)
-        return PHRASE_SCORE if phrase else 0.0
-    if classes < 2 and not (quoted and entropy >= 3.5 and n >= 16):
-        return 0.0
-    if not any(c.isdigit() for c in value) and not (quoted and classes >= 3):
-        return 0.0
-    return min(1.0, entropy / 3.0)
+def _scored(value: Value, quoted: bool, name: str) -> float:
+    return randomness(value, quoted, bool({p.lower() for p in _PARTS.findall(name)} & PHRASES))
 
 
 class _Ahead:
@@ -116,23 +92,103 @@ def _quoted(text: str, ahead: _Ahead, at: int) -> tuple[int, int, int] | None:
     return None if close == -1 else (at + len(quote), close, close + len(quote))
 
 
-def _flat(parts: list) -> tuple[list[tuple[int, int, bool]], int]:
-    """The literals of ``parts`` and of the lists of constants in them, in order, and the steps taken.
+class _Values:
+    """Lists of parts (literals, lists of other names, names met later) and their summaries, each made once."""
 
-    Constants that were joined to themselves again and again count once after REPEATS literals."""
-    out, seen, stack, steps = [], set(), [iter(parts)], 0
-    while stack:
-        steps += 1
-        item = next(stack[-1], None)
-        if item is None:
+    def __init__(self, text: str, later: dict[str, list]):
+        self.text, self.later, self.known, self.leaves = text, later, {}, {}
+
+    def _leaf(self, span: tuple[int, int, bool]) -> Value:
+        if span[:2] not in self.leaves:
+            self.leaves[span[:2]] = summary(self.text[span[0] : span[1]])
+        return self.leaves[span[:2]]
+
+    def lists(self, parts: list) -> list[list]:
+        """The lists that ``parts`` refers to, its names resolved."""
+        return [found for x in parts if (found := self.list_of(x)) is not None]
+
+    def list_of(self, part) -> list | None:
+        return part if isinstance(part, list) else self.later.get(part.name) if isinstance(part, _Later) else None
+
+    def of(self, parts: list) -> tuple[Value, bool]:
+        """Summary of the joined value and whether its first literal is quoted. A name that leads back to itself adds nothing."""
+        if id(parts) in self.known:
+            return self.known[id(parts)][:2]
+        stack, open_ = [(parts, iter(self.lists(parts)))], {id(parts)}
+        while stack:
+            top, rest = stack[-1]
+            todo = next((x for x in rest if id(x) not in self.known and id(x) not in open_), None)
+            if todo is not None:
+                stack.append((todo, iter(self.lists(todo))))
+                open_.add(id(todo))
+                continue
+            value, quoted, some = Value(), False, False
+            for part in top:
+                inner = self.list_of(part)
+                if inner is None:
+                    span = part.span if isinstance(part, _Later) else part
+                    if span[1] == span[0]:
+                        continue
+                    more, by_quotes = self._leaf(span), span[2]
+                elif id(inner) in self.known:
+                    more, by_quotes, held = self.known[id(inner)]
+                    if not held:
+                        continue
+                else:
+                    continue
+                value, quoted, some = value + more, quoted if some else by_quotes, True
+            self.known[id(top)] = (value, quoted, some)
+            open_.discard(id(top))
             stack.pop()
-        elif isinstance(item, list):
-            if len(out) < REPEATS or id(item) not in seen:
-                stack.append(iter(item))
-            seen.add(id(item))
-        elif item[1] > item[0]:
-            out.append(item)
-    return out, steps
+        return self.known[id(parts)][:2]
+
+
+@dataclass(frozen=True)
+class _Later:
+    """A bare word that may be a name bound further on."""
+
+    name: str
+    span: tuple[int, int, bool]
+
+
+def _call_literals(text: str, ahead: _Ahead, calls: dict[int, tuple[float, str]]) -> Iterator[tuple[int, int, float, str]]:
+    """Quoted literals inside the closed calls whose brackets open at the keys of ``calls``: with the weight and name of the heaviest call around.
+
+    Every character is passed once: calls inside one another close in order.
+    """
+    reached = 0
+    for start in sorted(calls):
+        if start < reached:
+            continue
+        open_, literals, closed, at = [], [], [], start
+        while m := _CALL_TOKEN.search(text, at):
+            at = m.end()
+            if m.group() == "(":
+                open_.append((m.start(), len(literals)))
+            elif m.group() == ")":
+                begun, since = open_.pop()
+                if begun in calls:
+                    closed.append((since, len(literals), calls[begun]))
+                if not open_:
+                    break
+            elif found := _quoted(text, ahead, m.start()):
+                literals.append(found[:2])
+                at = found[2]
+        reached = at if not open_ else len(text)
+        around: list[tuple[int, tuple[float, str]]] = []  # ends of the calls around, with the heaviest so far
+        closed.sort(key=lambda c: (c[0], -c[1]))
+        k = 0
+        for i, (a, b) in enumerate(literals):
+            while k < len(closed) and closed[k][0] <= i:
+                if closed[k][1] > i:
+                    while around and around[-1][0] <= closed[k][0]:
+                        around.pop()
+                    around.append((closed[k][1], max(closed[k][2], around[-1][1]) if around else closed[k][2]))
+                k += 1
+            while around and around[-1][0] <= i:
+                around.pop()
+            if around:
+                yield (a, b, *around[-1][1])
 
 
 def _last_word(text: str, start: int, end: int) -> str:
@@ -158,9 +214,10 @@ def lexed_literals(text: str) -> list[tuple[int, int, str, float]]:
     """(start, end, name, score) of literals that reach a sensitive name, and of key blocks."""
     if "=" not in text and ":" not in text and "</" not in text and "-----BEGIN" not in text:
         return []
-    ahead, bound, found, scored, consumed = _Ahead(text), {}, {}, {}, 0
-    element, run_end, run_taken, held = None, 0, False, []  # held: lists whose ids are in scored
-    work = 8 * len(text) + 4096  # steps and characters of joined constants, over all names
+    ahead, bound, first, found, consumed = _Ahead(text), {}, {}, {}, 0
+    element, run_end, run_taken = None, 0, False
+    weighed: list[tuple[float, str, list]] = []  # names to be scored, with their parts
+    calls: dict[int, tuple[float, str]] = {}
     if "-----BEGIN" in text:
         found = {span: ("private key", 1.0) for span in key_blocks(text)}
     before = 0
@@ -210,7 +267,10 @@ def lexed_literals(text: str) -> list[tuple[int, int, str, float]]:
                     stop = run_end if whole or not inner else inner.start()
                     word = text[at:stop].rstrip(".:")
                     known = bound.get(word) if _NAME.match(word) else None
-                    parts.append(known if known else (at, at + len(word), False))
+                    span = (at, at + len(word), False)
+                    parts.append(known if known else _Later(word, span) if _NAME.match(word) else span)
+                    if weight and stop < len(text) and text[stop] == "(":
+                        calls[stop] = max(calls.get(stop, (0.0, "")), (weight, name))
                     at, consumed = stop, inner.start() if inner else run_end
                 at = _SPACE.match(text, at).end()
                 if at >= len(text) or text[at] != "+":
@@ -221,19 +281,37 @@ def lexed_literals(text: str) -> list[tuple[int, int, str, float]]:
         if len(parts) == 1 and isinstance(parts[0], list):
             parts = parts[0]
         bound[name] = parts
-        if weight and scored.get(id(parts), (0.0,)) < (weight, name):
-            scored[id(parts)] = (weight, name)
-            held.append(parts)
-            flat, steps = _flat(parts if work > 0 else [x for x in parts if not isinstance(x, list)])
-            if not flat:
+        first.setdefault(name, parts)
+        if weight:
+            weighed.append((weight, name, parts))
+    values = _Values(text, first)
+    # a bare word that is also a name further on counts as itself, too
+    alone = [(w, name, [x.span if isinstance(x, _Later) else x for x in parts]) for w, name, parts in weighed if any(isinstance(x, _Later) for x in parts)]
+    scored = []
+    for weight, name, parts in [*weighed, *alone]:
+        score = weight * _scored(*values.of(parts), name)
+        if score >= THRESHOLD:
+            scored.append((score, name, parts))
+    taken: set[int] = set()
+    for score, name, parts in sorted(scored, key=lambda s: -s[0]):  # so that each list is gone through once, at its best score
+        stack = [parts]
+        while stack:
+            top = stack.pop()
+            if id(top) in taken:
                 continue
-            value = "".join(text[a:b] for a, b, _ in flat)
-            work -= steps + len(value)
-            score = weight * _randomness(value, flat[0][2], name)
-            if score >= THRESHOLD:
-                for a, b, _ in flat:
-                    if score > found.get((a, b), ("", 0.0))[1]:
-                        found[a, b] = (name, score)
+            taken.add(id(top))
+            for part in top:
+                inner = values.list_of(part)
+                if inner is not None:
+                    stack.append(inner)
+                    continue
+                a, b, _ = part.span if isinstance(part, _Later) else part
+                if b > a and score > found.get((a, b), ("", 0.0))[1]:
+                    found[a, b] = (name, score)
+    for a, b, weight, name in _call_literals(text, _Ahead(text), calls) if calls else ():
+        score = weight * _scored(summary(text[a:b]), True, name)
+        if score >= THRESHOLD and score > found.get((a, b), ("", 0.0))[1]:
+            found[a, b] = (name, score)
     return [(a, b, name, score) for (a, b), (name, score) in sorted(found.items())]
 
 
