@@ -7,10 +7,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewell.operators import ranking, statuses, tables
-from tidewell.plans import cases, catalogue, collected
+from tidewell.plans import cases, catalogue, collected, listings
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-NAMES = [n for n, f in catalogue.QUERIES.items() if n in catalogue.ORACLES and (f.__module__ in (cases.__name__, collected.__name__) or n in ("pctl_cutoff", "select_full", "cosine_topk", "feed_page"))]
+NAMES = [n for n, f in catalogue.QUERIES.items() if n in catalogue.ORACLES and (f.__module__ in (cases.__name__, collected.__name__, listings.__name__) or n in ("pctl_cutoff", "select_full", "cosine_topk", "feed_page"))]
 
 
 @pytest.fixture(scope="module")

@@ -32,7 +32,7 @@ def absent_if_blank(c: Column) -> Column:
     return F.nullif(c, F.lit(""))
 
 
-def record(df: DataFrame, source: str, **columns: Column) -> DataFrame:
-    """The record columns; those not given are null."""
+def record(df: DataFrame, source: str, keep: tuple[str, ...] = (), **columns: Column) -> DataFrame:
+    """The record columns, behind those to ``keep``; columns not given are null."""
     types = {"rank_position": "int", "published_at": "timestamp", "signals": "map<string,double>"}
-    return df.select(*[F.lit(source).alias("source") if c == "source" else columns.get(c, F.lit(None)).cast(types.get(c, "string")).alias(c) for c in COLUMNS])
+    return df.select(*keep, *[F.lit(source).alias("source") if c == "source" else columns.get(c, F.lit(None)).cast(types.get(c, "string")).alias(c) for c in COLUMNS])
