@@ -27,8 +27,9 @@ def test_feeds(spark):
     atom = feeds.parsed(spark.createDataFrame([("f", ATOM)], "feed string, body string")).collect()
     assert [(r.external_id, r.url, r.published_at) for r in atom] == [("urn:a", "https://e.com/a", datetime(2024, 1, 31, 10))]
     both = [feeds.parsed(spark.createDataFrame([("f", RSS)], "feed string, body string")) for _ in range(2)]
-    assert [(r.url, r.rank_position) for r in feeds.combined(both, 30).orderBy("rank_position").collect()] == [("https://e.com/1", 1), ("https://e.com/3", 2)]
-    assert feeds.cursor(both[0]).first().cursor == "g1"
+    two = both[0].withColumn("feed_no", F.lit(0)).unionByName(both[1].withColumn("feed_no", F.lit(1)))
+    assert [(r.url, r.rank_position) for r in feeds.combined(two, 30, 2).orderBy("rank_position").collect()] == [("https://e.com/1", 1), ("https://e.com/3", 2)]
+    assert feeds.cursors(both[0].withColumn("feed", F.lit("f"))).first().cursor == "g1"
     assert feeds.unless_unchanged(both[0], "e", "e").count() == 0
 
 

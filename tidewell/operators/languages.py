@@ -11,13 +11,36 @@ from pyspark.sql import functions as F
 from tidewell.functions.collections import looked_up
 from tidewell.functions.text import strip
 
-#: Locales of each language group.
-GROUP_LOCALES = {
-    "zh": "zh-Hans zh-Hant zh-CN zh-TW zh-HK zh-SG", "en": "en-US en-GB en-AU en-CA en-NZ en-IE", "ja": "ja-JP ja", "ko": "ko-KR ko",
-    "es": "es-ES es-MX es-AR es-CO es-CL", "fr": "fr-FR fr-CA fr-BE fr-CH", "de": "de-DE de-AT de-CH", "pt": "pt-BR pt-PT",
-    "it": "it-IT it", "ru": "ru-RU ru", "ar": "ar-SA ar-AE ar-EG", "hi": "hi-IN hi", "id": "id-ID id", "th": "th-TH th",
-    "vi": "vi-VN vi", "nl": "nl-NL nl-BE nl", "pl": "pl-PL pl", "tr": "tr-TR tr", "sv": "sv-SE sv", "no": "no-NO nb-NO nn-NO no",
-    "da": "da-DK da", "fi": "fi-FI fi", "el": "el-GR el", "he": "he-IL he", "cs": "cs-CZ cs", "hu": "hu-HU hu", "ro": "ro-RO ro", "uk": "uk-UA uk",
+#: The language group of each locale.
+LOCALE_GROUP = {
+    "zh-Hans": "zh", "zh-Hant": "zh", "zh-CN": "zh", "zh-TW": "zh", "zh-HK": "zh", "zh-SG": "zh",
+    "en-US": "en", "en-GB": "en", "en-AU": "en", "en-CA": "en", "en-NZ": "en", "en-IE": "en",
+    "ja-JP": "ja", "ja": "ja",
+    "ko-KR": "ko", "ko": "ko",
+    "es-ES": "es", "es-MX": "es", "es-AR": "es", "es-CO": "es", "es-CL": "es",
+    "fr-FR": "fr", "fr-CA": "fr", "fr-BE": "fr", "fr-CH": "fr",
+    "de-DE": "de", "de-AT": "de", "de-CH": "de",
+    "pt-BR": "pt", "pt-PT": "pt",
+    "it-IT": "it", "it": "it",
+    "ru-RU": "ru", "ru": "ru",
+    "ar-SA": "ar", "ar-AE": "ar", "ar-EG": "ar",
+    "hi-IN": "hi", "hi": "hi",
+    "id-ID": "id", "id": "id",
+    "th-TH": "th", "th": "th",
+    "vi-VN": "vi", "vi": "vi",
+    "nl-NL": "nl", "nl-BE": "nl", "nl": "nl",
+    "pl-PL": "pl", "pl": "pl",
+    "tr-TR": "tr", "tr": "tr",
+    "sv-SE": "sv", "sv": "sv",
+    "no-NO": "no", "nb-NO": "no", "nn-NO": "no", "no": "no",
+    "da-DK": "da", "da": "da",
+    "fi-FI": "fi", "fi": "fi",
+    "el-GR": "el", "el": "el",
+    "he-IL": "he", "he": "he",
+    "cs-CZ": "cs", "cs": "cs",
+    "hu-HU": "hu", "hu": "hu",
+    "ro-RO": "ro", "ro": "ro",
+    "uk-UA": "uk", "uk": "uk",
 }
 #: The locale that a bare language stands for.
 DEFAULT_LOCALE = {
@@ -43,37 +66,18 @@ def normalized_locale(locale: Column) -> Column:
 
 def lang_group(locale: Column) -> Column:
     n = normalized_locale(locale)
-    known = {locale: group for group, names in GROUP_LOCALES.items() for locale in names.split()}
-    return F.coalesce(looked_up(known, n), F.lower(F.split_part(n, F.lit("-"), F.lit(1))))
+    return F.coalesce(looked_up(LOCALE_GROUP, n), F.lower(F.split_part(n, F.lit("-"), F.lit(1))))
 
 
 def same_family(a: Column, b: Column) -> Column:
     return lang_group(a) == lang_group(b)
 
 
-def _script_or_words(text: str, fallback: str) -> str:
-    """A deterministic detector: scripts, else the most frequent function words."""
-    counts: dict[str, int] = {}
-    for c in text:
-        o = ord(c)
-        for low, high, lang in ((0x3040, 0x30FF, "ja"), (0xAC00, 0xD7AF, "ko"), (0x4E00, 0x9FFF, "zh"), (0x0400, 0x04FF, "ru"), (0x0600, 0x06FF, "ar"), (0x0900, 0x097F, "hi"), (0x0E00, 0x0E7F, "th"), (0x0370, 0x03FF, "el"), (0x0590, 0x05FF, "he")):
-            if low <= o <= high:
-                counts[lang] = counts.get(lang, 0) + 1
-    if counts:
-        return "ja" if "ja" in counts and counts.get("zh", 0) >= counts["ja"] else max(sorted(counts), key=counts.__getitem__)
-    words = text.lower().split()
-    common = {
-        "en": {"the", "and", "of", "to", "in", "is", "that", "for"}, "fr": {"le", "la", "les", "des", "et", "est", "dans", "une"},
-        "de": {"der", "die", "und", "das", "ist", "nicht", "ein", "mit"}, "es": {"el", "los", "las", "que", "una", "por", "con", "del"},
-        "pt": {"o", "os", "não", "uma", "com", "para", "são", "do"}, "it": {"il", "gli", "che", "di", "per", "sono", "della", "non"},
-    }
-    hits = {lang: sum(w in known for w in words) for lang, known in common.items()}
-    best = max(sorted(hits), key=hits.__getitem__)
-    return best if hits[best] else fallback
-
-
-def detector(detect: Callable[[str, str], str] = _script_or_words):
-    """A pandas UDF around a detector (text, fallback) -> code; blank texts and errors give the fallback."""
+def detector(detect: Callable[[str, str], str]):
+    """A pandas UDF around an external detector (text, fallback) -> code; blank texts and errors give the fallback.
+
+    Without one, :mod:`tidewell.operators.language_model` detects.
+    """
 
     @F.pandas_udf("string")
     def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:

@@ -34,8 +34,8 @@ SURFACE_REGIONS = {
     "aljazeera_ar_rss": "ar", "bbcarabic_rss": "ar", "alarabiya_rss": "ar", "france24_ar_rss": "ar", "dw_ar_rss": "ar",
     "onet_rss": "pl", "tvn24_rss": "pl", "pap_rss": "pl", "wyborcza_rss": "pl",
     "kompas_rss": "id", "antara_rss": "id", "bbcindonesia_rss": "id", "tempo_rss": "id",
-    "nhk_news_rss": "jp", "yahoo_jp_ranking": "jp", "goo_news_ranking": "jp", "livedoor_news_ranking": "jp", "hatena_hotentry": "jp",
-    "36kr_rss": "cn", "netease_news_rss": "cn", "bilibili_trending": "cn", "baidu_hot": "cn", "weibo_sogou": "cn", "weibo_hot": "cn", "zhihu_hot": "cn",
+    "nhk_news_rss": "jp",
+    "36kr_rss": "cn", "netease_news_rss": "cn",
     "chinatimes_news": "tw", "mirrormedia_news": "tw", "ettoday_rss": "tw",
     "hk01_news": "hk",
     "nunl_rss": "nl",
@@ -47,6 +47,8 @@ SURFACE_REGIONS = {
     "portugal_news_rss": "pt",
     "argentina_news_rss": "ar_latam",
     "naver_news_ranking": "kr", "daum_news_trending": "kr",
+    "yahoo_jp_ranking": "jp", "goo_news_ranking": "jp", "livedoor_news_ranking": "jp", "hatena_hotentry": "jp",
+    "bilibili_trending": "cn", "baidu_hot": "cn", "weibo_sogou": "cn", "weibo_hot": "cn", "zhihu_hot": "cn",
 }
 #: Terms of a region, found anywhere in a title.
 REGION_TERMS = {

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tidewell.config import Settings
 from tidewell.functions import numbers, text, times, urls
 from tidewell.functions.collections import batch_number
-from tidewell.operators import feed, health, hotness, keywords, languages, policy, ranking, regions, selection, tables, topics
+from tidewell.operators import feed, health, hotness, keywords, language_model, languages, policy, ranking, regions, selection, tables, topics
 from tidewell.plans import views
 from tidewell.sources import adapters, html_sources
 from tidewell.sources.adapters import now, read
@@ -467,11 +467,46 @@ def locale_group(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("doc_id", languages.normalized_locale(F.col("raw")).alias("locale"), languages.lang_group(F.col("raw")).alias("lang_group"))
 
 
-@query()
+_GRAMS = """letters AS (SELECT doc_id AS id, lang, ' ' || trim(regexp_replace(lower(text), '[^\\p{L}]+', ' ', 'g')) || ' ' AS t FROM documents),
+grams AS (SELECT id, lang, unnest(list_transform(range(1, length(t) - 1), lambda p: substr(t, p, 3))) AS gram FROM letters WHERE length(t) > 2),
+known AS (SELECT lang, gram, count(*) AS n FROM grams WHERE id % 3 <> 1 AND lang IS NOT NULL GROUP BY 1, 2),
+chosen AS (SELECT gram FROM known GROUP BY 1 ORDER BY sum(n) DESC, gram LIMIT 50000),
+sums AS (SELECT lang, sum(n) AS total, (SELECT count(*) FROM chosen) AS v FROM known JOIN chosen USING (gram) GROUP BY 1),
+shares AS (SELECT lang, count(*) / (SELECT count(*) FROM documents WHERE doc_id % 3 <> 1 AND lang IS NOT NULL) AS share FROM documents WHERE doc_id % 3 <> 1 AND lang IS NOT NULL GROUP BY 1),
+found AS (SELECT id, gram, count(*) AS times FROM grams JOIN chosen USING (gram) GROUP BY 1, 2),
+scored AS (SELECT f.id, s.lang AS code, sum(times * ln((coalesce(k.n, 0) + 0.5) / (total + 0.5 * v))) + max(ln(share)) AS score
+  FROM found f CROSS JOIN sums s LEFT JOIN known k ON k.gram = f.gram AND k.lang = s.lang JOIN shares h ON h.lang = s.lang GROUP BY 1, 2),
+detected AS (SELECT id, code FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, code) AS rn FROM scored) WHERE rn = 1)"""
+
+
+def _language_model(spark: SparkSession, sf: str) -> language_model.Model:
+    """Fitted on the documents whose id leaves no remainder of 1 by 3; the others are held out."""
+    return language_model.fit(read(spark, sf, "documents").filter("doc_id % 3 <> 1"))
+
+
+@query(
+    f"""WITH {_GRAMS} SELECT d.doc_id AS id, coalesce(code, 'en') AS base_lang, CASE coalesce(code, 'en') WHEN 'en' THEN 'en-US' WHEN 'de' THEN 'de-DE' WHEN 'fr' THEN 'fr-FR' WHEN 'es' THEN 'es-ES' WHEN 'zh' THEN 'zh-Hans' ELSE code || '-' || upper(code) END AS locale, coalesce(code, 'en') AS lang_group
+FROM documents d LEFT JOIN detected ON d.doc_id = detected.id"""
+)
 def language_classify(spark: SparkSession, sf: str) -> DataFrame:
+    """Base language, locale and group of every item, by the trigram model; texts without letters have the region's language."""
     items = adapters.items(spark, sf).withColumn("original_locale", F.lit(None).cast("string")).withColumn("default_locale", F.lit("en-US"))
-    detected = languages.detector()(F.concat_ws(" ", "title", "description"), F.lit("en"))
-    return languages.classified(items, detected).select("id", "base_lang", "locale", "lang_group")
+    found = language_model.detected(items, _language_model(spark, sf), F.concat_ws("\n", "title", "description"))
+    joined = items.join(found, "id", "left")
+    return languages.classified(joined, F.coalesce("detected", F.lit("en"))).select("id", "base_lang", "locale", "lang_group")
+
+
+@query(
+    f"""WITH {_GRAMS} SELECT d.lang, count(*) AS n, count(*) FILTER (code = d.lang) AS n_right, round(count(*) FILTER (code = d.lang) / count(*), 6) AS accuracy
+FROM documents d LEFT JOIN detected ON d.doc_id = detected.id WHERE d.doc_id % 3 = 1 AND d.lang IS NOT NULL GROUP BY 1"""
+)
+def language_accuracy(spark: SparkSession, sf: str) -> DataFrame:
+    """Held-out accuracy of the trigram model by language."""
+    docs = read(spark, sf, "documents").filter("doc_id % 3 = 1 and lang is not null")
+    found = language_model.detected(docs, _language_model(spark, sf), F.col("text"), "doc_id")
+    right = F.count_if(F.col("detected") == F.col("lang"))
+    n = F.count(F.lit(1))
+    return docs.select("doc_id", "lang").join(found, "doc_id", "left").groupBy("lang").agg(n.alias("n"), right.alias("n_right"), F.round(right / n, 6).alias("accuracy"))
 
 
 # Entities and keywords

@@ -51,13 +51,13 @@ EXPECTED = {
     "v2ex": ("i % 9 > 0", "CAST(i AS VARCHAR)", "t", "'https://v.example/t/' || i", "comments", "i % 8"),
     "producthunt": ("true", "'p' || i", "'P' || i || CASE WHEN i % 3 = 0 THEN '' ELSE ' — does things' END", "'https://p.example/' || i", "upvotes", "i % 100"),
 }
-_TITLED = "titled AS (SELECT doc_id AS i, lang || ' title ' || doc_id AS t, (row_number() OVER (ORDER BY doc_id) - 1) AS n FROM documents WHERE doc_id > 0)"
+_TITLED = "titled AS (SELECT doc_id AS i, lang || ' title ' || doc_id AS t, doc_id // 20 AS feed, row_number() OVER (PARTITION BY doc_id // 20 ORDER BY doc_id) - 1 AS pos FROM documents)"
 
 
 def _titled(spark: SparkSession, sf: str) -> DataFrame:
-    """Ids and titles with the number of their response and their place in it; ids of the fixture are dense from 0."""
-    docs = read(spark, sf, "documents").filter("doc_id > 0")
-    return docs.select(F.col("doc_id").alias("i"), F.concat("lang", F.lit(" title "), "doc_id").alias("t"), F.floor((F.col("doc_id") - 1) / 20).alias("response"))
+    """Ids and titles with the number of their response."""
+    docs = read(spark, sf, "documents")
+    return docs.select(F.col("doc_id").alias("i"), F.concat("lang", F.lit(" title "), "doc_id").alias("t"), F.floor(F.col("doc_id") / 20).alias("response"))
 
 
 def _payloads(rows: DataFrame, entry: str, around: str) -> DataFrame:
@@ -70,7 +70,7 @@ def _payloads(rows: DataFrame, entry: str, around: str) -> DataFrame:
 def _items_sql(source: str) -> str:
     keep, key, title, url, signal, value = EXPECTED[source]
     gaps = json_sources.SOURCES[source].gaps
-    place = "n % 20 + 1" if gaps else "row_number() OVER (PARTITION BY n // 20 ORDER BY n)"
+    place = "pos + 1" if gaps else "row_number() OVER (PARTITION BY feed ORDER BY pos)"
     return (
         f"WITH {_TITLED} SELECT {key} AS external_id, {title} AS title, {url} AS url, CAST({place} AS INTEGER) AS rank_position, "
         f"CASE WHEN {value} > 0 THEN CAST({value} AS DOUBLE) END AS {signal} FROM titled WHERE {keep}"
@@ -105,7 +105,7 @@ def _feed_body(rows: DataFrame) -> DataFrame:
 
 @query(
     f"""WITH {_TITLED} SELECT CASE WHEN i % 2 = 0 THEN 'g' || i ELSE 'https://e.example/' || i END AS external_id, t AS title, 'about ' || i AS description, 'https://e.example/' || i AS url,
-  CAST(n % 20 + 1 AS INTEGER) AS rank_position, '2024-01-05 10:00:00' AS published_at FROM titled WHERE i % 9 > 0"""
+  CAST(pos + 1 AS INTEGER) AS rank_position, '2024-01-05 10:00:00' AS published_at FROM titled WHERE i % 9 > 0"""
 )
 def source_rss(spark: SparkSession, sf: str) -> DataFrame:
     """Feed entries with title and link; the ten thin collectors differ from this one by their address alone."""
@@ -114,25 +114,25 @@ def source_rss(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {_TITLED}, first AS (SELECT i, CASE WHEN i % 2 = 0 THEN 'g' || i ELSE 'https://e.example/' || i END AS external_id, n FROM titled WHERE i % 9 > 0 AND n // 20 = 0)
-SELECT (SELECT external_id FROM first ORDER BY n LIMIT 1) AS cursor, 0 AS unchanged, (SELECT count(*) FROM first) AS changed"""
+    f"""WITH {_TITLED}, e AS (SELECT *, CASE WHEN i % 2 = 0 THEN 'g' || i ELSE 'https://e.example/' || i END AS external_id FROM titled WHERE i % 9 > 0)
+SELECT feed, arg_min(external_id, pos) AS cursor, 0 AS unchanged, CAST(count(*) AS INTEGER) AS changed FROM e GROUP BY 1"""
 )
 def rss_cursor(spark: SparkSession, sf: str) -> DataFrame:
-    """The cursor is the first entry's id; an unchanged tag gives no items."""
-    items = feeds.parsed(_feed_body(_titled(spark, sf).filter("response = 0")))
-    same = feeds.unless_unchanged(items, "tag", "tag").agg(F.count(F.lit(1)).alias("unchanged"))
-    other = feeds.unless_unchanged(items, "tag", "older").agg(F.count(F.lit(1)).alias("changed"))
-    return feeds.cursor(items).crossJoin(F.broadcast(same)).crossJoin(F.broadcast(other))  # a row each
+    """The cursor of every feed is its first entry's id; an unchanged tag gives no items."""
+    items = feeds.parsed(_feed_body(_titled(spark, sf)), keep=("feed",))
+    tagged = feeds.unless_unchanged(items, "tag", "tag").withColumn("same", F.lit(1)).unionByName(feeds.unless_unchanged(items, "tag", "older").withColumn("same", F.lit(0)))
+    counts = tagged.groupBy("feed").agg(F.sum("same").cast("int").alias("unchanged"), F.sum(1 - F.col("same")).cast("int").alias("changed"))
+    return feeds.cursors(items).join(counts, "feed")
 
 
 @query(
-    f"""WITH {_TITLED}, f AS (SELECT i, n, n // 20 AS feed, n % 20 AS pos FROM titled WHERE i % 9 > 0 AND n // 20 < 3 AND n % 20 < 13), r AS (SELECT i, row_number() OVER (ORDER BY feed, pos) AS rank_position FROM f)
-SELECT 'https://e.example/' || i AS url, CAST(rank_position AS INTEGER) AS rank_position FROM r WHERE rank_position <= 40"""
+    f"""WITH {_TITLED}, f AS (SELECT i, feed // 3 AS page, feed % 3 AS nth, pos FROM titled WHERE i % 9 > 0 AND pos < 13), r AS (SELECT *, row_number() OVER (PARTITION BY page ORDER BY nth, pos) AS rank_position FROM f)
+SELECT page, 'https://e.example/' || i AS url, CAST(rank_position AS INTEGER) AS rank_position FROM r WHERE rank_position <= 40"""
 )
 def rss_combined(spark: SparkSession, sf: str) -> DataFrame:
-    """Three feeds, the first one given twice: a third of the limit each, an address once, ranked anew."""
-    parts = [feeds.parsed(_feed_body(_titled(spark, sf).filter(F.col("response") == k))) for k in (0, 1, 2)]
-    return feeds.combined(parts, 40).select("url", "rank_position")
+    """Every three feeds in a row as one, the first given twice: a third of the limit each, an address once, ranked anew."""
+    items = feeds.parsed(_feed_body(_titled(spark, sf)), keep=("feed",)).withColumn("page", F.floor(F.col("feed") / 3))
+    return feeds.combined(items.withColumn("feed_no", F.col("feed") % 3), 40, 3, ("page",)).select("page", "url", "rank_position")
 
 
 @query("SELECT n AS id, 'Ranking item ' || n AS title, CAST(n AS INTEGER) AS rank_position, 10000.0 - n * 100 AS views, 500.0 - n * 10 AS comments FROM (SELECT unnest(range(1, 21)) AS n)")
@@ -171,7 +171,7 @@ def record_adapters(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {_TITLED} SELECT 'v' || i AS external_id, CAST(n % 20 + 1 AS INTEGER) AS rank_position, i % 24 AS hours FROM titled WHERE i % 48 < 24"""
+    f"""WITH {_TITLED} SELECT 'v' || i AS external_id, CAST(pos + 1 AS INTEGER) AS rank_position, i % 24 AS hours FROM titled WHERE i % 48 < 24"""
 )
 def source_recent(spark: SparkSession, sf: str) -> DataFrame:
     """Items of the last day only, as searches and channels are asked for."""

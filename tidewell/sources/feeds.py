@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,11 +21,11 @@ def feed_time(c: Column) -> Column:
     return F.coalesce(F.try_to_timestamp(zoned, F.lit(_RFC822)), F.try_to_timestamp(c))
 
 
-def parsed(feeds: DataFrame, source: str = "rss", limit: int | None = None) -> DataFrame:
+def parsed(feeds: DataFrame, source: str = "rss", limit: int | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
     """Items of feed documents (``feed``, ``body``): entries without title or link go, ranks count them.
 
     Ids: id, guid, url, in this order; times: published, then updated; descriptions lose their markup and
-    keep 2000 characters. ``limit``: the first entries of a feed that are looked at.
+    keep 2000 characters. ``limit``: the first entries of a feed that are looked at. ``keep``: columns (``feed``) to go along.
     """
     doc = feeds.select("feed", F.from_xml("body", _SCHEMA, {"mode": "PERMISSIVE"}).alias("d"))
     shape = lambda e, link: F.struct(
@@ -43,16 +41,16 @@ def parsed(feeds: DataFrame, source: str = "rss", limit: int | None = None) -> D
     rows = rows.filter(blank(F.col("e.title")).isNotNull() & blank(F.col("e.link")).isNotNull())
     out = rows.select("feed", "pos", "e.*")
     return record(
-        out.withColumn("raw", F.to_json(F.struct("title", "link", "id", "guid", "description", "at"))), source,
+        out.withColumn("raw", F.to_json(F.struct("title", "link", "id", "guid", "description", "at"))), source, keep,
         external_id=F.coalesce(blank(F.col("id")), blank(F.col("guid")), F.col("link")), title=without_tags(F.col("title")),
         description=F.substring(without_tags(F.col("description")), 1, 2000), url=F.trim("link"), rank_position=F.col("pos") + 1,
         published_at=feed_time(F.col("at")), raw=F.col("raw"),
     )
 
 
-def cursor(items: DataFrame) -> DataFrame:
-    """The next cursor: the id of the feed's first item."""
-    return items.agg(F.min_by("external_id", "rank_position").alias("cursor"))
+def cursors(items: DataFrame) -> DataFrame:
+    """``feed`` and its next ``cursor``: the id of its first item."""
+    return items.groupBy("feed").agg(F.min_by("external_id", "rank_position").alias("cursor"))
 
 
 def unless_unchanged(items: DataFrame, etag: str | None, seen_etag: str | None) -> DataFrame:
@@ -60,15 +58,16 @@ def unless_unchanged(items: DataFrame, etag: str | None, seen_etag: str | None)
     return items.limit(0) if etag is not None and etag == seen_etag else items
 
 
-def combined(feeds: list[DataFrame], limit: int) -> DataFrame:
-    """Several feeds as one: max(limit // n, 10) of each, a URL once (its first), ranked anew."""
-    each = max(limit // max(1, len(feeds)), 10)
-    cut = [f.withColumn("feed_no", F.lit(i)).filter(F.col("rank_position") <= each) for i, f in enumerate(feeds)]
-    rows = reduce(DataFrame.unionByName, cut)
-    first = Window.partitionBy("url").orderBy("feed_no", "rank_position")
-    kept = rows.withColumn("rn", F.row_number().over(first)).filter("rn = 1").orderBy("feed_no", "rank_position").limit(limit)
-    ranked = kept.withColumn("rank_position", F.row_number().over(Window.orderBy("feed_no", "rank_position")).cast("int"))
-    return ranked.drop("rn", "feed_no")
+def combined(items: DataFrame, limit: int, n_feeds: int, page: tuple[str, ...] = ()) -> DataFrame:
+    """Several feeds as one: max(limit // n_feeds, 10) of each, a URL once (its first), ranked anew.
+
+    ``items``: those of all feeds, numbered in ``feed_no`` from 0; ``page``: columns whose values are combined apart.
+    """
+    rows = items.filter(F.col("rank_position") <= max(limit // max(1, n_feeds), 10))
+    first = Window.partitionBy(*page, "url").orderBy("feed_no", "rank_position")
+    kept = rows.withColumn("rn", F.row_number().over(first)).filter("rn = 1")
+    ranked = kept.withColumn("rank_position", F.row_number().over(Window.partitionBy(*page).orderBy("feed_no", "rank_position")).cast("int"))
+    return ranked.filter(F.col("rank_position") <= limit).drop("rn", "feed_no")
 
 
 def news_description(summary_html: Column) -> Column:
