@@ -230,10 +230,22 @@ def _character_class(prop: str) -> str:
     return out
 
 
+def character_classes() -> tuple[str, str]:
+    """Sets of letters and numbers as the library knows them: made once, on the driver, as it takes seconds."""
+    return _character_class("L"), _character_class("N")
+
+
+def up_sweep(maps: list[ChunkMap]) -> ChunkMap:
+    """The map of all chunks: the scan's first half, which joins neighbours until one is left."""
+    while len(maps) > 1:
+        maps = [maps[i].then(maps[i + 1]) if i + 1 < len(maps) else maps[i] for i in range(0, len(maps), 2)]
+    return maps[0]
+
+
 class Counter:
-    """Token counts of texts as the vocabulary file's own rules give them."""
+    """Token counts of texts as the vocabulary file's own rules give them. ``classes``: see :func:`character_classes`."""
 
-    def __init__(self, spec: str):
+    def __init__(self, spec: str, classes: tuple[str, str] | None = None):
         rules = json.loads(spec)
         self.transducer = Transducer(spec)
         self.special = [t["content"] for t in rules.get("added_tokens", [])]
@@ -244,7 +256,7 @@ class Counter:
         pattern = pattern.replace(r"\s", space)
         # on Latin-1 both agree, and the plain classes match faster
         self.latin_pieces = regex.compile(pattern)
-        letters, numbers = (_character_class(p) for p in ("L", "N"))
+        letters, numbers = classes or character_classes()
         self.pieces = regex.compile(pattern.replace(r"\p{L}", letters).replace(r"\p{N}", numbers), regex.V1)
         self.open_run = {"L": regex.compile(f"{letters}*", regex.V1), "S": regex.compile(rf"[^{space}{letters}{numbers}]*", regex.V1)}
         self.last_kind = regex.compile(rf"(?P<L>{letters})|(?P<S>[^{space}{letters}{numbers}])", regex.V1)
@@ -326,10 +338,11 @@ class Counter:
         if len(text) <= chunk:
             return self._whole(text)
         self.transducer.held = True
-        end, n = prefix_scan(self.chunk_maps(text, chunk))[-1](State())
-        n += self._close(end)
-        self.transducer.held = False
-        return n
+        try:
+            end, n = up_sweep(self.chunk_maps(text, chunk))(State())
+            return n + self._close(end)
+        finally:
+            self.transducer.held = False
 
     def count(self, text: str, chunk: int = CHUNK) -> int:
         if self.split_special is None or not any(s in text for s in self.special):
@@ -351,12 +364,12 @@ class _Remembered(dict):
 _counters: dict[int, Counter] = {}
 
 
-def _counter(spec: str) -> Counter:
+def _counter(spec: str, classes: tuple[str, str]) -> Counter:
     """One compiled counter a Python worker."""
     key = hash(spec)
     if key not in _counters:
         _counters.clear()
-        _counters[key] = Counter(spec)
+        _counters[key] = Counter(spec, classes)
     return _counters[key]
 
 
@@ -370,10 +383,10 @@ def token_counts(docs: DataFrame, vocabulary: str, limit: int = 2048, text: str
     empty table gives an empty result; other columns are ignored.
     """
     with open(vocabulary, encoding="utf-8") as f:
-        spec = docs.sparkSession.sparkContext.broadcast(f.read())
+        spec = docs.sparkSession.sparkContext.broadcast((f.read(), character_classes()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = _counter(spec.value)
+        counter = _counter(*spec.value)
         for batch in batches:
             n_bytes, n_tokens = [], []
             for value in batch.column(1):
