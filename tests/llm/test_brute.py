@@ -781,3 +781,38 @@ def test_passages_against_plain_grouping(docs, texts):
             run = []
     got = {(r.doc_id, r.start, r.end, r.n_words) for r in substring_dedup.repeated_passages(docs).collect()}
     assert got == expected
+
+
+def _skewed(spark):
+    rows = [(i, "w " * 50, "rare" if i % 50 == 0 else "common", "en", "x" if i % 3 else "y") for i in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, topic string")
+    share = lambda d: spark.createDataFrame(list(d.items()), "value string, share double")
+    return df, {"source": share({"rare": 0.2, "common": 0.8}), "lang": share({"en": 1.0}), "topic": share({"x": 0.5, "y": 0.5})}
+
+
+def test_mixing_rows_show_missed_targets(spark):
+    df, targets = _skewed(spark)
+    with pytest.warns(UserWarning):
+        got = mixing.mix(df, targets, topic="topic").collect()
+    gaps = {s: {round(r.gap, 6) for r in got if r.source == s} for s in ("rare", "common")}
+    reached = sum(r.probability * 50 for r in got if r.source == "rare") / sum(r.probability * 50 for r in got)
+    assert min(gaps["rare"]) == pytest.approx(abs(reached / 0.2 - 1), abs=1e-4) and min(gaps["rare"]) > 0.5
+    assert {r.copies for r in got} <= {0, 1}
+
+
+def test_mixing_repeats_reach_them(spark):
+    df, targets = _skewed(spark)
+    got = mixing.mix(df, targets, topic="topic", repeats=20.0).collect()
+    assert max(r.gap for r in got) < 0.01 and max(r.copies for r in got) > 1
+    assert all(abs(r.copies - r.probability) < 1 and r.kept == (r.copies > 0) for r in got)
+    kept = mixing.mixed_documents(df, targets, topic="topic", repeats=20.0)
+    assert Counter(r.doc_id for r in kept.collect()) == Counter({r.doc_id: r.copies for r in got if r.copies})
+
+
+def test_factors_fill_margins(spark):
+    values = [("source", float(m), float(c)) for m, c in [(9, 2), (5, 50), (1, 50), (3, 1)]] + [("lang", 4.0, 1.0), ("lang", 1.0, 1.0)]
+    rows = spark.createDataFrame(values, "margin string, m double, cap double")
+    f = mixing._factors(rows, {"source": 30.0, "lang": 10.0})
+    assert sum(min(c, f["source"] * m) for k, m, c in values if k == "source") == pytest.approx(30)
+    assert sum(min(c, f["lang"] * m) for k, m, c in values if k == "lang") == 2.0
+    assert mixing._factors(rows.limit(0), {}) == {}
