@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tidewell.config import Settings
 from tidewell.functions import numbers, text, times, urls
 from tidewell.functions.collections import batch_number
-from tidewell.operators import feed, health, hotness, keywords, language_model, languages, policy, ranking, regions, selection, tables, topics
+from tidewell.operators import feed, health, hotness, keywords, language_model, languages, policy, ranking, regions, segmentation, selection, tables, topics
 from tidewell.plans import views
 from tidewell.sources import adapters, html_sources
 from tidewell.sources.adapters import now, read
@@ -509,6 +509,44 @@ def language_accuracy(spark: SparkSession, sf: str) -> DataFrame:
     return docs.select("doc_id", "lang").join(found, "doc_id", "left").groupBy("lang").agg(n.alias("n"), right.alias("n_right"), F.round(right / n, 6).alias("accuracy"))
 
 
+# Segmentation
+
+
+#: Letters of a text in lower case, without anything between them: the fixture's texts as a script without spaces.
+_LETTERS = r"\p{Ll}+"
+
+
+def _unspaced(spark: SparkSession, sf: str) -> DataFrame:
+    return read(spark, sf, "documents").select("doc_id", F.regexp_replace(F.lower("text"), r"\P{Ll}+", "").alias("text"))
+
+
+@query(
+    """WITH d AS (SELECT regexp_replace(lower(text), '[^\\p{Ll}]+', '', 'g') AS t FROM documents),
+g AS (SELECT n, unnest(list_transform(range(1, length(t) - n + 2), lambda p: {'w': substr(t, p, n), 'b': CASE WHEN p = 1 THEN '' ELSE substr(t, p - 1, 1) END, 'a': substr(t, p + n, 1)})) AS x FROM d, (SELECT unnest([1, 2, 3, 4]) AS n) WHERE length(t) >= n),
+f AS (SELECT n AS chars, x.w AS word, x.b AS before, x.a AS after FROM g),
+c AS (SELECT word, chars, count(*) AS n FROM f GROUP BY 1, 2 HAVING chars = 1 OR count(*) >= 5),
+t AS (SELECT sum(n) AS total FROM c WHERE chars = 1),
+parts AS (SELECT word, n, unnest(range(1, chars)) AS k FROM c WHERE chars > 1),
+h AS (SELECT p.word, any_value(p.n) AS n, min(ln(CAST(p.n AS DOUBLE) * total / (CAST(l.n AS DOUBLE) * r.n))) AS cohesion FROM parts p JOIN c l ON l.word = substr(p.word, 1, k) JOIN c r ON r.word = substr(p.word, k + 1), t GROUP BY 1),
+eb AS (SELECT word, ln(sum(m)) - sum(CASE WHEN before = '' THEN 0 ELSE m * ln(m) END) / sum(m) AS e FROM (SELECT word, before, CAST(count(*) AS DOUBLE) AS m FROM f WHERE chars > 1 GROUP BY 1, 2) GROUP BY 1),
+ea AS (SELECT word, ln(sum(m)) - sum(CASE WHEN after = '' THEN 0 ELSE m * ln(m) END) / sum(m) AS e FROM (SELECT word, after, CAST(count(*) AS DOUBLE) AS m FROM f WHERE chars > 1 GROUP BY 1, 2) GROUP BY 1),
+w AS (SELECT h.word, n, cohesion, least(eb.e, ea.e) AS entropy FROM h JOIN eb ON h.word = eb.word JOIN ea ON h.word = ea.word WHERE cohesion >= 1.5 AND least(eb.e, ea.e) >= 0.8
+  UNION ALL SELECT word, n, 0.0, 0.0 FROM c WHERE chars = 1)
+SELECT word, n, round(cohesion, 6) AS cohesion, round(entropy, 6) AS entropy FROM w ORDER BY n DESC, word LIMIT 50000"""
+)
+def learned_lexicon(spark: SparkSession, sf: str) -> DataFrame:
+    """Words of the documents' letters without spaces, by cohesion and branching entropy."""
+    return segmentation.learn(_unspaced(spark, sf), pattern=_LETTERS).select("word", "n", F.round("cohesion", 6).alias("cohesion"), F.round("entropy", 6).alias("entropy"))
+
+
+@query()
+def segmented_texts(spark: SparkSession, sf: str) -> DataFrame:
+    """The likeliest words of every text without spaces: their number, and the different ones of two letters or more."""
+    docs = _unspaced(spark, sf)
+    found = segmentation.segmented(docs, segmentation.learn(docs, pattern=_LETTERS), key="doc_id", pattern=_LETTERS)
+    return found.select("doc_id", F.size("words").cast("long").alias("n_words"), F.sha2(F.array_join("words", " "), 256).alias("split_sha256"), F.size(segmentation.entities(F.col("words"))).cast("long").alias("n_entities"))
+
+
 # Entities and keywords
 
 
