@@ -467,8 +467,10 @@ def locale_group(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("doc_id", languages.normalized_locale(F.col("raw")).alias("locale"), languages.lang_group(F.col("raw")).alias("lang_group"))
 
 
-_GRAMS = """letters AS (SELECT doc_id AS id, lang, ' ' || trim(regexp_replace(lower(text), '[^\\p{L}]+', ' ', 'g')) || ' ' AS t FROM documents),
-grams AS (SELECT id, lang, unnest(list_transform(range(1, length(t) - 1), lambda p: substr(t, p, 3))) AS gram FROM letters WHERE length(t) > 2),
+_GRAMS = """letters AS (SELECT doc_id AS id, lang, string_split(trim(regexp_replace(lower(text), '[^\\p{L}]+', ' ', 'g')), ' ') AS ws FROM documents),
+pairs AS (SELECT id, lang, unnest(ws) AS w, unnest(list_concat(ws[2:], [''])) AS following FROM letters),
+pieces AS (SELECT id, lang, ' ' || w || ' ' || substr(following, 1, 1) AS t FROM pairs WHERE w <> ''),
+grams AS (SELECT id, lang, substr(t, p, 3) AS gram FROM (SELECT *, unnest(range(1, length(t) - 1)) AS p FROM pieces)),
 known AS (SELECT lang, gram, count(*) AS n FROM grams WHERE id % 3 <> 1 AND lang IS NOT NULL GROUP BY 1, 2),
 chosen AS (SELECT gram FROM known GROUP BY 1 ORDER BY sum(n) DESC, gram LIMIT 50000),
 sums AS (SELECT lang, sum(n) AS total, (SELECT count(*) FROM chosen) AS v FROM known JOIN chosen USING (gram) GROUP BY 1),
@@ -520,20 +522,7 @@ def _unspaced(spark: SparkSession, sf: str) -> DataFrame:
     return read(spark, sf, "documents").select("doc_id", F.regexp_replace(F.lower("text"), r"\P{Ll}+", "").alias("text"))
 
 
-@query(
-    """WITH d AS (SELECT regexp_replace(lower(text), '[^\\p{Ll}]+', '', 'g') AS t FROM documents),
-g AS (SELECT n, unnest(list_transform(range(1, length(t) - n + 2), lambda p: {'w': substr(t, p, n), 'b': CASE WHEN p = 1 THEN '' ELSE substr(t, p - 1, 1) END, 'a': substr(t, p + n, 1)})) AS x FROM d, (SELECT unnest([1, 2, 3, 4]) AS n) WHERE length(t) >= n),
-f AS (SELECT n AS chars, x.w AS word, x.b AS before, x.a AS after FROM g),
-c AS (SELECT word, chars, count(*) AS n FROM f GROUP BY 1, 2 HAVING chars = 1 OR count(*) >= 5),
-t AS (SELECT sum(n) AS total FROM c WHERE chars = 1),
-parts AS (SELECT word, n, unnest(range(1, chars)) AS k FROM c WHERE chars > 1),
-h AS (SELECT p.word, any_value(p.n) AS n, min(ln(CAST(p.n AS DOUBLE) * total / (CAST(l.n AS DOUBLE) * r.n))) AS cohesion FROM parts p JOIN c l ON l.word = substr(p.word, 1, k) JOIN c r ON r.word = substr(p.word, k + 1), t GROUP BY 1),
-eb AS (SELECT word, ln(sum(m)) - sum(CASE WHEN before = '' THEN 0 ELSE m * ln(m) END) / sum(m) AS e FROM (SELECT word, before, CAST(count(*) AS DOUBLE) AS m FROM f WHERE chars > 1 GROUP BY 1, 2) GROUP BY 1),
-ea AS (SELECT word, ln(sum(m)) - sum(CASE WHEN after = '' THEN 0 ELSE m * ln(m) END) / sum(m) AS e FROM (SELECT word, after, CAST(count(*) AS DOUBLE) AS m FROM f WHERE chars > 1 GROUP BY 1, 2) GROUP BY 1),
-w AS (SELECT h.word, n, cohesion, least(eb.e, ea.e) AS entropy FROM h JOIN eb ON h.word = eb.word JOIN ea ON h.word = ea.word WHERE cohesion >= 1.5 AND least(eb.e, ea.e) >= 0.8
-  UNION ALL SELECT word, n, 0.0, 0.0 FROM c WHERE chars = 1)
-SELECT word, n, round(cohesion, 6) AS cohesion, round(entropy, 6) AS entropy FROM w ORDER BY n DESC, word LIMIT 50000"""
-)
+@query()
 def learned_lexicon(spark: SparkSession, sf: str) -> DataFrame:
     """Words of the documents' letters without spaces, by cohesion and branching entropy."""
     return segmentation.learn(_unspaced(spark, sf), pattern=_LETTERS).select("word", "n", F.round("cohesion", 6).alias("cohesion"), F.round("entropy", 6).alias("entropy"))
