@@ -1,9 +1,12 @@
 """The pipeline over fixture documents: what each stage keeps."""
 
+import random
 import re
 
-import random
+import pytest
 
+import corpus_pipeline
+from tests.llm import tables
 from tidewell.llm import quality_rules, simhash
 
 
@@ -92,3 +95,15 @@ def test_empty_documents(spark, tmp_path):
     spark.createDataFrame([], schema).write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+@pytest.mark.parametrize("which", ["odd", "empty"])
+def test_run_on_odd_tables(spark, tmp_path, which):
+    """Nulls, repeats, long and empty texts go through all stages; what is packed is what the stages kept."""
+    docs = tables.table(spark, which)
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    tables.labels(spark).write.parquet(str(tmp_path / "labels.parquet"))
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    kept = corpus_pipeline.apply_quality_rules(spark, spark.read.parquet(str(tmp_path / "documents.parquet")), str(tmp_path))
+    assert {r.doc_id for r in got} <= {r.doc_id for r in kept.collect()}
+    assert bool(got) == (which == "odd")
