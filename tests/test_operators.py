@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewell.config import Settings
-from tidewell.operators import feed, health, keywords, languages, policy, ranking, regions, selection, tables, topics
+from tidewell.operators import feed, health, keywords, languages, ordered, policy, ranking, regions, selection, tables, topics
 
 
 def items(spark, n=300, seed=0, langs=("en", "fr", "de")):
@@ -171,7 +171,7 @@ def test_keyword_rules(spark):
 
 def test_streaks_and_health(spark):
     runs = spark.createDataFrame([(s, i, n) for s, seq in ((1, [0, 0, 0]), (2, [0, 0, 5, 0])) for i, n in enumerate(seq)], "surface_id int, run_id int, stored int")
-    last = {r.surface_id: r.streak for r in ranking.streaks(runs, "surface_id", ["run_id"], F.col("stored") > 0).orderBy("run_id").collect()}
+    last = {r.surface_id: r.streak for r in ordered.streaks(runs, "surface_id", ["run_id"], F.col("stored") > 0).orderBy("run_id").collect()}
     assert last == {1: 3, 2: 1}
     states = spark.createDataFrame([("available",), ("unavailable_auth",)], "state string")
     assert health.providers_rollup(states).first().status == "degraded"

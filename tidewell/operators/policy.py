@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewell.operators import ordered
+
 
 def ordered_fold(log: DataFrame, key: str, order: list[str], start: Callable[[], dict], step: Callable[[dict, dict], dict], schema: str) -> DataFrame:
     """Rows of the log with the columns that ``step`` returns for the state and each event.
@@ -132,14 +134,17 @@ def penalties(log: DataFrame, minutes: int = 15) -> DataFrame:
 
 def rate_violations(log: DataFrame, per_minute: int) -> DataFrame:
     """Requests that find more than ``per_minute`` of their domain in the last minute."""
-    from tidewell.operators.ranking import sliding_counts
-
-    return sliding_counts(log, "domain", "ts", 60).filter(F.col("in_window") > per_minute)
+    return ordered.sliding_counts(log, "domain", "ts", 60).filter(F.col("in_window") > per_minute)
 
 
 def cached_response(requests: DataFrame, cache: DataFrame) -> DataFrame:
-    """Requests with the newest cache entry of their URL: ``fresh``, ``revalidate`` or ``miss``."""
-    newest = cache.groupBy("url_hash").agg(F.max(F.struct("validated_at", "expires_at", "etag")).alias("e"))
-    joined = requests.join(newest, "url_hash", "left")
-    state = F.when(F.col("e").isNull(), "miss").when(F.col("e.expires_at") > F.col("ts"), "fresh").when(F.col("e.etag").isNotNull(), "revalidate").otherwise("miss")
+    """Requests with what the cache held of their URL at their time: ``fresh``, ``revalidate`` or ``miss``.
+
+    ``cache``: a row each time that an entry was stored or validated (``url_hash``, ``validated_at``, ``expires_at``, ``etag``). The last one
+    at or before the request counts; of two at one time, the one that expires last.
+    """
+    held = cache.select("url_hash", "validated_at", "expires_at", "etag")
+    joined = ordered.as_of(requests, held, "url_hash", "ts", "validated_at", ["expires_at", "etag"])
+    e = F.col("found")
+    state = F.when(e.isNull(), "miss").when(e["expires_at"] > F.col("ts"), "fresh").when(e["etag"].isNotNull(), "revalidate").otherwise("miss")
     return joined.select(*requests.columns, state.alias("cache"))

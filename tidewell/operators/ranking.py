@@ -39,7 +39,7 @@ def cutoffs(items: DataFrame, percent: Column | int, group: str = "lang_group")
     low = F.element_at("q", F.greatest(at - 1, F.lit(1)))
     high = F.element_at("q", F.least(at + 4, F.lit(steps + 1)))
     bounds = held.select(group, "k", F.when(at <= 2, F.lit(float("-inf"))).otherwise(low).alias("low"), F.when(at >= steps - 4, F.lit(float("inf"))).otherwise(high).alias("high"))
-    inside = scored.drop("percent").join(F.broadcast(bounds), group).filter("hotness >= low")
+    inside = scored.drop("percent").join(bounds, group).filter("hotness >= low")
     counts = inside.groupBy(group, "k", F.when(F.col("hotness") <= F.col("high"), F.col("hotness")).alias("score")).agg(F.count(F.lit(1)).alias("held"))
     upto = F.sum("held").over(Window.partitionBy(group).orderBy(F.col("score").desc_nulls_first()))
     return counts.withColumn("upto", upto).filter("upto >= k").groupBy(group).agg(F.max("score").alias("cutoff"))
@@ -68,17 +68,3 @@ def latest(df: DataFrame, group: str, order: list[str]) -> DataFrame:
     names = [c for c in df.columns if c != group]
     best = df.groupBy(group).agg(F.max(F.struct(*order, F.struct(*names).alias("row"))).alias("m"))
     return best.select(group, "m.row.*")
-
-
-def streaks(runs: DataFrame, group: str, order: list[str], ok: Column) -> DataFrame:
-    """Adds ``streak``: how many rows without ``ok`` in a row end at each row."""
-    w = Window.partitionBy(group).orderBy(*order)
-    marked = runs.withColumn("ok", ok).withColumn("island", F.sum(F.col("ok").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    inside = Window.partitionBy(group, "island").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return marked.withColumn("streak", F.sum((~F.col("ok")).cast("int")).over(inside)).drop("island", "ok")
-
-
-def sliding_counts(log: DataFrame, group: str, ts: str, seconds: int) -> DataFrame:
-    """Adds ``in_window``: rows of the group in the last ``seconds``, the row included."""
-    w = Window.partitionBy(group).orderBy(F.unix_timestamp(ts)).rangeBetween(-seconds, 0)
-    return log.withColumn("in_window", F.count(F.lit(1)).over(w))

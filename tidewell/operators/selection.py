@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewell.config import Settings
 from tidewell.functions.numbers import truncated_percent
 from tidewell.lineage import cut
+from tidewell.operators import ordered
 from tidewell.operators.ranking import cutoffs, dominant, pool_sizes
 
 
@@ -117,11 +120,22 @@ def summary_preselect(items: DataFrame, surfaces: DataFrame, settings: Settings,
 
 
 def bucket_cap(rows: DataFrame, percent: float = 40.0) -> DataFrame:
-    """At most ``percent`` of all rows from one bucket, the hottest first."""
-    total = rows.agg(F.count(F.lit(1)).alias("total"))
-    w = Window.partitionBy("bucket").orderBy(F.col("hotness").desc_nulls_last(), F.col("id"))
-    ranked = rows.crossJoin(F.broadcast(total)).withColumn("rn", F.row_number().over(w))
-    return ranked.filter(F.col("rn") <= F.floor(F.col("total") * percent / 100)).drop("rn", "total")
+    """At most ``percent`` of all rows from one bucket, the hottest first; equal scores by id, rows without one last.
+
+    Scores are counted first, which shows at which score a bucket's limit falls: rows above it stay, rows below go,
+    and only those at that very score are ranked.
+    """
+    total = rows.agg(F.count(F.lit(1)).alias("total")).first()["total"]
+    limit = math.floor(total * percent / 100)
+    score = F.coalesce("hotness", F.lit(-math.inf))
+    each = ordered.in_runs(rows.groupBy("bucket", (-score).alias("cold")).agg(F.count(F.lit(1)).alias("held")), ["bucket", "cold"])
+    sums = ordered.running_sums(each, "bucket", ["cold"], F.col("held"))
+    edge = cut(sums.filter((F.col("sum_so_far") > limit) & (F.col("sum_so_far") - F.col("held") <= limit)).select("bucket", "cold", (F.lit(limit) - F.col("sum_so_far") + F.col("held")).alias("room")))
+    marked = rows.withColumn("__cold", -score).join(F.broadcast(edge.withColumnRenamed("bucket", "__bucket")), F.col("bucket").eqNullSafe(F.col("__bucket")), "left")  # a row a bucket
+    clear = marked.filter(F.col("cold").isNull() | (F.col("__cold") < F.col("cold"))).select(*rows.columns)
+    at_edge = marked.filter(F.col("__cold") == F.col("cold"))
+    ranked = at_edge.withColumn("__rn", F.row_number().over(Window.partitionBy("bucket").orderBy("id"))).filter("__rn <= room")
+    return clear.unionByName(ranked.select(*rows.columns))
 
 
 def quota_status(items: DataFrame, percent: int) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tidewell.config import Settings
 from tidewell.functions import numbers, text, times, urls
 from tidewell.functions.collections import batch_number
-from tidewell.operators import feed, health, hotness, keywords, language_model, languages, policy, ranking, regions, segmentation, selection, tables, topics
+from tidewell.operators import feed, health, hotness, keywords, language_model, languages, ordered, policy, ranking, regions, segmentation, selection, tables, topics
 from tidewell.plans import views
 from tidewell.sources import adapters, html_sources
 from tidewell.sources.adapters import now, read
@@ -239,7 +239,7 @@ s AS (SELECT *, sum(CASE WHEN stored > 1 THEN 0 ELSE 1 END) OVER (PARTITION BY s
 SELECT surface_id, CAST(max(streak) AS BIGINT) AS longest, count(*) FILTER (streak >= 3) AS unhealthy_runs FROM s GROUP BY 1"""
 )
 def unhealthy_streak(spark: SparkSession, sf: str) -> DataFrame:
-    runs = ranking.streaks(adapters.runs(spark, sf), "surface_id", ["started_at", "run_id"], F.col("stored") > 1)
+    runs = ordered.streaks(adapters.runs(spark, sf), "surface_id", ["started_at", "run_id"], F.col("stored") > 1)
     return runs.groupBy("surface_id").agg(F.max("streak").alias("longest"), F.count_if(F.col("streak") >= 3).alias("unhealthy_runs"))
 
 
@@ -511,6 +511,20 @@ def language_accuracy(spark: SparkSession, sf: str) -> DataFrame:
     return docs.select("doc_id", "lang").join(found, "doc_id", "left").groupBy("lang").agg(n.alias("n"), right.alias("n_right"), F.round(right / n, 6).alias("accuracy"))
 
 
+@query(
+    f"""WITH {views.REQUESTS}, r AS (SELECT request_id, request_id % 7 AS k, ts FROM requests), e AS (SELECT event_id % 7 AS k, ts AS validated_at, max({{'x': ts + to_hours(1 + CAST(event_id % 5 AS INTEGER)), 'tag': CASE WHEN event_id % 3 > 0 THEN 'e' || event_id END}}) AS m FROM events WHERE event_type = 'purchase' GROUP BY 1, 2)
+SELECT request_id, CASE WHEN e.k IS NULL THEN 'miss' WHEN m.x > r.ts THEN 'fresh' WHEN m.tag IS NOT NULL THEN 'revalidate' ELSE 'miss' END AS cache FROM r ASOF LEFT JOIN e ON r.k = e.k AND r.ts >= e.validated_at"""
+)
+def cache_states(spark: SparkSession, sf: str) -> DataFrame:
+    """What the cache held of a request's page at its time: the last validation at or before it."""
+    requests = adapters.requests(spark, sf).select("request_id", (F.col("request_id") % 7).alias("url_hash"), "ts")
+    i = F.col("event_id")
+    bought = read(spark, sf, "events").filter("event_type = 'purchase'")
+    hours = F.make_dt_interval(hours=(1 + i % 5).cast("int"))
+    held = bought.select((i % 7).alias("url_hash"), F.col("ts").alias("validated_at"), (F.col("ts") + hours).alias("expires_at"), F.when(i % 3 > 0, F.concat(F.lit("e"), i)).alias("etag"))
+    return policy.cached_response(requests, held).select("request_id", "cache")
+
+
 # Segmentation
 
 
@@ -690,7 +704,7 @@ def latency_true_pctl(spark: SparkSession, sf: str) -> DataFrame:
 SELECT request_id, domain, in_window FROM w WHERE in_window > 2"""
 )
 def rate_violations(spark: SparkSession, sf: str) -> DataFrame:
-    return ranking.sliding_counts(adapters.requests(spark, sf), "domain", "ts", 3600).filter("in_window > 2").select("request_id", "domain", "in_window")
+    return ordered.sliding_counts(adapters.requests(spark, sf), "domain", "ts", 3600).filter("in_window > 2").select("request_id", "domain", "in_window")
 
 
 @query(f"WITH {views.REQUESTS} SELECT domain, strftime(max(ts) + INTERVAL 15 MINUTE, '%Y-%m-%d %H:%M:%S') AS until, count(*) AS hits FROM requests WHERE status IN (429, 403) GROUP BY 1")
