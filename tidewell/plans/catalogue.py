@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tidewell.config import Settings
 from tidewell.functions import numbers, text, times, urls
 from tidewell.functions.collections import batch_number
-from tidewell.operators import feed, health, hotness, keywords, language_model, languages, ordered, policy, ranking, regions, segmentation, selection, tables, topics
+from tidewell.operators import automaton, feed, health, hotness, keywords, language_model, languages, ordered, policy, ranking, regions, segmentation, selection, tables, topics
 from tidewell.plans import views
 from tidewell.sources import adapters, html_sources
 from tidewell.sources.adapters import now, read
@@ -525,6 +525,17 @@ def cache_states(spark: SparkSession, sf: str) -> DataFrame:
     return policy.cached_response(requests, held).select("request_id", "cache")
 
 
+@query(
+    """WITH t AS (SELECT doc_id, regexp_replace(text, '[^\\x00-\\x7F]', '0', 'g') AS b FROM documents)
+SELECT doc_id, array_to_string(list_filter([CASE WHEN regexp_matches(b, '(?i)\\b(the|der)\\b') THEN 'politics' END, CASE WHEN regexp_matches(b, '(?i)\\b(est|de la)\\b') THEN 'science' END,
+  CASE WHEN regexp_matches(b, '(?i)\\b(ing|oro)\\b') THEN 'sports' END, CASE WHEN regexp_matches(b, '(?i)\\b(thand|wh)\\b') THEN 'ai' END], lambda x: x IS NOT NULL), ',') AS topics FROM t"""
+)
+def automaton_topics(spark: SparkSession, sf: str) -> DataFrame:
+    """Categories whose keywords occur anywhere in a text, all found in one pass."""
+    found = automaton.matched(read(spark, sf, "documents").select("doc_id", "text"), F.col("text"), VOCABULARY)
+    return found.select("doc_id", F.array_join("topics", ",").alias("topics"))
+
+
 # Segmentation
 
 
