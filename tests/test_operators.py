@@ -207,3 +207,20 @@ def test_tables(spark):
     assert [r[0] for r in feed.excluding(spark.createDataFrame([("a",), (None,)], "x string"), "x", "a").collect()] == [None]
     unit = tables.normalized(spark.createDataFrame([(1, [3.0, 4.0]), (2, [0.0, 0.0])], "vec_id int, embedding array<float>")).orderBy("vec_id").collect()
     assert unit[0].embedding == pytest.approx([0.6, 0.8]) and unit[1].embedding == [0.0, 0.0]
+
+
+def test_latin_entities_equal_unicode_patterns(spark):
+    """Against the same patterns in an engine with Unicode boundaries; German terms twice in the title."""
+    import regex
+    from pyspark.sql import functions as F
+
+    from tidewell.operators import keywords
+
+    titles = ["Élodie Dupont à Paris avec ÉDF et l'ONU", "İstanbul Büyük Şehir", "Москва Сити и РФ", "Müller trifft Olaf Scholz und Olaf Scholz", "McDonald iPhone GitHub", "eONU ONUs ÀB", "", None]
+    for lang in ("fr", "de"):
+        df = spark.createDataFrame(list(enumerate(titles)), "i int, t string")
+        got = {r.i: r.e for r in df.select("i", keywords.latin_entities(F.col("t"), F.lit(lang)).alias("e")).collect()}
+        for i, t in enumerate(titles):
+            patterns = (r"\b\p{Lu}{2,6}\b", r"\b(?:\p{Lu}\p{Ll}+\s){1,3}\p{Lu}\p{Ll}+\b", r"\b\p{Lu}\p{Ll}+(?:\p{Lu}\p{Ll}+)+\b")
+            want = list(dict.fromkeys(m for p in patterns for m in regex.findall(p, t or "")))
+            assert got[i] == [w for w in want if lang != "de" or (t or "").count(w) >= 2], t

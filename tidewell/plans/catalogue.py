@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tidewell.config import Settings
 from tidewell.functions import numbers, text, times, urls
 from tidewell.functions.collections import batch_number
-from tidewell.operators import automaton, feed, health, hotness, keywords, language_model, languages, ordered, policy, ranking, regions, segmentation, selection, tables, topics
+from tidewell.operators import automaton, feed, health, hotness, keywords, language_model, languages, ordered, policy, ranking, regions, segmentation, selection, statuses, tables, topics
 from tidewell.plans import views
 from tidewell.sources import adapters, html_sources
 from tidewell.sources.adapters import now, read
@@ -536,6 +536,36 @@ def automaton_topics(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("doc_id", F.array_join("topics", ",").alias("topics"))
 
 
+@query(
+    f"""WITH {views.ITEMS}, t AS (SELECT id, k, CASE summary_status WHEN 'complete' THEN 'llm' WHEN 'failed' THEN 'heuristic' END AS classified_by, id % 5 > 0 AS at_some_time, id % 96 + id % 7 AS waited FROM items)
+SELECT id, CASE k % 4 WHEN 0 THEN 'ai' WHEN 1 THEN 'society' END AS category,
+  CASE WHEN classified_by = 'llm' THEN 'llm_complete' WHEN NOT at_some_time THEN 'pending' WHEN classified_by = 'heuristic' THEN CASE WHEN k % 4 < 2 THEN 'heuristic_complete' ELSE 'failed' END ELSE 'heuristic_complete' END AS state, waited >= 1 AS due FROM t"""
+)
+def state_rules(spark: SparkSession, sf: str) -> DataFrame:
+    """States that backfilling gives first, categories of tags, and whether a retry is due."""
+    some = F.array(F.lit("tech"), F.lit("unknown"), F.lit("ai"))
+    tags = F.when(F.col("k") % 4 == 0, some).when(F.col("k") % 4 == 1, F.array(F.lit("health"))).when(F.col("k") % 4 == 2, F.array().cast("array<string>"))
+    items = adapters.items(spark, sf).withColumns({
+        "topic_tags": tags, "classified_by": F.when(F.col("summary_status") == "complete", "llm").when(F.col("summary_status") == "failed", "heuristic"), "topic_classified_at": F.when(F.col("id") % 5 > 0, F.col("collected_at")),
+    })
+    return items.select("id", topics.tag_category(F.col("topic_tags")).alias("category"), topics.heuristic_state(items).alias("state"), statuses.retry_due(F.col("published_at"), now()).alias("due"))
+
+
+@query(
+    """SELECT source AS topic, CASE WHEN doc_id % 3 = 2 THEN 'é' ELSE '' END || 'term ' || doc_id AS term, CASE doc_id % 3 WHEN 0 THEN 'en' WHEN 1 THEN lang ELSE 'zh' END AS lang,
+  CASE WHEN doc_id % 3 = 1 THEN doc_id ELSE 1 END AS score, CASE WHEN doc_id % 3 = 2 THEN '2024-01-05' ELSE '2024-01-31' END AS last_seen FROM documents"""
+)
+def keyword_file(spark: SparkSession, sf: str) -> DataFrame:
+    """Records of keyword files in their three shapes, read, written as a file has them, and read again."""
+    i = F.col("doc_id")
+    term = F.concat(F.when(i % 3 == 2, "é").otherwise(""), F.lit("term "), i)
+    plain = F.concat(F.lit('"'), term, F.lit('"'))
+    entry = F.when(i % 3 == 0, plain).when(i % 3 == 1, F.to_json(F.struct(term.alias("keyword"), "lang", i.alias("score")))).otherwise(F.to_json(F.struct(term.alias("term"), F.lit("2024-01-05").alias("last_seen"))))
+    rows = keywords.learned(read(spark, sf, "documents").select(F.col("source").alias("topic"), entry.alias("entry")), F.to_date(now()))
+    again = keywords.grouped_file(rows).select("topic", F.explode("keywords").alias("k")).select("topic", F.to_json("k").alias("entry"))
+    return keywords.learned(again, F.to_date(now())).withColumn("last_seen", F.date_format("last_seen", "yyyy-MM-dd"))
+
+
 # Segmentation
 
 

@@ -31,6 +31,7 @@ ENTRIES = {
     "stackoverflow": ("named_struct('question_id', i, 'title', t, 'link', concat('https://s.example/q/', i), 'score', i % 5, 'view_count', i, 'answer_count', 1, 'creation_date', i * 1000)", '{"items": %s}'),
     "v2ex": ("named_struct('id', i, 'title', if(i % 9 = 0, '', t), 'url', concat('https://v.example/t/', i), 'replies', i % 8, 'created', i * 1000)", '{"items": %s}'),
     "producthunt": ("named_struct('node', named_struct('id', concat('p', i), 'name', concat('P', i), 'tagline', if(i % 3 = 0, '', 'does things'), 'url', concat('https://p.example/', i), 'votesCount', i % 100))", '{"data": {"posts": {"edges": %s}}}'),
+    "google_trends": ("named_struct('title', if(i % 9 = 0, '', t), 'link', if(i % 2 = 0, concat('https://e.example/', i), ''), 'traffic', '200+', 'pubDate', '')", '{"items": %s}'),
 }
 #: Source: what its rules give in SQL: filter, id, title, url, one signal's name and value.
 EXPECTED = {
@@ -50,6 +51,7 @@ EXPECTED = {
     "stackoverflow": ("true", "CAST(i AS VARCHAR)", "t", "'https://s.example/q/' || i", "views", "i"),
     "v2ex": ("i % 9 > 0", "CAST(i AS VARCHAR)", "t", "'https://v.example/t/' || i", "comments", "i % 8"),
     "producthunt": ("true", "'p' || i", "'P' || i || CASE WHEN i % 3 = 0 THEN '' ELSE ' — does things' END", "'https://p.example/' || i", "upvotes", "i % 100"),
+    "google_trends": ("i % 9 > 0", "t", "t", "CASE WHEN i % 2 = 0 THEN 'https://e.example/' || i ELSE 'https://www.google.com/search?q=' || replace(t, ' ', '+') END", "views", "0"),
 }
 _TITLED = "titled AS (SELECT doc_id AS i, lang || ' title ' || doc_id AS t, doc_id // 20 AS feed, row_number() OVER (PARTITION BY doc_id // 20 ORDER BY doc_id) - 1 AS pos FROM documents)"
 
@@ -180,3 +182,12 @@ def source_recent(spark: SparkSession, sf: str) -> DataFrame:
     items = json_sources.parsed(_payloads(_titled(spark, sf), entry, '{"items": %s}'), "youtube")
     recent = json_sources.recent_only(items, now(), 23)
     return recent.select("external_id", "rank_position", (F.substring("external_id", 2, 12).cast("long") % 24).alias("hours"))
+
+
+@query(f"""WITH {_TITLED} SELECT i AS doc_id, CASE WHEN i % 5 > 0 THEN 'About ' || t ELSE '' END AS description, CASE WHEN i % 5 > 0 THEN 'Paper & Co ' || (i % 7) ELSE '' END AS source FROM titled""")
+def news_summaries(spark: SparkSession, sf: str) -> DataFrame:
+    """Aggregated news: the first entry's title and source out of each summary's list; none where there is no list."""
+    i = F.col("i")
+    entry = F.concat(F.lit('<ol><li><a href="https://e.example/x" target="_blank">About <b>'), F.col("t"), F.lit('</b></a>&nbsp;<font color="#6f6f6f">Paper &amp; Co '), (i % 7).cast("string"), F.lit('</font></li><li><a href="y">Second</a><font>Other</font></li></ol>'))
+    rows = _titled(spark, sf).withColumn("html", F.when(i % 5 > 0, entry).otherwise("plain"))
+    return rows.select(i.alias("doc_id"), feeds.news_description(F.col("html")).alias("description"), feeds.news_source(F.col("html")).alias("source"))
