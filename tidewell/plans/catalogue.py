@@ -681,12 +681,26 @@ def url_normalize(spark: SparkSession, sf: str) -> DataFrame:
     return read(spark, sf, "pages").select("page_id", urls.url_hash(tail).alias("hash"))
 
 
-@query()
+def _undressed_sql(c: str) -> str:
+    """Text without tags, scripts and comments, in SQL: entities as characters, & last."""
+    c = f"regexp_replace(coalesce({c}, ''), '(?s)<script\\b.*?</script>|<style\\b.*?</style>|<!--.*?-->|<[^>]+>', ' ', 'g')"
+    for entity, char in [*((e, x) for e, x in text.COMMENT_ENTITIES.items() if e != "&amp;"), ("&#39;", "'"), ("&amp;", "&")]:
+        c = "replace({}, '{}', '{}')".format(c, entity, char.replace("'", "''"))
+    return f"trim(regexp_replace({c}, '\\s+', ' ', 'g'))"
+
+
+_ANCHOR_SQL = """'(?is)<a\\b[^>]*?\\bhref\\s*=\\s*["'']([^"'']*)["''][^>]*>(.*?)</a>'"""
+
+
+@query(
+    f"""SELECT page_id, CAST(p AS INTEGER) AS pos, href, {_undressed_sql('inner_html')} AS text FROM (
+  SELECT page_id, unnest(regexp_extract_all(html, {_ANCHOR_SQL}, 1)) AS href, unnest(regexp_extract_all(html, {_ANCHOR_SQL}, 2)) AS inner_html, unnest(range(0, len(regexp_extract_all(html, {_ANCHOR_SQL}, 1)))) AS p FROM pages)"""
+)
 def html_links(spark: SparkSession, sf: str) -> DataFrame:
     return html_sources.links(read(spark, sf, "pages"))
 
 
-@query()
+@query(f"""SELECT page_id, {_undressed_sql('html')} AS text, {_undressed_sql("regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)")} AS title FROM pages""")
 def html_clean(spark: SparkSession, sf: str) -> DataFrame:
     return read(spark, sf, "pages").select("page_id", text.without_tags(F.col("html")).alias("text"), html_sources.page_title(F.col("html")).alias("title"))
 
@@ -775,7 +789,12 @@ def budget_replay(spark: SparkSession, sf: str) -> DataFrame:
     return policy.replay_budget(log, base=1)
 
 
-@query()
+@query(
+    f"""WITH {views.REQUESTS}, r AS (SELECT domain, request_id, {{'n': CAST(1 AS BIGINT), 'm': CAST(floor(latency) AS BIGINT)}} AS x FROM requests),
+l AS (SELECT domain, request_id, list(x) OVER (PARTITION BY domain ORDER BY request_id ROWS UNBOUNDED PRECEDING) AS xs FROM r),
+f AS (SELECT domain, request_id, list_reduce(xs, lambda a, b: {{'n': a.n + 1, 'm': (a.m * a.n + b.m) // (a.n + 1)}}) AS s FROM l)
+SELECT domain, request_id, s.n AS n, s.m AS mean FROM f"""
+)
 def latency_running_mean(spark: SparkSession, sf: str) -> DataFrame:
     log = adapters.requests(spark, sf).select("domain", "request_id", F.floor("latency").alias("latency"))
     return policy.running_mean(log, "domain", ["request_id"], "latency")
