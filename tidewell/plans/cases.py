@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewell.functions import collections, numbers, text, times, urls
-from tidewell.operators import feed, health, keywords, languages, selection, statuses, tables, topics
+from tidewell.lineage import cut
+from tidewell.operators import feed, health, keywords, languages, latent, selection, statuses, tables, topics
 from tidewell.plans import views
 from tidewell.plans.catalogue import query
 from tidewell.sources import adapters, sinks
@@ -375,5 +376,14 @@ def quota_backoff(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def embedded_texts(spark: SparkSession, sf: str) -> DataFrame:
-    """Vectors of whole texts by the stand-in model; a caller brings a real one."""
-    return read(spark, sf, "documents").select("doc_id", statuses.embedder()(F.col("text")).alias("embedding"))
+    """Vectors of whole texts by the latent model of all texts; a caller may bring another embedder."""
+    model, rows = latent.fit(read(spark, sf, "documents").select("doc_id", "text"), key="doc_id")
+    return latent.vectors(rows, model, "doc_id")
+
+
+@query()
+def latent_neighbours(spark: SparkSession, sf: str) -> DataFrame:
+    """The five nearest texts of every text whose id 50 divides, by latent vectors."""
+    vectors = cut(embedded_texts(spark, sf).filter("embedding is not null").withColumnRenamed("doc_id", "vec_id"))
+    return tables.cosine_top(vectors, vectors.filter("vec_id % 50 = 0"), 5)
+
