@@ -50,9 +50,9 @@ FROM scored JOIN regions USING (region_id) WHERE enabled AND summary_status IN (
 )
 def feed_page(spark: SparkSession, sf: str) -> DataFrame:
     """The flagship: scored items with their regions, ready ones, newest first, one more than a page."""
-    items = adapters.items(spark, sf).filter(F.col("summary_status").isin("complete", "skipped")).drop("description")
+    items = adapters.plain_items(spark, sf).filter(F.col("summary_status").isin("complete", "skipped")).drop("description")
     joined = items.join(F.broadcast(adapters.regions(spark, sf).filter("enabled")), "region_id")
-    rows = adapters.scored(feed.page(joined, 50))  # the order needs no score: only the page's rows get one
+    rows = adapters.scored(adapters.engaged(spark, sf, feed.page(joined, 50)))  # the order needs no score: only the page's rows get signals and one
     return rows.select("id", "title", "platform", "bucket", "region_key", _stamp("collected_at").alias("collected_at"), F.round("hotness", 4).alias("hotness"))
 
 

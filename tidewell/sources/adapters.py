@@ -25,8 +25,23 @@ def engagement(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.groupBy((F.col("user_id") % 15).alias("g")).agg(*[F.count_if(F.col("event_type") == k).alias(c) for c, k in kinds.items()])
 
 
+SIGNALS = ("views", "upvotes", "comments", "shares")
+
+
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Items with platform, region, times, statuses and engagement; the first line of a text is its title."""
+    return engaged(spark, sf_dir, plain_items(spark, sf_dir))
+
+
+def engaged(spark: SparkSession, sf_dir: str, rows: DataFrame) -> DataFrame:
+    """Items with their signals: late, where few rows are left."""
+    signals = F.broadcast(engagement(spark, sf_dir))  # 15 rows
+    joined = rows.join(signals, F.col("id") % 15 == F.col("g"), "left")
+    return joined.select(*rows.columns, *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in SIGNALS])
+
+
+def plain_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items without engagement."""
     docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
     k = F.substring("source", 4, 10).cast("int")
     title = F.split_part("text", F.lit("\n"), F.lit(1))
@@ -35,8 +50,7 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("doc_id").alias("id"), title.alias("title"), F.substr("text", F.length(title) + 2).alias("description"),
         F.col("lang").alias("lang_group"), F.col("source").alias("surface_key"), k.alias("k"),
     )
-    signals = F.broadcast(engagement(spark, sf_dir))  # 15 rows
-    joined = base.join(labels, base["id"] == labels["doc_id"], "left").join(signals, F.col("id") % 15 == F.col("g"), "left")
+    joined = base.join(labels, base["id"] == labels["doc_id"], "left")
     hours = (F.col("id") % 96).cast("int")
     return joined.select(
         "id", "title", "description", "lang_group", "surface_key", "k",
@@ -48,7 +62,6 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.timestamp_seconds(F.unix_timestamp(now()) - hours * 3600).alias("collected_at"),
         F.timestamp_seconds(F.unix_timestamp(now()) - (hours + F.col("id") % 7) * 3600).alias("published_at"),
         (F.col("id") % 120 + 1).cast("int").alias("rank_position"),
-        *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("views", "upvotes", "comments", "shares")],
         F.when(F.col("quality") == 1, "complete").when(F.col("quality") == 0, "failed").otherwise("pending").alias("summary_status"),
         F.when(F.col("toxic") == 1, "complete").when(F.col("toxic") == 0, "pending").alias("translation_status"),
     )
