@@ -64,11 +64,11 @@ def test_passages_of_odd_tables(spark):
 
 def test_filters_keep_all_columns(spark):
     docs, labels = tables.table(spark, "extra"), tables.labels(spark)
-    for got in (quality_rules.kept_documents(docs, labels), simhash.deduplicated(docs), secret_scan.redacted(docs), mixing.mixed_documents(docs)):
+    for got in (quality_rules.kept_documents(docs, labels), simhash.deduplicated(docs), secret_scan.redacted(docs), mixing.mixed_documents(docs), substring_dedup.deduplicated(docs)):
         assert got.columns == docs.columns
         assert got.count() > 0
     empty = tables.table(spark, "empty")
-    for got in (quality_rules.kept_documents(empty, labels), simhash.deduplicated(empty), secret_scan.redacted(empty), mixing.mixed_documents(empty)):
+    for got in (quality_rules.kept_documents(empty, labels), simhash.deduplicated(empty), secret_scan.redacted(empty), mixing.mixed_documents(empty), substring_dedup.deduplicated(empty)):
         assert got.count() == 0
 
 
