@@ -18,6 +18,8 @@ from tidewell.lineage import cut
 #: Trigrams in the model, the most frequent ones: its size, whatever the corpus. And languages, the most frequent ones.
 VOCABULARY, LANGUAGES = 50_000, 200
 SMOOTHING = 0.5
+#: Rows with a known language that a model is fitted on, about: all where there are fewer, else a sample by hash.
+FIT_ROWS = 20_000
 #: Three characters from every place on, none begun inside a surrogate pair.
 _TRIGRAM = r"(?s)(?![\x{DC00}-\x{DFFF}])(?=(...))"
 
@@ -37,13 +39,16 @@ class Model:
     weights: DataFrame
 
 
-def fit(docs: DataFrame, text: str = "text", lang: str = "lang", vocabulary: int = VOCABULARY) -> Model:
+def fit(docs: DataFrame, text: str = "text", lang: str = "lang", vocabulary: int = VOCABULARY, rows: int = FIT_ROWS) -> Model:
     """A model from texts with known languages; rows without a language are left out.
 
     Trigrams are counted in their tasks before they are shuffled. Of equally frequent ones at the end of the vocabulary
     those that come first stay.
     """
     known = docs.filter(F.col(lang).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
+    held = known.count()
+    if held > rows:
+        known = known.filter(F.pmod(F.xxhash64("lang", "text"), F.lit(held)) < rows)
     shares = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).orderBy("lang").collect()
     languages, total = [r["lang"] for r in shares], sum(r["n"] for r in shares)
     counts = cut(known.select("lang", F.explode(trigrams(F.col("text"))).alias("gram")).groupBy("lang", "gram").agg(F.count(F.lit(1)).alias("n")))

@@ -492,8 +492,10 @@ FROM documents d LEFT JOIN detected ON d.doc_id = detected.id"""
 )
 def language_classify(spark: SparkSession, sf: str) -> DataFrame:
     """Base language, locale and group of every item, by the trigram model; texts without letters have the region's language."""
-    items = adapters.items(spark, sf).withColumn("original_locale", F.lit(None).cast("string")).withColumn("default_locale", F.lit("en-US"))
-    found = language_model.detected(items, _language_model(spark, sf), F.concat_ws("\n", "title", "description"))
+    docs = read(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
+    found = language_model.detected(docs, _language_model(spark, sf), F.col("text"))
+    # texts end here: the join is one of ids
+    items = docs.select("id").withColumns({"original_locale": F.lit(None).cast("string"), "default_locale": F.lit("en-US")})
     joined = items.join(found, "id", "left")
     return languages.classified(joined, F.coalesce("detected", F.lit("en"))).select("id", "base_lang", "locale", "lang_group")
 
