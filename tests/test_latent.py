@@ -71,3 +71,16 @@ def test_registered_neighbours(spark, sf):
     for q, cosines in got.items():
         near = sorted((float(v @ held[q]) for i, v in zip(ids, m, strict=True) if i != q), reverse=True)[:5]
         assert sorted(cosines, reverse=True) == pytest.approx(near, abs=1e-5)
+
+
+def test_no_term_of_a_text_is_shuffled(spark):
+    """Terms are counted where the text is read: the rows' plan has no exchange, and a text of many words is one row."""
+    docs = spark.createDataFrame([(1, "a b a c " * 5000), (2, "a b"), (3, "c")], "id long, text string")
+    rows = latent.weighted(docs, latent.vocabulary(docs))
+    assert "Exchange" not in rows._jdf.queryExecution().executedPlan().toString()
+    got = {r.id: dict(zip(r.ts, r.ws, strict=True)) for r in rows.collect()}
+    idf = {r.t: r.idf for r in latent.vocabulary(docs).collect()}
+    names = {r.term: r.t for r in latent.vocabulary(docs).collect()}
+    raw = {names[x]: (1 + np.log(n)) * idf[names[x]] for x, n in (("a", 10_000), ("b", 5000), ("c", 5000))}
+    size = np.sqrt(sum(w * w for w in raw.values()))
+    assert got[1] == pytest.approx({t: w / size for t, w in raw.items()}) and set(got[3].values()) == {1.0}

@@ -3,6 +3,7 @@
 Texts are rows of term weights: (1 + ln count) times the term's inverse document frequency, at length 1. A block of random directions
 over the terms is multiplied by the matrix and its transpose a few times, orthonormal in between; every product is one pass in
 which tasks handle their own texts, and Spark adds up what they give each term. The driver holds terms x directions, whatever the corpus.
+A text's terms are counted in the task that reads it; no term of a text is shuffled.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,25 +39,40 @@ def vocabulary(docs: DataFrame, text: str = "text", size: int = TERMS) -> DataFr
     return docs.sparkSession.createDataFrame(held, "term string, t int, idf double")
 
 
+def _offsets(rows: np.ndarray, n: int) -> pa.Array:
+    """Where each of ``n`` lists begins, whose items' rows are given in order."""
+    return pa.array(np.concatenate(([0], np.cumsum(np.bincount(rows, minlength=n)))).astype(np.int32))
+
+
 def weighted(docs: DataFrame, terms: DataFrame, text: str = "text", key: str = "id") -> DataFrame:
     """``key``, ``ts``, ``ws``: the numbers and weights of a text's known terms, at length 1; empty where it has none. The vocabulary is broadcast."""
-    words = docs.select(F.monotonically_increasing_id().alias("__row"), F.col(key), term_words(F.col(text)).alias("__words"))
-    counts = words.select("__row", key, F.explode_outer("__words").alias("term")).groupBy("__row", key, "term").agg(F.count("term").alias("n"))
-    known = counts.join(F.broadcast(terms), "term", "left").withColumn("w", (1 + F.log(F.col("n").cast("double"))) * F.col("idf"))
-    rows = known.groupBy("__row", key).agg(F.sort_array(F.collect_list(F.when(F.col("t").isNotNull(), F.struct("t", "w")))).alias("x"))
-    size = F.sqrt(F.aggregate("x", F.lit(0.0), lambda s, e: s + e["w"] * e["w"]))
-    return rows.select(key, F.transform("x", lambda e: e["t"]).alias("ts"), F.transform("x", lambda e: e["w"] / size).alias("ws"))
+    held = terms.select("term", "idf", "t").toArrow().sort_by("t")
+    shared = docs.sparkSession.sparkContext.broadcast((held["term"].combine_chunks(), held["idf"].to_numpy()))
+    schema = f"{key} {dict(docs.dtypes)[key]}, ts array<int>, ws array<double>"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, idf = shared.value
+        for batch in batches:
+            words = batch.column(1)
+            t = pc.index_in(words.flatten(), value_set=known)
+            row = np.repeat(np.arange(len(words)), words.value_lengths().to_numpy(zero_copy_only=False))[t.is_valid().to_numpy(zero_copy_only=False)]
+            pairs, n = np.unique(row * max(1, len(known)) + t.drop_null().to_numpy(), return_counts=True)
+            row, t = np.divmod(pairs, max(1, len(known)))
+            w = (1 + np.log(n)) * idf[t]
+            w /= np.sqrt(np.bincount(row, w * w, len(words)))[row]
+            at = _offsets(row, len(words))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(at, pa.array(t.astype(np.int32))), pa.ListArray.from_arrays(at, pa.array(w))], names=[key, "ts", "ws"])
+
+    return map_arrow(docs.select(key, term_words(F.col(text)).alias("__words")), run, schema)
 
 
-def _projected(batch: pa.RecordBatch, block: np.ndarray, at: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Rows times the block; and each entry's row, term and weight."""
+def _entries(batch: pa.RecordBatch, at: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Each row's place, terms and weights. A row has a term once."""
     lists = batch.column(at)
-    sizes = lists.value_lengths().to_numpy(zero_copy_only=False)
-    row = np.repeat(np.arange(len(sizes)), sizes)
-    t, w = lists.flatten().to_numpy(zero_copy_only=False), batch.column(at + 1).flatten().to_numpy(zero_copy_only=False)
-    y = np.zeros((len(sizes), block.shape[1]))
-    np.add.at(y, row, w[:, None] * block[t])
-    return y, row, t, w
+    ends = np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False)).tolist()
+    t, w = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64), batch.column(at + 1).flatten().to_numpy(zero_copy_only=False)
+    for row, (first, end) in enumerate(zip([0, *ends], ends, strict=False)):
+        yield row, t[first:end], w[first:end]
 
 
 def _squared(rows: DataFrame, block: np.ndarray) -> np.ndarray:
@@ -65,15 +82,16 @@ def _squared(rows: DataFrame, block: np.ndarray) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
         for batch in batches:
-            y, row, t, w = _projected(batch, shared.value, 0)
             total = np.zeros_like(shared.value) if total is None else total
-            np.add.at(total, t, w[:, None] * y[row])
+            for _, t, w in _entries(batch, 0):
+                total[t] += w[:, None] * (w @ shared.value.take(t, axis=0))
         if total is not None:
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total), dtype=np.int32)), *[pa.array(np.ascontiguousarray(c)) for c in total.T]], names=["t", *names])
 
     parts = map_arrow(rows.select("ts", "ws"), run, "t int, " + ", ".join(f"{c} double" for c in names))
-    sums = parts.groupBy("t").agg(*[F.sum(c).alias(c) for c in names]).orderBy("t").collect()
-    return np.array([[r[c] for c in names] for r in sums])
+    sums = parts.groupBy("t").agg(*[F.sum(c).alias(c) for c in names]).toArrow().sort_by("t")
+    shared.destroy()  # a pass has a block of its own
+    return np.column_stack([sums[c].to_numpy() for c in names])
 
 
 @dataclass(frozen=True)
@@ -106,9 +124,13 @@ def vectors(rows: DataFrame, model: Model, key: str = "id") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            y = _projected(batch, shared.value, 1)[0] if shared.value.size else np.zeros((batch.num_rows, 0))
+            y = np.zeros((batch.num_rows, shared.value.shape[1]))
+            for row, t, w in _entries(batch, 1) if shared.value.size else ():
+                y[row] = w @ shared.value.take(t, axis=0)
             size = np.linalg.norm(y, axis=1)
-            made = [None if s < 1e-12 else v / s for v, s in zip(y, size, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.list_(pa.float64()))], names=[key, "embedding"])
+            held = np.flatnonzero(size >= 1e-12)
+            at = _offsets(np.repeat(held, y.shape[1]), len(y))
+            made = pa.ListArray.from_arrays(at, pa.array((y[held] / size[held, None]).ravel()), mask=pa.array(size < 1e-12))
+            yield pa.RecordBatch.from_arrays([batch.column(0), made], names=[key, "embedding"])
 
     return map_arrow(rows.select(key, "ts", "ws"), run, f"{key} {dict(rows.dtypes)[key]}, embedding array<double>")
