@@ -113,3 +113,12 @@ def test_collections(value):
     assert value(C.zipped(arr("a", "b"), arr(1))) is None and len(value(C.zipped(arr("a"), arr(1)))) == 1
     assert value(C.positive_entries(F.create_map(L("a"), L(1), L("b"), L(0)))) == {"a": 1}
     assert [value(C.batch_number(L(n), 20)) for n in (1, 20, 21)] == [0, 0, 1]
+
+
+def test_one_decimal_equals_c(spark):
+    """Halves that a double holds go to the even digit; others by the double's exact value."""
+    rows = [(n, d) for d in (1000.0, 60000.0, 1_000_000.0) for n in [*range(0, 12_000, 10), *range(999_000, 1_003_000, 50), *range(0, 30_000_000, 50_000), 2**53 + 1, 10**17 + 50_000]]
+    got = spark.createDataFrame(rows, "n long, d double").select("n", "d", X.one_decimal(F.col("n") / F.col("d")).alias("s")).collect()
+    assert len(got) == len(rows) and [(r.n, r.d, r.s) for r in got if r.s != f"{r.n / r.d:.1f}"] == []
+    halves = spark.createDataFrame([(n,) for n in (1250, 1150, 1350, 999_950, 1_250_000)], "n long")
+    assert [r.s for r in halves.select(X.short_number(F.col("n")).alias("s")).collect()] == ["1.2K", "1.1K", "1.4K", "1000.0K", "1.2M"]

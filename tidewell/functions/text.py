@@ -94,11 +94,26 @@ def translation_key(title: Column, description: Column, kind: Column, locale: Co
     return F.sha2(F.concat_ws("|", F.coalesce(title, F.lit("")), F.coalesce(description, F.lit("")), kind, locale), 256)
 
 
+def one_decimal(x: Column) -> Column:
+    """A number from 0 on with one decimal, as C's printf has it: the double's exact value is rounded, a true half to the even digit.
+
+    Java's formatter rounds the shortest decimal form, and a half away from zero. Doubles near a half are multiples of
+    2^-59, and ten times that fits a long.
+    """
+    whole = F.floor(x)
+    tenths = ((x - whole) * F.lit(float(1 << 59))).cast("long") * 10
+    digit = F.shiftright(tenths, 59)
+    rest = tenths - F.shiftleft(digit, 59)
+    up = (rest > 1 << 58) | ((rest == 1 << 58) & (digit % 2 == 1))
+    rounded = whole * 10 + digit + up.cast("int")
+    return F.concat(F.floor(rounded / 10).cast("string"), F.lit("."), (rounded % 10).cast("string"))
+
+
 def short_number(n: Column) -> Column:
     """1234 as 1.2K, 1234567 as 1.2M."""
     return (
-        F.when(n >= 1_000_000, F.format_string("%.1fM", n / 1_000_000.0))
-        .when(n >= 1_000, F.format_string("%.1fK", n / 1_000.0))
+        F.when(n >= 1_000_000, F.concat(one_decimal(n / 1_000_000.0), F.lit("M")))
+        .when(n >= 1_000, F.concat(one_decimal(n / 1_000.0), F.lit("K")))
         .otherwise(n.cast("string"))
     )
 
@@ -144,8 +159,8 @@ def duration_label(ms: Column) -> Column:
     return (
         F.when(ms.isNull(), "-")
         .when(ms < 1000, F.concat(ms.cast("string"), F.lit("ms")))
-        .when(ms < 60000, F.format_string("%.1fs", ms / 1000.0))
-        .otherwise(F.format_string("%.1fm", ms / 60000.0))
+        .when(ms < 60000, F.concat(one_decimal(ms / 1000.0), F.lit("s")))
+        .otherwise(F.concat(one_decimal(ms / 60000.0), F.lit("m")))
     )
 
 
