@@ -108,3 +108,31 @@ def test_query_over_documents(spark, sf):
         for i in range(len(t) - 1, -1, -1):
             tail[i] = max(logs.get(t[i:j], -math.inf) + tail[j] for j in range(i + 1, min(len(t), i + 4) + 1))
         assert sum(logs[w] for w in words) == pytest.approx(tail[0])
+
+
+@pytest.mark.parametrize("direct", [1 << 22, 1])
+@pytest.mark.parametrize("seed", range(5))
+def test_splitter_equals_best_split(monkeypatch, seed, direct):
+    monkeypatch.setattr(seg, "_DIRECT", direct)
+    r = random.Random(seed)
+    logs = {"".join(r.choice("abc") for _ in range(r.randint(1, 4))): -float(r.randint(1, 6)) for _ in range(40)}
+    parts = ["".join(r.choice("abcd\U00020000") for _ in range(n)) for n in (0, 1, 2, 3, 4, 50, 400)]
+    assert seg.Splitter(logs, -9.0, 4)(parts) == [seg.best_split(x, logs, -9.0, 4) for x in parts]
+    assert seg.Splitter({}, -9.0, 1)(["ab"]) == [["a", "b"]] and seg.Splitter({"abcde": -1.0}, -9.0, 5)(["abcde"]) == [["abcde"]]
+
+
+@pytest.mark.parametrize(("alphabet", "held"), [(5404, 2_000_000), (12, 30)])
+def test_windows_equal_plain_counting(monkeypatch, alphabet, held):
+    """Also where a task's characters or strings are more than it may hold; nothing but different windows leaves a task."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(seg, "_ALPHABET", alphabet)
+    monkeypatch.setattr(seg, "_HELD", held)
+    docs = [[*plain_runs(t)] for t in texts(200)] + [[], ["天"], ["\U00020000天去" * 40]]
+    got, sent = Counter(), 0
+    for b in seg._windows(iter([pa.RecordBatch.from_arrays([pa.array(docs[i : i + 50], pa.list_(pa.string()))], names=["runs"]) for i in range(0, len(docs), 50)])):
+        sent += b.num_rows
+        for gram, n in zip(*[c.to_pylist() for c in b.columns], strict=True):
+            got[gram] += n
+    assert got == Counter(x[i : i + 5] for d in docs for x in d for i in range(len(x)))
+    assert alphabet < 5404 or sent == len(got)
