@@ -71,3 +71,19 @@ def test_empty_tables(spark):
     assert language_model.detected(spark.createDataFrame([(1, "x")], "id long, text string"), model, F.col("text")).count() == 0
     full = language_model.fit(spark.createDataFrame(TEXTS, "lang string, text string"))
     assert language_model.detected(empty, full, F.col("text")).count() == 0
+
+
+def test_more_than_twenty_thousand_rows_are_all_counted(spark):
+    """A fit takes every labelled row: here a trigram that one row in 25,000 has."""
+    docs = spark.range(25_000).select(F.lit("en").alias("lang"), F.when(F.col("id") == 17, "zq").otherwise("ab").alias("text"))
+    n = {r.gram: r.logs[0] for r in language_model.fit(docs).weights.collect()}
+    total = 2 * 25_000 + 0.5 * 4
+    assert n == pytest.approx({" ab": math.log(24_999.5 / total), "ab ": math.log(24_999.5 / total), " zq": math.log(1.5 / total), "zq ": math.log(1.5 / total)})
+
+
+@pytest.mark.parametrize("direct", [1 << 22, 1])
+def test_weights_find_trigrams(monkeypatch, direct):
+    monkeypatch.setattr(language_model, "_DIRECT", direct)
+    known = [" ab", "ab ", "\U00020000\U00020001 "]
+    keys, row = language_model._read([" ab ", "", " b", " \U00020000\U00020001 "])
+    assert row.tolist() == [0, 0, 3, 3] and language_model._Weights(known).rows(keys).tolist() == [0, 1, 3, 2]
