@@ -91,3 +91,16 @@ def test_embeddings_have_length_one(spark):
     df = spark.createDataFrame([(1, "some words here"), (2, ""), (3, None)], "id long, text string")
     got = {r.id: r.v for r in df.select("id", statuses.embedder()(F.col("text")).alias("v")).collect()}
     assert abs(sum(x * x for x in got[1]) - 1) < 1e-9 and not any(got[2]) and not any(got[3]) and len(got[1]) == 384
+
+
+def test_best_of_equals_sorting():
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    for columns, k in ((1, 3), (7, 3), (300, 10)):
+        cosine = rng.integers(0, 5, (40, columns)) / 4
+        cosine[rng.random(cosine.shape) < 0.3], cosine[0] = -np.inf, np.nan
+        ids = rng.permutation(columns) + 100
+        row, at = tables.best_of(cosine, ids, k)
+        want = [(i, j) for i in range(40) for j in sorted((j for j in range(columns) if np.isfinite(cosine[i, j])), key=lambda j: (-cosine[i, j], ids[j]))[:k]]
+        assert list(zip(row.tolist(), at.tolist(), strict=True)) == want

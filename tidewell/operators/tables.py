@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewell.shipping import map_arrow
+
 
 def new_rows(incoming: DataFrame, history: DataFrame, key: str, order: list[Column]) -> DataFrame:
     """Incoming rows whose key is new, the first of each key."""
@@ -76,8 +78,19 @@ def normalized(df: DataFrame, column: str = "embedding") -> DataFrame:
     return out.withColumn(column, F.when(F.col("__norm") > 0, F.transform(column, lambda x: x.cast("double") / F.col("__norm"))).otherwise(F.transform(column, lambda x: x.cast("double")))).drop("__norm")
 
 
-#: Vectors and queries of a block, in expectation.
-VECTOR_BLOCK, QUERY_BLOCK = 8192, 512
+#: Vectors and queries of a block, in expectation; queries that a task compares at once.
+VECTOR_BLOCK, QUERY_BLOCK, QUERY_STEP = 4096, 512, 32
+
+
+def best_of(cosine: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of each row's ``k`` largest finite values, of equal ones those of smaller ids, in order."""
+    held = np.where(np.isfinite(cosine), cosine, -np.inf)
+    least = np.partition(held, held.shape[1] - min(k, held.shape[1]), axis=1)[:, -min(k, held.shape[1]), None]
+    row, at = np.nonzero((held >= least) & (held > -np.inf))
+    order = np.lexsort((ids[at], -held[row, at], row))
+    row, at = row[order], at[order]
+    place = np.arange(len(row)) - np.searchsorted(row, row)
+    return row[place < k], at[place < k]
 
 
 def cosine_top(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
@@ -103,18 +116,16 @@ def cosine_top(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in range(batch.num_rows):
-                ids, v = unpacked(batch.column(0), row)
-                asked_ids, q = unpacked(batch.column(1), row)
-                cosine = np.round(q @ v.T, 6)
-                cosine[asked_ids[:, None] == ids[None, :]] = -np.inf
-                order = np.lexsort((np.broadcast_to(ids, cosine.shape), -cosine), axis=1)[:, :k]
-                at = np.repeat(np.arange(len(asked_ids)), order.shape[1]), order.ravel()
-                found = np.isfinite(cosine[at])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(asked_ids[at[0]][found]), pa.array(ids[at[1]][found]), pa.array(cosine[at][found])], names=["query_id", "vec_id", "cosine"]
-                )
-
-    best = pairs.mapInArrow(run, "query_id long, vec_id long, cosine double")
+            for pair in range(batch.num_rows):
+                ids, v = unpacked(batch.column(0), pair)
+                asked_ids, q = unpacked(batch.column(1), pair)
+                for first in range(0, len(q), QUERY_STEP):
+                    some = asked_ids[first : first + QUERY_STEP]
+                    cosine = np.round(q[first : first + QUERY_STEP] @ v.T, 6)
+                    cosine[some[:, None] == ids[None, :]] = -np.inf
+                    row, at = best_of(cosine, ids, k)
+                    yield pa.RecordBatch.from_arrays([pa.array(some[row]), pa.array(ids[at]), pa.array(cosine[row, at])], names=["query_id", "vec_id", "cosine"])
+
+    best = map_arrow(pairs, run, "query_id long, vec_id long, cosine double", 1)
     w = Window.partitionBy("query_id").orderBy(F.col("cosine").desc(), "vec_id")
     return best.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
