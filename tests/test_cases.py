@@ -87,6 +87,17 @@ def test_nearest_vectors_over_many_blocks(spark, monkeypatch):
         assert [i for _, i in sorted(got[q])] == best
 
 
+def test_queries_repeated_for_blocks_are_not_broadcast(spark, monkeypatch):
+    """Spark sees the queries' size before they are repeated, which is small here."""
+    monkeypatch.setattr(tables, "VECTOR_BLOCK", 16)
+    df = spark.range(90).selectExpr("id as vec_id", "array(double(id), 1d) as embedding")
+    got = tables.cosine_top(df, df.filter("vec_id % 7 = 0"), 5)
+    assert got.count() == 13 * 5
+    run = got._jdf.queryExecution()
+    run.toRdd().count()
+    assert "Broadcast" not in run.executedPlan().toString()
+
+
 def test_embeddings_have_length_one(spark):
     df = spark.createDataFrame([(1, "some words here"), (2, ""), (3, None)], "id long, text string")
     got = {r.id: r.v for r in df.select("id", statuses.embedder()(F.col("text")).alias("v")).collect()}

@@ -97,7 +97,8 @@ def cosine_top(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """The ``k`` most similar vectors of each query. ``queries``: a stated set of rows, of any size; zero vectors are like none.
 
     Both sides are dealt into blocks of bounded size; a task multiplies one pair of blocks and keeps the best ``k`` of each
-    query, so that a query has k rows a block of vectors when these are ranked.
+    query, so that a query has k rows a block of vectors when these are ranked. The pairs are joined by a shuffle: Spark takes
+    the queries' size from before they are repeated for each block of vectors, and would send all repeats through the driver.
     """
     n, m = vectors.count(), queries.count()
     parts, asked = max(1, -(-n // VECTOR_BLOCK)), max(1, -(-m // QUERY_BLOCK))
@@ -107,7 +108,7 @@ def cosine_top(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
         return rows.groupBy(name).agg(F.collect_list("r").alias(f"{name}_rows"))
 
     right = blocks(queries, asked, "q").withColumn("v", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    pairs = blocks(vectors, parts, "v").join(right, "v").select("v_rows", "q_rows")
+    pairs = blocks(vectors, parts, "v").join(right.hint("merge"), "v").select("v_rows", "q_rows")
 
     def unpacked(column: pa.ListArray, row: int) -> tuple[np.ndarray, np.ndarray]:
         rows = column.slice(row, 1).flatten()
